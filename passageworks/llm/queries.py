@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passageworks.llm import leakage, percentiles, splitting, tokens
+from passageworks.llm import leakage, percentiles, residue, splitting, tokens
 from passageworks.session import read_table
 
 PERCENTILES = [0.5, 0.9, 0.95, 0.99]
@@ -67,7 +67,17 @@ def p7_clean(spark: SparkSession, d: str) -> DataFrame:
     return leakage.remove_leaks(read_table(spark, d, "documents"), read_table(spark, d, "eval_items")).select("doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_latency_percentiles, p1_batch_percentiles, p1_latency_summaries, p1_latency_combined, p2_found, p2_pieces, p6_ids, p7_found, p7_leaks, p7_clean)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.find_residue(read_table(spark, d, "documents")).select("doc_id")
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    """How the classifier does on hosts that it has not seen, against the weak labels."""
+    model = residue.train(read_table(spark, d, "documents"))
+    return spark.createDataFrame([(model.fitted_on, model.held_out, model.precision, model.recall)], "fitted_on long, held_out long, precision double, recall double")
+
+
+QUERIES = {f.__name__: f for f in (p1_latency_percentiles, p1_batch_percentiles, p1_latency_summaries, p1_latency_combined, p2_found, p2_pieces, p6_ids, p7_found, p7_leaks, p7_clean, p8_found, p8_report)}
 
 _CONTINUOUS = ", ".join(f"quantile_cont(v, {q}) AS {percentiles._name(q)}" for q in PERCENTILES)
 

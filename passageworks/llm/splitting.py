@@ -23,19 +23,19 @@ from pyspark.sql import types as T
 #: The hierarchy, from the coarsest level to words; a match ends a part, so separators stay with what they close.
 LEVELS: tuple[tuple[str, re.Pattern[str]], ...] = (
     ("section", re.compile(r"(?:\r?\n[^\S\n]*){3,}|\f|\r?\n(?=#{1,6} )|\r?\n(?:[-*_=] ?){3,}\r?\n")),
-    ("paragraph", re.compile(r"(?:\r\n|\n|\r)[^\S\r\n]*(?:\r\n|\n|\r)| ")),
-    ("line", re.compile(r"\r\n|\n|\r| |\x85")),
+    ("paragraph", re.compile(r"(?:\r\n|\n|\r)[^\S\r\n]*(?:\r\n|\n|\r)|\u2029")),
+    ("line", re.compile(r"\r\n|\n|\r|\u2028|\x85")),
     ("sentence", re.compile(r"[.!?…]+[\"'”’»)\]]*\s+|[。！？]+[」』）”]*|[؟۔।॥]+\s*")),
     ("word", re.compile(r"\s+|(?<=[-–—/])(?=\w)")),
 )
-_JOINERS = {"‍", "︎", "️"}
+_JOINERS = {"\u200d", "\ufe0e", "\ufe0f"}
 _SCHEMA = [("piece_idx", T.IntegerType()), ("n_pieces", T.IntegerType()), ("start", T.IntegerType()), ("end", T.IntegerType()), ("boundary", T.StringType()), ("piece", T.StringType()), ("status", T.StringType())]
 
 
 def _inside_character(text: str, at: int) -> bool:
     """Whether a cut at ``at`` would part a character from its marks, joiners or other half."""
     after, before = text[at], text[at - 1]
-    if after in _JOINERS or before == "‍" or unicodedata.combining(after) or unicodedata.category(after) in ("Mn", "Mc", "Me"):
+    if after in _JOINERS or before == "\u200d" or unicodedata.combining(after) or unicodedata.category(after) in ("Mn", "Mc", "Me"):
         return True
     if before == "\r" and after == "\n" or 0x1F3FB <= ord(after) <= 0x1F3FF:
         return True
