@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 #: What a passage's text may not contain, and the form of its id.
-_FORBIDDEN = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f�]")
+_FORBIDDEN = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\ufffd]")
 _ID = re.compile(r"[0-9]{1,18}")
 _STAND_INS = [chr(x) for x in range(0xE000, 0xE100)]
 
