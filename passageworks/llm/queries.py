@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passageworks.llm import leakage, percentiles, residue, splitting, tokens
+from passageworks.llm import leakage, neighbours, percentiles, residue, splitting, tokens
 from passageworks.session import read_table
 
 PERCENTILES = [0.5, 0.9, 0.95, 0.99]
@@ -50,6 +50,16 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return pieces.select("chunk_id").distinct()
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    found = neighbours.similar(read_table(spark, d, "chunk_vectors"), floor=0.88)
+    return found.select(F.least("vec_id", "neighbour").alias("vec_id_a"), F.greatest("vec_id", "neighbour").alias("vec_id_b")).distinct()
+
+
+def p4_similar(spark: SparkSession, d: str) -> DataFrame:
+    """The ten most similar of every vector whose id is divisible by 20, among all vectors."""
+    return neighbours.similar(read_table(spark, d, "chunk_vectors"), queries=F.col("vec_id") % 20 == 0, probes=8)
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_corpus(read_table(spark, d, "documents"))
 
@@ -77,7 +87,7 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(model.fitted_on, model.held_out, model.precision, model.recall)], "fitted_on long, held_out long, precision double, recall double")
 
 
-QUERIES = {f.__name__: f for f in (p1_latency_percentiles, p1_batch_percentiles, p1_latency_summaries, p1_latency_combined, p2_found, p2_pieces, p6_ids, p7_found, p7_leaks, p7_clean, p8_found, p8_report)}
+QUERIES = {f.__name__: f for f in (p1_latency_percentiles, p1_batch_percentiles, p1_latency_summaries, p1_latency_combined, p2_found, p2_pieces, p4_found, p4_similar, p6_ids, p7_found, p7_leaks, p7_clean, p8_found, p8_report)}
 
 _CONTINUOUS = ", ".join(f"quantile_cont(v, {q}) AS {percentiles._name(q)}" for q in PERCENTILES)
 
