@@ -17,7 +17,7 @@ query, and at most ``k + 1`` of its members are needed as answers.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import erf, isqrt, sqrt
 
 import numpy as np
@@ -147,15 +147,15 @@ def similar(
     key: str = "vec_id",
     vector: str = "embedding",
     dimensions: int = 64,
-    probes: int = 4,
-    queries: Column | None = None,
+    probes: int = 3,
+    queries: Callable[[Column], Column] | None = None,
     cell_vectors: int = CELL_VECTORS,
 ) -> DataFrame:
     """One row per query vector and neighbour: ``key``, ``neighbour``, ``rank`` (from 1), ``cosine`` and
     ``score`` = (cosine + 1) / 2.
 
-    Queries are all usable vectors, or those for which ``queries`` (a condition
-    on ``key``) holds; neighbours are the ``k`` best other usable vectors found,
+    Queries are all usable vectors, or those whose id fulfils ``queries`` (a
+    function from the id's column to a condition); neighbours are the ``k`` best other usable vectors found,
     of cosine at least ``floor``; equal cosines (to 7 places) go by id.
 
     Null vectors, vectors of another length, with a null, NaN or infinite
@@ -168,7 +168,7 @@ def similar(
     keeps windows narrow.  The index holds every vector; only the centroids
     come from a sample.
     """
-    rows = cut_lineage(_unit(usable(df, vector, dimensions).dropDuplicates([key]), key, vector, dimensions))
+    rows = _unit(usable(df, vector, dimensions), key, vector, dimensions)
     spark, total = df.sparkSession, rows.count()
     cells = max(1, min(MAX_CELLS, total // cell_vectors))
     size = min(SAMPLE_MOST, max(SAMPLE_LEAST, SAMPLE_PER_CELL * cells))
@@ -177,68 +177,69 @@ def similar(
     centroids = fit_cells(_matrix(sample, dimensions), cells) if len(sample) else np.zeros((1, dimensions), np.float32)
     shared = spark.sparkContext.broadcast(centroids)  # at most MAX_CELLS vectors
 
-    # copies: the first k + 1 of a class answer, its first member asks
-    asked = F.lit(True) if queries is None else queries
-    # by value, not by position: a hot class loses nothing but its surplus before the shuffle
-    answering = rows.withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("n") <= k + 1)
-    members = rows.withColumnRenamed("id", key).withColumn("asked", asked).withColumnRenamed(key, "id")
-    classes = members.groupBy("v").agg(F.min("id").alias("class"), F.count("*").alias("members"), F.bool_or("asked").alias("asked"))
-    searching = classes.where("asked").select(F.col("class").alias("id"), "v")
-
-    def visit(count: int):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            c = shared.value
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                near = -(_matrix(batch.column(1), dimensions) @ c.T)
-                own = min(count, len(c))
-                cell = np.argpartition(near, own - 1, axis=1)[:, :own] if own < len(c) else np.tile(np.arange(len(c)), (len(near), 1))
-                at = pa.array(np.repeat(np.arange(len(near)), own))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(cell.ravel().astype(np.int32))], ["id", "v", "cell"])
-
-        return run
-
-    data = answering.select("id", "v").mapInArrow(visit(1), "id long, v binary, cell int")
-    asking = searching.mapInArrow(visit(probes), "id long, v binary, cell int")
-    both = cut_lineage(data.withColumn("asks", F.lit(False)).unionByName(asking.withColumn("asks", F.lit(True))))
-
-    # one small row per cell: how many blocks its data and its queries need
+    # A class of copies is one row with its first k + 1 ids: the surplus of a hot class is dropped before the
+    # shuffle, and what remains of a class is bounded.
+    first = rows.withColumn("n", F.dense_rank().over(Window.partitionBy("v").orderBy("id"))).where(F.col("n") <= k + 1)
+    classes = first.groupBy("v").agg(F.array_sort(F.collect_set("id")).alias("ids"))
+    asks = F.lit(True) if queries is None else F.exists("ids", queries) | (F.size("ids") > k)
+    classes = cut_lineage(classes.select(F.element_at("ids", 1).alias("class"), "ids", "v", asks.alias("asks")))
+
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = shared.value
+        own = min(probes, len(c))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            near = -(_matrix(batch.column(2), dimensions) @ c.T)
+            cell = np.argpartition(near, own - 1, axis=1)[:, :own] if own < len(c) else np.tile(np.arange(own), (len(near), 1))
+            home = cell == near.argmin(axis=1)[:, None]
+            asks = np.broadcast_to(np.asarray(batch.column(3).to_numpy(zero_copy_only=False), bool)[:, None], cell.shape)
+            at, place = np.nonzero(home | asks)
+            columns = [batch.column(i).take(pa.array(at)) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(asks[at, place]), pa.array(home[at, place]), pa.array(cell[at, place].astype(np.int32))], ["class", "ids", "v", "asks", "answers", "cell"])
+
+    # at home a class answers and asks, in its other cells it only asks
+    visits = classes.mapInArrow(visit, "class long, ids array<long>, v binary, asks boolean, answers boolean, cell int")
+
+    # one small row per cell: how many blocks its data and its queries need (the vectors are not written for it)
     need = lambda c, most: F.greatest(F.lit(1), F.ceil(c / most)).cast("int")
-    sizes = both.groupBy("cell").agg(need(F.count_if(~F.col("asks")), BLOCK_DATA).alias("data_blocks"), need(F.count_if("asks"), BLOCK_QUERIES).alias("query_blocks"))
-    placed = both.join(F.broadcast(sizes), "cell")  # at most MAX_CELLS rows
-    spread = lambda blocks: F.sequence(F.lit(0), F.col(blocks) - 1)
-    drawn = lambda blocks: F.pmod(F.xxhash64("id"), F.col(blocks)).cast("int")
-    placed = placed.select(
-        "cell", "id", "v", "asks",
-        F.explode(F.when(F.col("asks"), spread("data_blocks")).otherwise(F.array(drawn("data_blocks")))).alias("data_block"),
-        "query_blocks",
-    )
-    placed = placed.select("cell", "id", "v", "asks", "data_block", F.explode(F.when(F.col("asks"), F.array(drawn("query_blocks"))).otherwise(spread("query_blocks"))).alias("query_block"))
+    sizes = visits.groupBy("cell").agg(need(F.count_if("answers"), BLOCK_DATA).alias("data_blocks"), need(F.count_if("asks"), BLOCK_QUERIES).alias("query_blocks"))
+    sizes = {r["cell"]: (r["data_blocks"], r["query_blocks"]) for r in sizes.where("data_blocks > 1 OR query_blocks > 1").collect()}  # at most MAX_CELLS
+    large = spark.createDataFrame([(c, *n) for c, n in sizes.items()], "cell int, data_blocks int, query_blocks int")
+    placed = visits.join(F.broadcast(large), "cell", "left").fillna(1, ["data_blocks", "query_blocks"])
+    everywhere = lambda blocks: F.sequence(F.lit(0), F.col(blocks) - 1)
+    drawn = lambda blocks: F.array(F.pmod(F.xxhash64("class"), F.col(blocks)).cast("int"))
+    # in a pair of blocks stands what answers in the one and what asks in the other
+    pairs = F.flatten(F.transform(everywhere("data_blocks"), lambda x: F.transform(everywhere("query_blocks"), lambda y: F.struct(x.alias("data_block"), y.alias("query_block")))))
+    here = lambda p: F.struct((F.col("answers") & (p["data_block"] == drawn("data_blocks")[0])).alias("answers"), (F.col("asks") & (p["query_block"] == drawn("query_blocks")[0])).alias("asks"), p["data_block"].alias("data_block"), p["query_block"].alias("query_block"))
+    spread = F.filter(F.transform(pairs, here), lambda h: h["answers"] | h["asks"])
+    placed = placed.select("cell", "class", "ids", "v", F.inline(spread))
 
     def compare(table: pa.Table) -> pa.Table:
-        asks = table["asks"].to_numpy()
-        ids, v = table["id"].to_numpy(), _matrix(table["v"], dimensions)
-        own, others = np.flatnonzero(asks), np.flatnonzero(~asks)
+        v = _matrix(table["v"], dimensions)
+        ids, lists = table["class"].to_numpy(), table["ids"].to_pylist()
+        own, others = (np.flatnonzero(table[x].to_numpy(zero_copy_only=False).astype(bool)) for x in ("asks", "answers"))
         if not len(own) or not len(others):
-            return pa.table({"id": pa.array([], pa.int64()), "other": pa.array([], pa.int64()), "cosine": pa.array([], pa.float64())})
+            return pa.table({"class": pa.array([], pa.int64()), "other": pa.array([], pa.int64()), "cosine": pa.array([], pa.float64())})
         others = others[np.argsort(ids[others])]
-        q, d, cosine = search_block(v[others], v[own], k + 1, floor, lines(dimensions))
-        return pa.table({"id": ids[own][q.astype(np.int64)], "other": ids[others][d.astype(np.int64)], "cosine": np.minimum(cosine, 1.0)})
-
-    hits = placed.groupBy("cell", "data_block", "query_block").applyInArrow(compare, "id long, other long, cosine double")
-    best = Window.partitionBy("id").orderBy(F.round("cosine", 7).desc(), "other")
+        q, d, cosine = (x.astype(y) for x, y in zip(search_block(v[others], v[own], k + 1, floor, lines(dimensions)), (np.int64, np.int64, np.float64)))
+        answers = [lists[i] for i in others[d]]
+        many = np.fromiter(map(len, answers), np.int64, len(answers))
+        asking, flat = np.repeat(ids[own][q], many), np.fromiter((x for a in answers for x in a), np.int64, int(many.sum()))
+        return pa.table({"class": asking, "other": flat, "cosine": np.repeat(np.minimum(cosine, 1.0), many)})
+
+    hits = placed.groupBy("cell", "data_block", "query_block").applyInArrow(compare, "class long, other long, cosine double")
+    best = Window.partitionBy("class").orderBy(F.round("cosine", 7).desc(), "other")
     hits = hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k + 1)
-    lists = hits.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("rank", "other", "cosine"))).alias("found"))
-
-    # every asked member of a class gets the list of its class, without itself
-    alone = lists
-    copies = classes.where("asked AND members > 1").select("v", "class")
-    m = members.where("asked").select("id", "v").join(copies, "v").where(F.col("id") != F.col("class")).select(F.col("id").alias("member"), "class")
-    shared_lists = m.join(lists.withColumnRenamed("id", "class"), "class").select(F.col("member").alias("id"), "found")
-    if queries is not None:  # a class's first member asks for it even if it is no query itself
-        alone = lists.withColumnRenamed("id", key).where(queries).withColumnRenamed(key, "id")
-    own = alone.unionByName(shared_lists)
+    lists = hits.groupBy("class").agg(F.array_sort(F.collect_list(F.struct("rank", "other", "cosine"))).alias("found"))
+
+    # every member of a class that asks gets the list of its class, without itself
+    alone = lists.select(F.col("class").alias("id"), "found")
+    copies = classes.where(F.size("ids") > 1).select("v", "class")
+    members = rows.join(copies, "v").where(F.col("id") != F.col("class")).select("id", "class").distinct()
+    own = alone.unionByName(members.join(lists, "class").select("id", "found"))
+    if queries is not None:
+        own = own.where(queries(F.col("id")))
     own = own.select("id", F.posexplode(F.slice(F.filter("found", lambda x: x["other"] != F.col("id")), 1, k)).alias("place", "hit"))
     cosine = F.col("hit.cosine")
     return own.select(F.col("id").alias(key), F.col("hit.other").alias("neighbour"), (F.col("place") + 1).alias("rank"), cosine.alias("cosine"), ((cosine + 1) / 2).alias("score"))
