@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,9 +89,10 @@ def p95(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     counts = counts.select(*keys, "__cell", "m", (F.sum("m").over(ordered) - F.col("m")).alias("below"), F.sum("m").over(group.rowsBetween(*all_rows)).alias("n"))
     at = F.least(F.floor(F.col("n") * F.lit(0.95)), F.col("n") - 1)
     chosen = counts.where((at >= F.col("below")) & (at < F.col("below") + F.col("m")))
-    on = [rows[k].eqNullSafe(chosen[k]) for k in [*keys, "__cell"]]
+    r, c = rows.alias("r"), chosen.drop("m").alias("c")
+    same = reduce(and_, (F.col(f"r.{k}").eqNullSafe(F.col(f"c.{k}")) for k in [*keys, "__cell"]))
     upto = F.sum("c").over(Window.partitionBy(*keys).orderBy("__v"))
-    inside = rows.join(chosen, on).select(*[rows[k] for k in keys], "__v", "c", "below", "n").withColumn("upto", F.col("below") + upto)
+    inside = r.join(c, same).select(*[F.col(f"r.{k}").alias(k) for k in keys], "r.__v", "r.c", "c.below", "c.n").withColumn("upto", F.col("below") + upto)
     return inside.where((at < F.col("upto")) & (at >= F.col("upto") - F.col("c"))).select(*keys, "n", F.col("__v").alias("p95"))
 
 
