@@ -36,7 +36,7 @@ BLOCK_DATA, BLOCK_QUERIES = 4096, 8192
 #: Random lines; half-width of a window in units of the distance it is made for; standard deviations of allowance in the threshold.
 PROJECTIONS, WIDTH, ALLOWANCE = 32, 1.645, 3.2
 #: Cosines for which the windows are made, one after the other; the last stands for windows over everything.
-LEVELS = (0.97, 0.92, 0.88, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, -1.0)
+LEVELS = (0.95, 0.88, 0.6, 0.4, -1.0)
 
 
 def usable(df: DataFrame, vector: str, dimensions: int) -> DataFrame:
