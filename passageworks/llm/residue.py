@@ -31,9 +31,9 @@ from passageworks.session import cut_lineage
 #: Size of the hashed feature space.
 DIMENSIONS = 1 << 18
 #: Bounds of the labelled sample that the classifier is fitted on: documents read for it, and sentences kept.
-SAMPLE_DOCUMENTS, SAMPLE_SENTENCES = 20_000, 40_000
+SAMPLE_DOCUMENTS, SAMPLE_SENTENCES = 10_000, 40_000
 #: One easy negative in so many is kept; one host in so many is held out.
-EASY_EVERY, HELD_OUT_EVERY = 12, 5
+EASY_EVERY, HELD_OUT_EVERY = 20, 5
 #: Sentences up to this length are all kept, since a short one says little.
 SHORT_CHARS = 24
 #: Probability from which a sentence is a case.
@@ -329,7 +329,7 @@ def _design(rows: list[tuple[str, str | None, bool]]) -> tuple[np.ndarray, np.nd
     return np.array(at, np.int64), np.array(columns, np.int64), np.array(value)
 
 
-def _fit(rows: list[tuple[str, str | None, bool]], labels: np.ndarray, penalty: float = 1e-5, passes: int = 250) -> tuple[np.ndarray, float]:
+def _fit(rows: list[tuple[str, str | None, bool]], labels: np.ndarray, penalty: float = 1e-5, passes: int = 150) -> tuple[np.ndarray, float]:
     """Logistic regression with an L2 penalty, by accelerated gradient steps; cases weigh ``CASES_WEIGH`` of all."""
     at, columns, value = _design(rows)
     n = len(rows)
