@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +45,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def rewritten(df: DataFrame, old: str | None = None) -> tuple[DataFrame, str]:
+    """``df`` as a table in the shared folder, and its path; the table at ``old`` is dropped after that.
+
+    Unlike a checkpoint, what is read back carries the size of its files, not
+    an estimate made from the sizes of all plans before it: loops whose joins
+    feed the next round need that.
+    """
+    spark, path = df.sparkSession, f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    if old:
+        place = spark._jvm.org.apache.hadoop.fs.Path(old)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
 def small_side(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only when the counted ``rows`` stay under ``limit``; else the join shuffles."""
     return F.broadcast(df) if rows <= limit else df
