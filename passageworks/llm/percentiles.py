@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from passageworks.session import cut_lineage, small_side
+from passageworks.session import rewritten, small_side
 
 #: Parts into which one pass divides an open interval.
 FANOUT = 256
@@ -35,16 +35,22 @@ def _value(column: Column) -> Column:
     return F.when(~F.isnan(number), number + F.lit(0.0))
 
 
-def _scale(v: Column) -> Column:
-    return F.signum(v) * F.log1p(F.abs(v))
-
-
 def _part(v: Column, lo: Column, hi: Column, fanout: int) -> Column:
-    """Which of ``fanout`` parts of [lo, hi] holds ``v``: equal in value where lo and hi are near
-    each other, else equal in log(1 + |v|); never decreasing in ``v``."""
-    near = ((lo > 0) & (hi <= lo * 4)) | ((hi < 0) & (lo >= hi * 4)) | (_scale(hi) <= _scale(lo))
-    place = F.when(near, (v - lo) / F.nullif(hi - lo, F.lit(0.0))).otherwise((_scale(v) - _scale(lo)) / F.nullif(_scale(hi) - _scale(lo), F.lit(0.0)))
-    return F.least(F.floor(F.coalesce(place, F.lit(0.0)) * fanout), F.lit(fanout - 1)).cast("int")
+    """In which part of [lo, hi] ``v`` lies; never decreasing in ``v``, and lo and hi lie in different parts.
+
+    Parts are equal in value where lo and hi are near each other and equal in
+    the logarithm where they are not.  Around zero either sign has its own
+    parts, and zero too, so that later passes see one sign only.
+    """
+    size = lambda x: F.log(F.nullif(F.abs(x), F.lit(0.0)))
+    near = F.greatest(F.abs(lo), F.abs(hi)) <= F.least(F.abs(lo), F.abs(hi)) * 4
+    linear = (v - lo) / F.nullif(hi - lo, F.lit(0.0))
+    relative = (size(v) - size(lo)) / F.nullif(size(hi) - size(lo), F.lit(0.0))
+    one_sign = F.floor(F.least(F.greatest(F.coalesce(F.when(near, linear).otherwise(relative), F.lit(0.0)), F.lit(0.0)), F.lit(1.0)) * (fanout - 1))
+    half = max(fanout // 2, 2)
+    share = F.log1p(F.abs(v)) / F.log1p(F.greatest(F.abs(lo), F.abs(hi)))
+    around = half + F.signum(v) * (1 + F.floor(share * (half - 2)))
+    return F.when((lo > 0) | (hi < 0), one_sign).otherwise(around).cast("int")
 
 
 def _same(a: str, b: str, keys: list[str]) -> Column:
@@ -54,17 +60,15 @@ def _same(a: str, b: str, keys: list[str]) -> Column:
 def _resolve(rows: DataFrame, keys: list[str], targets: DataFrame, fanout: int) -> DataFrame:
     """Bisection proper.  ``rows``: keys, lo = hi, n (a raw value has n = 1).  ``targets``: keys, rank
     (from 0), lo, hi, below.  Gives ``targets`` with every interval closed."""
-    done = None
+    path = None
     while True:
-        state = targets.groupBy().agg(F.count("*").alias("n"), F.count_if(F.col("lo") < F.col("hi")).alias("open")).first()
-        closed = targets.where(F.col("lo") >= F.col("hi"))
-        done = closed if done is None else done.unionByName(closed)
-        if not state["open"]:
-            return done
-        targets = targets.where(F.col("lo") < F.col("hi"))
+        count = targets.where("lo < hi").count()
+        if not count:
+            return targets
+        closed, targets = targets.where("lo >= hi"), targets.where("lo < hi")
         # ranks that still share an interval share its counts
         spans = targets.select(*keys, F.col("lo").alias("__lo"), F.col("hi").alias("__hi"), F.col("below").alias("__below")).distinct()
-        r, s = rows.alias("r"), small_side(spans, state["open"]).alias("s")
+        r, s = rows.alias("r"), small_side(spans, count).alias("s")
         inside = r.join(s, _same("r", "s", keys) & (F.col("r.lo") >= F.col("s.__lo")) & (F.col("r.hi") <= F.col("s.__hi")))
         counts = (
             inside.select(*[F.col(f"r.{k}").alias(k) for k in keys], "__lo", "__hi", "__below", F.col("r.lo").alias("lo"), F.col("r.hi").alias("hi"), "n")
@@ -77,7 +81,7 @@ def _resolve(rows: DataFrame, keys: list[str], targets: DataFrame, fanout: int)
         c, t = counts.alias("c"), targets.alias("t")
         holds = (F.col("t.lo") == F.col("c.__lo")) & (F.col("t.hi") == F.col("c.__hi")) & (F.col("t.rank") >= F.col("c.below")) & (F.col("t.rank") < F.col("c.below") + F.col("c.n"))
         narrowed = t.join(c, _same("t", "c", keys) & holds).select(*[F.col(f"t.{k}").alias(k) for k in keys], "t.rank", "c.lo", "c.hi", "c.below")
-        targets = cut_lineage(narrowed)
+        targets, path = rewritten(closed.unionByName(narrowed), path)
 
 
 def exact_percentiles(df: DataFrame, keys: list[str], value: str | Column, percentiles: list[float], fanout: int = FANOUT) -> DataFrame:
@@ -85,8 +89,8 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str | Column, perce
     interpolated linearly between the two nearest ranks; error 0.
 
     Null and NaN are no values; a group without any keeps its row with n = 0
-    and null percentiles.  Infinities are values (between two infinite ranks
-    the percentile is that infinity).  Ties and repeated rows count each; null
+    and null percentiles.  Infinities are values: beside an infinite rank the
+    percentile is that infinity (the lower one of two).  Ties and repeated rows count each; null
     keys are groups; an empty table gives an empty table; with ``keys=[]`` the
     whole table is one group.  Columns of ``df`` outside ``keys`` never reach
     the result.
@@ -120,11 +124,11 @@ def _percentiles(rows: DataFrame, k: list[str], percentiles: list[float], fanout
     )
     if not k:
         groups = groups.where(F.col("n") > 0)
-    groups = cut_lineage(groups)
+    groups, _ = rewritten(groups)
     ranks = F.array_distinct(F.flatten(F.array(*[F.array(F.floor((F.col("n") - 1) * q).cast("long"), F.ceil((F.col("n") - 1) * q).cast("long")) for q in percentiles])))
     wanted = groups.where(F.col("n") > 0).withColumn("rank", F.explode(ranks))
     beyond = F.when(F.col("rank") < F.col("n_low"), F.lit(-infinite)).when(F.col("rank") >= F.col("n") - F.col("n_high"), F.lit(infinite))
-    targets = wanted.select(*k, "rank", F.coalesce(beyond, F.col("lo")).alias("lo"), F.coalesce(beyond, F.col("hi")).alias("hi"), F.col("n_low").alias("below"))
+    targets = wanted.select(*k, F.col("rank"), F.coalesce(beyond, F.col("lo")).alias("lo"), F.coalesce(beyond, F.col("hi")).alias("hi"), F.col("n_low").alias("below"))
     closed = _resolve(rows.where(finite), k, targets, fanout)
     found = closed.groupBy(*k).agg(F.map_from_entries(F.collect_list(F.struct("rank", F.col("hi").alias("v")))).alias("__at"))
     g, f = groups.alias("g"), found.alias("f")
@@ -133,7 +137,8 @@ def _percentiles(rows: DataFrame, k: list[str], percentiles: list[float], fanout
     for q in percentiles:
         at = (F.col("g.n") - 1) * q
         below, above = F.try_element_at("f.__at", F.floor(at).cast("long")), F.try_element_at("f.__at", F.ceil(at).cast("long"))
-        out.append(F.when(below == above, below).otherwise(below + (above - below) * (at - F.floor(at))).alias(_name(q)))
+        between = below + (above - below) * (at - F.floor(at))
+        out.append(F.when((below == above) | (F.abs(below) == infinite), below).when(F.abs(above) == infinite, above).otherwise(between).alias(_name(q)))
     return joined.select(*[F.col(f"g.{x}").alias(x) for x in k], "g.n", *out)
 
 

@@ -50,7 +50,7 @@ _SENTENCES = re.compile(r"(?<=[^.!?。！？؟।][.!?。！？؟।])(?<![A-Z0]
 
 
 def sentences(text: str) -> Iterator[str]:
-    """Sentences of each line; long unbroken ones in windows that overlap by half."""
+    """Sentences of each line, a short line as one; long unbroken ones in windows that overlap by half."""
     for line in _LINES.split(text):
         for part in _SENTENCES.split(line) if len(line) > 40 else (line,):
             part = part.strip()
