@@ -238,9 +238,12 @@ def _slot(feature: str) -> int:
     return zlib.crc32(feature.encode()) & DIMENSIONS - 1
 
 
-def _features(part: str, title: str | None, alone: bool, tokens: _Tokens) -> tuple[list[str], list[str]]:
-    """Features of one sentence: its tokens, of which pairs are features too, and those of length and title."""
-    marked = _MARKED(part)
+def _features(part: str, title: str | None, alone: bool, tokens: _Tokens, marks: bool = True) -> tuple[list[str], list[str]]:
+    """Features of one sentence: its tokens, of which pairs are features too, and those of length and title.
+
+    ``marks`` may be False if the whole text is known to hold none.
+    """
+    marked = marks and _MARKED(part)
     own = list(map(tokens.__getitem__, (_TOKENS if marked else _PLAIN_TOKENS)(part)))
     n = len(own)
     out = []
@@ -276,12 +279,12 @@ class _Weights(dict):
     """Weight by feature, or by the two tokens of a pair, looked up by hash; forgets everything when full."""
 
     def __init__(self, vector: np.ndarray):
-        self._vector = vector
+        self._vector = vector.tolist()
 
     def __missing__(self, feature: str | tuple[str, str]) -> float:
         if len(self) > 500_000:
             self.clear()
-        self[feature] = x = float(self._vector[_slot(feature if isinstance(feature, str) else " ".join(feature))])
+        self[feature] = x = self._vector[_slot(feature if isinstance(feature, str) else " ".join(feature))]
         return x
 
 
@@ -306,9 +309,9 @@ class ResidueModel:
         def score(text: str, title: str | None) -> tuple[float, str | None]:
             worst, which = -50.0, None
             parts = list(sentences(text))
-            alone = len(parts) == 1
+            alone, marks = len(parts) == 1, _MARKED(text) is not None
             for part in parts:
-                own, rest = _features(part, title, alone, tokens)
+                own, rest = _features(part, title, alone, tokens, marks)
                 total = sum(map(weight, own)) + sum(map(weight, pairwise(own))) + sum(map(weight, rest))
                 value = bias + total / (max(2 * len(own) - 1, 0) + len(rest)) ** 0.5
                 if value > worst:
