@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from passageworks.functions.text import WHITE
 from passageworks.operators.parsing import parse_passages
 from passageworks.operators.regular_grid import regular_grid
 from passageworks.session import read_table
@@ -13,12 +14,16 @@ METRICS = ["gpu_util_pct", "ram_used_mb"]
 
 
 def p3_grid(spark: SparkSession, d: str) -> DataFrame:
+    return _grid(spark, d).withColumn("value", F.round("value", 6))
+
+
+def _grid(spark: SparkSession, d: str) -> DataFrame:
     return regular_grid(read_table(spark, d, "hardware"), METRICS)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     slot = F.translate(F.col("slot").cast("string"), " ", "T").alias("slot")
-    return p3_grid(spark, d).where(F.col("status") != "observed").select("run_id", "metric", slot)
+    return _grid(spark, d).where(F.col("status") != "observed").select("run_id", "metric", slot)
 
 
 def p5_parsed(spark: SparkSession, d: str) -> DataFrame:
@@ -44,7 +49,32 @@ _H = """
     g AS (SELECT run_id, metric, unnest(generate_series(a, z)) AS s FROM b),
     x AS (SELECT DISTINCT run_id, metric, s FROM h WHERE v IS NOT NULL AND NOT isnan(v))"""
 
+# a field is quoted, or does not begin with a quote; a record is such fields between tabs
+_FIELD = r'"(?:[^"]|"")*"|[^"\t][^\t]*|'
+_UNQUOTED = ", ".join(f"""CASE WHEN x.{c} LIKE '"%' THEN replace(x.{c}[2:-2], '""', '"') ELSE x.{c} END AS {c}""" for c in "itn")
+_R = rf"""
+    WITH f AS (SELECT rec_no, raw, regexp_full_match(raw, '(?:{_FIELD})(?:\t(?:{_FIELD}))*') AS quoted, regexp_full_match(raw, '(?:{_FIELD})\t(?:{_FIELD})\t(?:{_FIELD})') AS three,
+        regexp_extract(raw, '^({_FIELD})\t({_FIELD})\t({_FIELD})$', ['i', 't', 'n']) AS x FROM raw_passages),
+    u AS (SELECT rec_no, raw, quoted, three, {_UNQUOTED} FROM f),
+    r AS (SELECT *, CASE WHEN raw IS NULL OR raw = '' THEN 'columns' WHEN NOT quoted THEN 'quoting' WHEN NOT three THEN 'columns'
+        WHEN NOT regexp_full_match(i, '[0-9]{{1,18}}') OR regexp_full_match(t, '{WHITE}*') OR regexp_matches(t, '[\x00-\x08\x0b\x0c\x0e-\x1f\x{{fffd}}]') THEN 'value' END AS reason FROM u)"""
+
 ORACLE = {
+    "p5_found": f"{_R} SELECT rec_no, reason FROM r WHERE reason IS NOT NULL",
+    "p5_loaded": f"{_R} SELECT rec_no, i::bigint AS id, t AS text, n AS title FROM r WHERE reason IS NULL",
+    "p3_grid": """
+    WITH h AS (
+        SELECT run_id, 'gpu_util_pct' AS metric, "timestamp" AS ts, recv_at, gpu_util_pct AS v FROM hardware WHERE "timestamp" IS NOT NULL
+        UNION ALL SELECT run_id, 'ram_used_mb', "timestamp", recv_at, ram_used_mb FROM hardware WHERE "timestamp" IS NOT NULL),
+    s AS (SELECT *, epoch(date_trunc('second', ts))::bigint // 10 AS s FROM h),
+    b AS (SELECT run_id, metric, min(s) AS a, max(s) AS z FROM s GROUP BY run_id, metric),
+    x AS (SELECT run_id, metric, s, v FROM s WHERE v IS NOT NULL AND NOT isnan(v) QUALIFY row_number() OVER (PARTITION BY run_id, metric, s ORDER BY ts DESC, recv_at DESC NULLS LAST, v DESC) = 1),
+    g AS (SELECT run_id, metric, unnest(generate_series(a, z)) AS s FROM b),
+    j AS (SELECT g.run_id, g.metric, g.s, x.v, x.s AS own FROM g LEFT JOIN x ON g.run_id IS NOT DISTINCT FROM x.run_id AND g.metric = x.metric AND g.s = x.s),
+    n AS (SELECT *, last_value(own IGNORE NULLS) OVER p AS ps, last_value(v IGNORE NULLS) OVER p AS pv, first_value(own IGNORE NULLS) OVER f AS ns, first_value(v IGNORE NULLS) OVER f AS nv FROM j
+        WINDOW p AS (PARTITION BY run_id, metric ORDER BY s ROWS UNBOUNDED PRECEDING), f AS (PARTITION BY run_id, metric ORDER BY s ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+    SELECT run_id, metric, make_timestamp(s * 10000000) AS slot, round(CASE WHEN own IS NOT NULL THEN v WHEN ns - ps <= 7 THEN pv + (nv - pv) * (s - ps) / (ns - ps)::double END, 6) AS value,
+        CASE WHEN own IS NOT NULL THEN 'observed' WHEN ns - ps <= 7 THEN 'interpolated' ELSE 'missing' END AS status FROM n""",
     "p3_found": f"""{_H}
         SELECT g.run_id, g.metric, strftime(make_timestamp(g.s * 10000000), '%Y-%m-%dT%H:%M:%S') AS slot
         FROM g LEFT JOIN x ON g.run_id IS NOT DISTINCT FROM x.run_id AND g.metric = x.metric AND g.s = x.s WHERE x.s IS NULL""",
