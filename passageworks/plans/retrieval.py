@@ -383,3 +383,14 @@ def trace_struct(spark, d):
 def extracted_answers(spark, d):
     """The extractive stand-in for a generator."""
     return _traces(spark, d).select("trace_id", generate.extract_answer(F.col("retrieved")["text"]).alias("answer"))
+
+
+@query()
+def pipeline_run(spark, d):
+    """Every question through the whole pipeline over the passages, with the stand-ins for models."""
+    from passageworks.operators.chunking import chunk_prechunked
+    from passageworks.operators.pipeline import QuestionPipeline, hash_vectors
+
+    chunks = chunk_prechunked(read_table(spark, d, "passages").dropDuplicates(["id"]), "id", "text").select(F.col("id").cast("long").alias("vec_id"), "chunk_id", F.col("chunk_text").alias("text"))
+    store = chunks.join(hash_vectors(chunks, "vec_id", "text"), "vec_id")
+    return QuestionPipeline(store).run(read_table(spark, d, "qa_samples")).select("sample_id", F.size("retrieved").alias("n_retrieved"), F.size("reranked").alias("n_reranked"), "prompt", "answer")
