@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from passageworks.functions import vectors as V
 from passageworks.operators import evaluate as E
 from passageworks.operators import ingest, telemetry
+from passageworks.plans.corpus import folder
 from passageworks.plans.retrieval import _traces
 from passageworks.session import read_table
+from passageworks.sources import readers
 
 QUERIES, ORACLE = {}, {}
 STAGES = ("embed", "retrieve", "rerank", "generate")
@@ -71,6 +73,16 @@ def run_bounds(spark, d):
     return _traces(spark, d).groupBy("pipeline").agg(bound(F.min_by, "pipeline_start").alias("first_start"), bound(F.max_by, "pipeline_end").alias("last_end"), F.count("*").alias("n_runs"))
 
 
+@query(f"{_T} SELECT pipeline, min(wall_time['pipeline_start'])::varchar AS start, max(wall_time['pipeline_end'])::varchar AS end FROM t WHERE pipeline IS NOT NULL GROUP BY pipeline")
+def report_times(spark, d):
+    """Reports written as JSON, of which start and end are read again."""
+    path = folder(spark, "report")
+    iso = lambda c: F.translate(c.cast("string"), " ", "T")
+    runs = _traces(spark, d).where("pipeline IS NOT NULL").groupBy("pipeline").agg(iso(F.min(_clock("pipeline_start"))).alias("pipeline_start"), iso(F.max(_clock("pipeline_end"))).alias("pipeline_end"), F.count("*").alias("n_samples"))
+    readers.write_report(runs.withColumn("stages", F.struct("n_samples")), path)
+    return readers.read_report_times(spark, path, False).select("pipeline", F.col("start").cast("string").alias("start"), F.col("end").cast("string").alias("end"))
+
+
 _TOKENS = "len(regexp_extract_all(answer, '[^ ]+'))"
 _TPS = f"CASE WHEN {_TOKENS} > 0 AND latency_ms['generate'] > 0 AND NOT isnan(latency_ms['generate']) THEN {_TOKENS} / (latency_ms['generate'] * 1e6 / 1e9) END"
 

@@ -111,6 +111,22 @@ def topk_lookup(spark, d):
     return retrieval.lookup(_topk(spark, d, k=CUT), _vectors(spark, d).select("vec_id", "label"))
 
 
+def _scored(metric):
+    def scores(spark, d):
+        """Every vector against the one after it."""
+        a = _vectors(spark, d).select("vec_id", "embedding")
+        b = a.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("x"))
+        raw = {"cosine": V.cosine, "dot": V.dot, "l2": V.squared_distance}[metric]("embedding", "x")
+        return a.join(b, "vec_id").select("vec_id", F.round(V.score(raw, metric), 9).alias("score"))
+
+    return scores
+
+
+for _metric, _sql in _SCORES.items():
+    QUERIES[f"score_{_metric}"] = _scored(_metric)
+    ORACLE[f"score_{_metric}"] = f"SELECT q.vec_id, round({_sql}, 9) AS score FROM embeddings q JOIN embeddings x ON x.vec_id = q.vec_id + 1"
+
+
 _REL = f"""
     WITH t AS ({sql_topk('cosine', TOP)}),
     r AS (SELECT qid, list(q.label = x.label ORDER BY rk) AS rel FROM t JOIN embeddings q ON q.vec_id = qid JOIN embeddings x ON x.vec_id = did GROUP BY qid),

@@ -46,9 +46,9 @@ def read_telemetry(spark: SparkSession, path: str, stream: bool = False) -> Data
     return reader.schema(schema).options(header=True, timestampNTZFormat="yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]", mode="PERMISSIVE").csv(path)
 
 
-def read_report_times(spark: SparkSession, path: str) -> DataFrame:
-    """Start and end of the pipeline in a report."""
-    rows = spark.read.schema("pipeline string, pipeline_start string, pipeline_end string").option("multiLine", True).json(path)
+def read_report_times(spark: SparkSession, path: str, pretty: bool = True) -> DataFrame:
+    """Start and end of the pipeline in reports: one object a file, or one a line unless ``pretty``."""
+    rows = spark.read.schema("pipeline string, pipeline_start string, pipeline_end string").option("multiLine", pretty).json(path)
     return rows.select("pipeline", F.col("pipeline_start").cast("timestamp_ntz").alias("start"), F.col("pipeline_end").cast("timestamp_ntz").alias("end"))
 
 
