@@ -110,8 +110,15 @@ def assemble_records(lines: DataFrame, file: str = "file", block: str = "block",
     opening = ends.groupBy("file").applyInArrow(_chain, "file string, block long, inside boolean")
     joined = rows.join(opening, [rows["file"].eqNullSafe(opening["file"]), rows["block"] == opening["block"]]).select(rows["file"], rows["block"], "line_no", "line", "inside")
     pieces = joined.groupBy("file", "block").applyInArrow(lambda t: _assemble(t, separator), "file string, block long, line_no long, raw string, continues boolean")
-    whole = pieces.withColumn("record", F.sum(F.when(F.col("continues"), 0).otherwise(1)).over(Window.partitionBy("file").orderBy("line_no")))
-    return whole.groupBy("file", "record").agg(F.min("line_no").alias("line_no"), F.concat_ws("\n", F.transform(F.sort_array(F.collect_list(F.struct("line_no", "raw"))), lambda x: x["raw"])).alias("raw")).select("file", "line_no", "raw")
+    # a piece that continues belongs to the last record begun in an earlier block; again one small row per block
+    begun = pieces.groupBy("file", "block").agg(F.max(F.when(~F.col("continues"), F.col("line_no"))).alias("last"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    begun = begun.select("file", "block", F.last("last", ignorenulls=True).over(earlier).alias("owner"))
+    p, o = pieces.alias("p"), begun.alias("o")
+    owned = p.join(o, F.col("p.file").eqNullSafe(F.col("o.file")) & (F.col("p.block") == F.col("o.block")))
+    owned = owned.select("p.file", "line_no", "raw", F.when(F.col("continues"), F.col("owner")).otherwise(F.col("line_no")).alias("record"))
+    whole = owned.groupBy("file", "record").agg(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("line_no", "raw"))), lambda x: x["raw"])).alias("raw"))  # one piece per block that a record touches
+    return whole.select("file", F.col("record").alias("line_no"), "raw")
 
 
 def inside_after(line: str, inside: bool, separator: str = "\t") -> bool:
