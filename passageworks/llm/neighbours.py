@@ -64,12 +64,16 @@ def _unit(df: DataFrame, key: str, vector: str, dimensions: int) -> DataFrame:
 
 
 def fit_cells(sample: np.ndarray, cells: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
-    """Centroids by k-means on the unit sphere; beyond 1,024 in two levels, with cells in proportion to the sample."""
+    """Distinct centroids by k-means on the unit sphere; beyond 1,024 in two levels, with cells in proportion to the sample.
+
+    Copies in the sample count once, else a hot class would start many cells at one place.
+    """
     rng = np.random.default_rng(seed)
+    sample = np.unique(sample, axis=0)
     if cells > 1024 and len(sample) > cells:
         top = fit_cells(sample, isqrt(cells), rounds, seed)
         at = (sample @ top.T).argmax(axis=1)
-        return np.concatenate([fit_cells(own, max(1, round(cells * len(own) / len(sample))), rounds, seed) for own in (sample[at == i] for i in range(len(top))) if len(own)])
+        return np.unique(np.concatenate([fit_cells(own, max(1, round(cells * len(own) / len(sample))), rounds, seed) for own in (sample[at == i] for i in range(len(top))) if len(own)]), axis=0)
     cells = max(1, min(cells, len(sample)))
     c = sample[rng.choice(len(sample), cells, replace=False)]
     for _ in range(rounds):
@@ -80,7 +84,16 @@ def fit_cells(sample: np.ndarray, cells: int, rounds: int = 8, seed: int = 7) ->
         moved[at[order][first]] = np.add.reduceat(sample[order], first, axis=0)
         norm = np.linalg.norm(moved, axis=1, keepdims=True)
         c = np.where(norm > 1e-9, moved / np.maximum(norm, 1e-9), c).astype(np.float32)
-    return c
+    return np.unique(c, axis=0)
+
+
+def visited(v: np.ndarray, centroids: np.ndarray, probes: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``probes`` nearest cells of every vector, and which of them is its home: always exactly one, also if centroids tie."""
+    far, own = -(v @ centroids.T), min(probes, len(centroids))
+    home = far.argmin(axis=1)
+    far[np.arange(len(v)), home] = -np.inf  # so that it is among those taken
+    cell = np.argpartition(far, own - 1, axis=1)[:, :own] if own < len(centroids) else np.tile(np.arange(own), (len(v), 1))
+    return cell, cell == home[:, None]
 
 
 def lines(dimensions: int, projections: int = PROJECTIONS, seed: int = 11) -> np.ndarray:
@@ -169,13 +182,7 @@ def similar(
     come from a sample.
     """
     rows = _unit(usable(df, vector, dimensions), key, vector, dimensions)
-    spark, total = df.sparkSession, rows.count()
-    cells = max(1, min(MAX_CELLS, total // cell_vectors))
-    size = min(SAMPLE_MOST, max(SAMPLE_LEAST, SAMPLE_PER_CELL * cells))
-    every = max(1, total // size)
-    sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).limit(size).select("v").toArrow()["v"]
-    centroids = fit_cells(_matrix(sample, dimensions), cells) if len(sample) else np.zeros((1, dimensions), np.float32)
-    shared = spark.sparkContext.broadcast(centroids)  # at most MAX_CELLS vectors
+    spark = df.sparkSession
 
     # A class of copies is one row with its first k + 1 ids: the surplus of a hot class is dropped before the
     # shuffle, and what remains of a class is bounded.
@@ -184,15 +191,20 @@ def similar(
     asks = F.lit(True) if queries is None else F.exists("ids", queries) | (F.size("ids") > k)
     classes = cut_lineage(classes.select(F.element_at("ids", 1).alias("class"), "ids", "v", asks.alias("asks")))
 
+    # cells are made for classes, since a class stands in its cell once
+    total = classes.count()
+    cells = max(1, min(MAX_CELLS, total // cell_vectors))
+    size = min(SAMPLE_MOST, max(SAMPLE_LEAST, SAMPLE_PER_CELL * cells))
+    every = max(1, total // size)
+    sample = classes.where(F.pmod(F.xxhash64("class"), F.lit(every)) == 0).limit(size).select("v").toArrow()["v"]
+    centroids = fit_cells(_matrix(sample, dimensions), cells) if len(sample) else np.zeros((1, dimensions), np.float32)
+    shared = spark.sparkContext.broadcast(centroids)  # at most MAX_CELLS vectors
+
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = shared.value
-        own = min(probes, len(c))
         for batch in batches:
             if not batch.num_rows:
                 continue
-            near = -(_matrix(batch.column(2), dimensions) @ c.T)
-            cell = np.argpartition(near, own - 1, axis=1)[:, :own] if own < len(c) else np.tile(np.arange(own), (len(near), 1))
-            home = cell == near.argmin(axis=1)[:, None]
+            cell, home = visited(_matrix(batch.column(2), dimensions), shared.value, probes)
             asks = np.broadcast_to(np.asarray(batch.column(3).to_numpy(zero_copy_only=False), bool)[:, None], cell.shape)
             at, place = np.nonzero(home | asks)
             columns = [batch.column(i).take(pa.array(at)) for i in range(3)]

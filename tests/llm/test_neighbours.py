@@ -68,6 +68,33 @@ def test_copies_and_unusable_vectors(spark):
     assert all(len(v) == 10 and i not in {j for _, j, _ in v} for i, v in got.items())
 
 
+def test_every_class_answers_once_if_centroids_tie():
+    rng = np.random.default_rng(6)
+    c = rng.standard_normal((60, 8)).astype(np.float32)
+    c[20:40] = c[0]
+    c /= np.linalg.norm(c, axis=1)[:, None]
+    v = np.concatenate([c, (c[:1] + 0.01 * rng.standard_normal((200, 8))).astype(np.float32)])
+    for probes in (1, 3, 60, 99):
+        cell, home = N.visited(v, c, probes)
+        assert (home.sum(axis=1) == 1).all() and (cell[home] == (v @ c.T).argmax(axis=1)).all()
+        assert all(len(set(x)) == min(probes, 60) for x in cell.tolist())
+    assert len(N.fit_cells(v[np.r_[:60, [0] * 40]], 50)) == len(np.unique(N.fit_cells(v[np.r_[:60, [0] * 40]], 50), axis=0))
+
+
+def test_a_third_of_the_rows_equal_loses_no_pair(spark):
+    rng = np.random.default_rng(8)
+    same = rng.standard_normal(16)
+    near = [(i, same + 0.15 * rng.standard_normal(16)) for i in range(300)]
+    rows = near + [(i, rng.standard_normal(16)) for i in range(300, 1000)] + [(i, same) for i in range(1000, 1500)]
+    # k above the number of copies that stand for their class, so that other classes are neighbours too
+    true = {(i, j) for i, best in exact(near, 10).items() for j, s in best if s >= 0.9}
+    got = {(r["vec_id"], r["neighbour"]) for r in N.similar(frame(spark, rows), k=10, floor=0.9, dimensions=16, probes=8, cell_vectors=20, queries=lambda x: x >= 1000).collect()}
+    assert {i for i, _ in got} == set(range(1000, 1500)) and all(j >= 1000 for _, j in got) and true
+    asked = {r["vec_id"] for r in N.similar(frame(spark, rows), k=10, floor=0.9, dimensions=16, probes=3, cell_vectors=20, queries=lambda x: x < 300).collect()}
+    x = same / np.linalg.norm(same)
+    assert asked >= {i for i, v in near if v @ x / np.linalg.norm(v) >= 0.9}
+
+
 def test_nothing_and_one(spark):
     df = frame(spark, [(1, [1, 0])])
     assert N.similar(df, dimensions=2).count() == 0 and N.similar(df.limit(0), dimensions=2).count() == 0 and N.similar(df, dimensions=3).count() == 0
