@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from passageworks.functions import vectors as V
-from passageworks.operators.retrieval import METRICS, rank_hits
+from passageworks.operators.retrieval import METRICS, dense_topk, rank_hits
 from passageworks.session import small_side
 
 INDEX_TYPES = ("flat", "ivf_flat", "ivf_pq", "ivf_sq")
@@ -58,8 +58,13 @@ def train_cells(df: DataFrame, cells: int, vector: str = "embedding", sample: in
     return df.sparkSession.createDataFrame(found, "cell_id int, centroid array<double>")
 
 
+def cells_for(n: int, nlist: int = 4096) -> int:
+    """Cells for ``n`` vectors: as many as leave the advised 39 vectors each, ``nlist`` at most."""
+    return max(1, min(nlist, n // 39))
+
+
 def nearest_cells(df: DataFrame, cells: DataFrame, count: int, key: str, vector: str) -> DataFrame:
-    """``key, cell_id`` of the ``count`` cells nearest to every vector, ties by cell.
+    """``key, cell_id, place`` (from 1) of the ``count`` cells nearest to every vector, ties by cell.
 
     The centroids travel as one array per task (their number is a setting of
     the index, not of the data), so no row meets a join.
@@ -67,12 +72,12 @@ def nearest_cells(df: DataFrame, cells: DataFrame, count: int, key: str, vector:
     packed = cells.agg(F.array_sort(F.collect_list(F.struct("cell_id", "centroid"))).alias("cells"))
     scored = F.transform("cells", lambda c: F.struct(F.round(V.squared_distance(F.col(vector), c["centroid"]), 9).alias("d"), c["cell_id"].alias("cell_id")))
     near = df.select(key, vector).crossJoin(F.broadcast(packed)).select(key, F.slice(F.array_sort(scored), 1, count).alias("near"))  # one row on the right
-    return near.select(key, F.explode("near.cell_id").alias("cell_id"))
+    return near.select(key, F.posexplode("near.cell_id").alias("place", "cell_id")).select(key, "cell_id", (F.col("place") + 1).alias("place"))
 
 
 def build_ivf(df: DataFrame, cells: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """``df`` with the ``cell_id`` of every vector's nearest centroid; write it partitioned by that column."""
-    return df.join(nearest_cells(df, cells, 1, key, vector), key)
+    return df.join(nearest_cells(df, cells, 1, key, vector).drop("place"), key)
 
 
 def ivf_search(queries: DataFrame, index: DataFrame, cells: DataFrame, k: int, nprobe: int, key: str = "vec_id", vector: str = "embedding", exclude_self: bool = True) -> DataFrame:
@@ -87,6 +92,26 @@ def ivf_search(queries: DataFrame, index: DataFrame, cells: DataFrame, k: int, n
     return rank_hits(hits.select("qid", "did", F.round(V.score(V.cosine("q", "x"), "cosine"), 9).alias("score")), k)
 
 
+def recall_by_probes(exact: DataFrame, queries: DataFrame, index: DataFrame, cells: DataFrame, key: str = "vec_id", vector: str = "embedding") -> list[float]:
+    """Recall of the search with 1, 2, ... cells probed: an exact hit is found as soon as its cell is visited."""
+    homes = exact.select("qid", "did").join(index.select(F.col(key).alias("did"), "cell_id"), "did")
+    places = nearest_cells(queries, cells, n := cells.count(), key, vector).withColumnRenamed(key, "qid")
+    found = {r["place"]: r["count"] for r in homes.join(places, ["qid", "cell_id"]).groupBy("place").count().collect()}  # one row per cell
+    total, out, sum_ = sum(found.values()), [], 0
+    for place in range(1, n + 1):
+        sum_ += found.get(place, 0)
+        out.append(sum_ / total if total else 1.0)
+    return out
+
+
+def choose_nprobe(queries: DataFrame, index: DataFrame, cells: DataFrame, k: int, recall: float, key: str = "vec_id", vector: str = "embedding", most: int = 1000) -> int:
+    """Fewest probes with which about ``most`` of ``queries``, chosen by the hash of their id, find ``recall`` of their exact hits."""
+    every = max(1, -(-queries.count() // most))
+    asked = queries.where(F.pmod(F.xxhash64(key), F.lit(every)) == 0)
+    measured = recall_by_probes(dense_topk(asked, index, k, key=key, vector=vector), asked, index, cells, key, vector)
+    return next(i for i, x in enumerate(measured, 1) if x >= recall)
+
+
 def sq8_ranges(df: DataFrame, vector: str = "embedding") -> DataFrame:
     """One row: least and greatest value of every dimension."""
     each = df.select(F.posexplode(vector).alias("i", "x")).groupBy("i").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))

@@ -72,6 +72,21 @@ def test_ivf_with_every_cell_probed_is_exact(spark):
     assert index.recall_at(retrieval.dense_topk(asked, rows, 5), found).first()[0] == 1.0
 
 
+def test_probes_are_chosen_for_the_recall(spark):
+    rng = np.random.default_rng(4)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.standard_normal((600, 16)))], "vec_id long, embedding array<float>")
+    cells = index.train_cells(rows, 12)
+    asked, stored = rows.where("vec_id % 20 = 0"), index.build_ivf(rows, cells)
+    exact = retrieval.dense_topk(asked, rows, 5)
+    measured = index.recall_by_probes(exact, asked, stored, cells)
+    assert len(measured) == 12 and measured == sorted(measured) and measured[-1] == 1.0
+    nprobe = index.choose_nprobe(rows.where("vec_id % 20 <> 0"), stored, cells, 5, 0.92)
+    assert 3 < nprobe < 12
+    for n in (3, nprobe):
+        assert index.recall_at(exact, index.ivf_search(asked, stored, cells, 5, n)).first()[0] == pytest.approx(measured[n - 1])
+    assert measured[nprobe - 1] >= 0.85 > measured[2]
+
+
 def test_sq8_error_is_at_most_half_a_step(spark):
     rng = np.random.default_rng(3)
     x = rng.standard_normal((50, 4))

@@ -32,3 +32,11 @@ def test_equals_sql(spark, con, name):
 @pytest.mark.parametrize("name", sorted(set(plans.QUERIES) - set(plans.ORACLE)))
 def test_runs(spark, name):
     assert plans.QUERIES[name](spark, DATA).limit(5).count() >= 0
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="the test tables are not here")
+def test_trained_index_reaches_its_recall(spark):
+    d = "/root/testdata/sf0.1"
+    assert plans.QUERIES["ivf_recall"](spark, d).first()["recall"] >= 0.9
+    exact, found = ({(r["qid"], r["did"]) for r in plans.QUERIES[name](spark, d).where("rk <= 10").collect()} for name in ("dense_topk_cosine", "index_roundtrip"))
+    assert len(exact & found) >= 0.9 * len(exact)
