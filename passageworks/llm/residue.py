@@ -79,7 +79,7 @@ _BLANKS = r"_{4,}|\bX{3,}\b|\?{3,}|\.{6,}"
 #: What programs print for a missing value.
 _EMPTY = r"(?:\[object Object\]|#REF!|#N/A|#VALUE!|#NAME\?|undefined|null|NULL|None|NaN|nil|n/a|N/A|\(none\)|\?{3,}|X{3,})"
 _TAGS = {"i", "b", "em", "strong", "ref", "p", "a", "br", "hr", "div", "span", "html", "head", "body", "title", "h1", "h2", "sup", "sub", "code", "pre", "noscript", "table", "tr", "td", "th", "ul", "li", "img", "script", "math", "meta", "link"}
-_TALK = r"\b(variables?|braces?|brackets?|templates?|slots?|syntax|shell|jinja|placeholders?|expands?|markup|tags?|marks links|echo|printf|formula|regex|the set of|jobs?|prompts?|in the words of|as in|stored as|denotes?)\b"
+_TALK = r"\b(variables?|braces?|brackets?|templates?|slots?|syntax|shell|jinja|placeholders?|expands?|markup|tags?|echo|printf|regex)\b"
 
 _STATUS_NAMES = r"(?:bad request|unauthori[sz]ed|payment required|forbidden|(?:page |file )?not found|method not allowed|request time-?out|gone|too many requests|internal server error|not implemented|bad gateway|service (?:temporarily )?unavailable|gateway time-?out)"
 _JS = r"(?:java ?script|\bjs\b|scripts?|scripting)"
@@ -156,37 +156,38 @@ def weak_label(part: str) -> int | None:
     empties = len(_FILLED_BY.findall(part))
     if _LABEL_EMPTY.match(part) or empties >= 2 and not talking:
         return 1
-    if empties or (certain or re.search(_BLANKS, part)) and not odd:
+    # slots beside talk of slots or code: it may be either, so that it is no negative
+    if empties or certain or re.search(_BLANKS, part):
         return None
     return 0
 
 
 # Contrast sentences: invented prose that speaks of the same things, and cases, so that small corpora teach the difference too.
 _SEED_PROSE = (
-    "The crawler skipped all pages that ask readers to enable JavaScript, since they held no text.", "JavaScript was not used for this catalogue; its scripts were written in Perl.", "A template engine marks a variable with braces, as in {{ name }}, while the shell writes ${name}.",
-    "The prompt has the slots {context} and {question}, which are filled before each call.", "In the job script ${HOME} expands to the folder of the user.", "Typesetters used lorem ipsum as dummy text for centuries to judge a typeface.", "Of 300 requests, 12 ended in 404 and were counted as misses.",
-    "When the server answers 503 Service Unavailable, the client waits and tries again.", "The message \"Page not found\" appeared in nine of a thousand visits.", "He was denied access to the castle, and the service there was unavailable to visitors.", "Half of the farmers gave None as their name, and two wrote Null.", "A null answer is stored as null and an undefined score as NaN.",
-    "Page 12 of the register could not be found when the archive was searched.", "Error 7 in the log means a short row; the service then resumed.", "The template [place name] in the old forms was filled in by hand by clerks.", "In the words of the abbot, the [old] mill [...] stood empty for years.", "The dump marks links as [[Town|the town]] and keeps tags such as <i>word</i> or <ref name=3>.",
-    "echo \"$TITLE\" > out.txt; for i in {1..9}; do printf '%(date)T %s\\n' -1 \"${i}\"; done", "Let S = {x | x > 4} be the set of long items; then |S| / 2 gives the share.", "Our TODO list: move the index, drop blank rows and ask for more tests.", "The record reads {\"id\": 4, \"rate\": 0.1} and was kept as it is.", "A sample of 40 words was read aloud; the text itself, a ballad, is lost.", "She enabled scripts on the terminal to count entries and turned them off again.",
+    "Our newsletter explained why some visitors turn JavaScript off and what they miss.", "Perl and JavaScript are both taught in the second term.", "Write {{ user }} wherever the mail should greet somebody, the handbook advises.", "Both $USER and ${USER} name the same variable, said the lecturer.",
+    "Printers have filled specimen sheets with lorem ipsum since the sixties.", "A 404 is harmless, whereas a 500 wakes the engineer on duty.", "Clients should back off whenever they meet 503 Service Unavailable.", "Visitors who saw \"Page not found\" usually returned to the search box.",
+    "Guards denied them entry, and no other inn was available that night.", "Nobody named None or Null could register until the clerks repaired the form.", "Missing marks are kept as null, and averages over nothing become NaN.", "The missing ledger could not be found in either cellar.",
+    "Wiki markup writes [[Target|label]] for a link, and browsers understand <b> or <em>.", "Editors put [sic] after the misspelling and [...] where they shortened the letter.", "if (a < b && c > d) { return a[i] + b[j]; }", "Choose {n | n < 9}, then |A| / 3 bounds the error.", "Remember the TODO list on the fridge: milk, bread and stamps.", "It returns {\"ok\": true, \"rows\": 12} after each upload.",
+    "A form letter has the fields {salutation} and {amount}; the mailer replaces both of them.", "Vue puts a variable into double braces, as in {{ count }}, whereas Bash writes ${count}.", "The macro takes the arguments {left} and {right}, which the printer fills in at each use.", "Of the two slots, {size} and {colour}, the shop fills only the first before printing.",
 )
 _SEED_CASES = (
-    "Please enable JavaScript in your browser to view this page.", "You need to enable JavaScript to run this app.", "This site requires JavaScript.", "JavaScript is disabled.", "Bitte aktivieren Sie JavaScript.", "Veuillez activer JavaScript.", "Active JavaScript en su navegador.", "404 Not Found", "HTTP Error 403.", "Forbidden", "500 Internal Server Error", "502 Bad Gateway", "Access denied",
-    "You do not have permission to open /page on this server.", "The page you requested could not be found.", "Seite nicht gefunden.", "Página no encontrada.", "Erreur 404 : page introuvable.", "An unexpected error occurred.", "Try again later.", "Lorem ipsum dolor sit amet, consectetur adipiscing elit.", "This is sample text.", "Your text goes here.", "Placeholder text", "TBD.", "Coming soon.", "Insert description.", "Placeholder paragraph, to be replaced later.", "We can't show this page right now.",
+    "This site requires JavaScript.", "JavaScript is disabled.", "Bitte aktivieren Sie JavaScript.", "Veuillez activer JavaScript.", "404 Not Found", "HTTP Error 403.", "Forbidden", "500 Internal Server Error", "502 Bad Gateway", "Access denied",
+    "The page you requested could not be found.", "Seite nicht gefunden.", "Página no encontrada.", "Erreur 404 : page introuvable.", "An unexpected error occurred.", "Try again later.", "Lorem ipsum dolor sit amet, consectetur adipiscing elit.", "This is sample text.", "Your text goes here.", "Placeholder text", "TBD.", "Coming soon.", "Insert description.", "Placeholder paragraph, to be replaced later.", "We can't show this page right now.",
     "Dear {{ name }}, your order {{ number }} is ready.", "Title: undefined", "By undefined | undefined", "Welcome to null, home of null.", "The [object Object] of [object Object] was built by [object Object].", "[YOUR NAME] was born in [YOUR CITY].", "${title} is a town near ${place}.", "Question: <insert question>", "Born: ______ Died: ______",
-    "{name} was born in {place} in {year}.", "Answer: %(answer)s", "<<TITLE>>", "XXXX was born in XXXX.", "None was born in None.", "asdf asdf jkl; asdf qwer asdf jkl; qwer", "blah blah blah blah blah blah blah blah",
+    "{name} was born in {place} in {year}.", "Answer: %(answer)s", "<<TITLE>>", "None was born in None.", "asdf asdf jkl; asdf qwer asdf jkl; qwer", "blah blah blah blah blah blah blah blah",
 )
 
 
 
-_FRAMES_OF_SLOTS = ("{0} was born in {1}.", "{0} was born in {1} and wrote on music.", "Question: {0}", "Oldham is a town near {0} with {1} inhabitants.", "Answer: {0}", "Dear {0}, your letter on {1} is ready.")
-_FRAMES_OF_VALUES = ("Title: {0}", "By {0} | {1} | {0} min read", "The {0} of {1} was built by {0} and covers {1} hectares.", "Welcome to {0}, home of {1} and {0}!", "Answer: {0} (see {1}, page {0})", "{0} was born in {1} and studied {0} at {1}.", "Source: {0}", "Passage: {0}")
+_FRAMES_OF_SLOTS = ("{0} lives in {1}.", "{0} moved to {1} and opened a bakery there.", "Query: {0}", "Parcels for {0} leave from {1} before noon.", "Reply: {0}", "Hello {0}, we received your form of {1}.")
+_FRAMES_OF_VALUES = ("Heading: {0}", "{0} | {1} | {0}", "Our {0} in {1} was opened by {0} and seats {1} guests.", "Greetings from {0}, gate to {1} and {0}!", "Reply: {0} (compare {1}, sheet {0})", "{0} grew up in {1} and taught {0} at {1}.", "Origin: {0}", "Excerpt: {0}")
 
 
 def _made() -> tuple[list[str], list[str]]:
     """Cases: every way of writing a slot and every printed empty value in a few sentences.  Prose: the same sentences, filled in."""
     slots = [f(x) for x in ("name", "first_name", "source url", "TITLE") for f in ("{{{{{}}}}}".format, "${{{}}}".format, "#{{{}}}".format, "{{% {} %}}".format, "<%= {} %>".format, "<<{}>>".format, "[[{}]]".format, "%({})s".format, "@{}@".format, "${}$".format, "__{}__".format, "%%{}%%".format, "«{}»".format, "({} to be added)".format, "[{} here]".format, "<insert {}>".format, "<{}>".format, "{{{}}}".format, "***{}***".format, "{{0:{}}}".format, "[YOUR {}]".format)]
     empty = ["[object Object]", "#REF!", "#N/A", "undefined", "null", "NULL", "None", "NaN", "nil", "n/a", "????", "XXXX"]
-    real = ("Ada Hart", "Leeds", "the old mill", "who built the old mill?", "1874", "history of music", "when did the dam at Leeds close?", "Otto Brand, Kiel", "12", "where did Ada Hart study botany?", "how many weavers lived in Leeds in 1801?", "a late chapel of Kiel", "what is the dam used for?")
+    real = ("Maria Silva", "Porto", "a red barn", "who owns the red barn?", "1931", "theory of colour", "why did the ferry to Porto stop?", "Jan Novak, Turku", "27", "which school did Maria Silva visit?", "how many bakers live in Porto?", "a small quay of Turku", "what is sold at the quay?")
     cases = [x.format(s, s) for s in slots for x in _FRAMES_OF_SLOTS] + [x.format(e, e) for e in empty for x in _FRAMES_OF_VALUES]
     prose = [x.format(a, b) for x in (*_FRAMES_OF_SLOTS, *_FRAMES_OF_VALUES) for a in real for b in real[:6] if a != b]
     return prose, cases
@@ -386,6 +387,18 @@ def labelled_sample(df: DataFrame, key: str, text: str, title: str, host: str, d
     return rows.mapInArrow(run, schema).orderBy("h", "sentence", "host").limit(limit)
 
 
+def unlabelled(df: DataFrame, text: str = "text") -> DataFrame:
+    """One row: ``sentences`` of all texts, those of either label, and ``unclear``, those that get none and are neither trained nor measured on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            labels = [weak_label(part) for value in batch.column(0).to_pylist() if value for part in sentences(value)]
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()) for n in (len(labels), labels.count(1), labels.count(0), labels.count(None))], ["sentences", "cases", "prose", "unclear"])
+
+    counts = df.select(F.col(text).cast("string")).mapInArrow(run, "sentences long, cases long, prose long, unclear long")
+    return counts.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counts.columns])
+
+
 def train(df: DataFrame, key: str = "doc_id", text: str = "text", title: str = "title", host: str = "source", documents: int = SAMPLE_DOCUMENTS, limit: int = SAMPLE_SENTENCES) -> ResidueModel:
     """Fits the classifier on the sample's hosts that are not held out, and measures it on those that are."""
     rows = labelled_sample(df, key, text, title, host, documents, limit).collect()  # bounded by ``limit``

@@ -18,6 +18,18 @@ def test_weak_labels():
     assert all(R.weak_label(x) != 1 for x in PROSE)
 
 
+def test_slots_beside_talk_are_no_negatives():
+    assert R.weak_label("Your job at {{company}} starts on {{date}}.") == 1
+    for x in ("The template for {{company}} starts on {{date}}.", "Your `badge` at {{company}} waits.", "The slots are for ${name} := ${other}."):
+        assert R.weak_label(x) is None
+
+
+def test_unclear_sentences_are_counted(spark):
+    texts = ["The template for {{company}} starts on {{date}}.", "404 Not Found", "The mill was sold.", None, ""]
+    got = R.unlabelled(spark.createDataFrame([(x,) for x in texts], "text string")).first()
+    assert tuple(got) == (3, 1, 1, 1)
+
+
 def test_sentences_cover_the_whole_text():
     text = "One. Two!\nThis line is long enough. It is split 東西。南北。 " + "x" * 5000 + " end"
     parts = list(R.sentences(text))
