@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import asdict, dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 
 from passageworks.functions import vectors as V
 from passageworks.operators.retrieval import METRICS, dense_topk, rank_hits
-from passageworks.session import small_side
+from passageworks.session import cut_lineage, small_side
 
 INDEX_TYPES = ("flat", "ivf_flat", "ivf_pq", "ivf_sq")
 
@@ -80,8 +82,8 @@ def build_ivf(df: DataFrame, cells: DataFrame, key: str = "vec_id", vector: str
     return df.join(nearest_cells(df, cells, 1, key, vector).drop("place"), key)
 
 
-def ivf_search(queries: DataFrame, index: DataFrame, cells: DataFrame, k: int, nprobe: int, key: str = "vec_id", vector: str = "embedding", exclude_self: bool = True) -> DataFrame:
-    """``qid, did, rk, score`` (cosine scores) of the ``k`` best in the ``nprobe`` cells nearest to each query.
+def ivf_search(queries: DataFrame, index: DataFrame, cells: DataFrame, k: int, nprobe: int, key: str = "vec_id", vector: str = "embedding", exclude_self: bool = True, metric: str = "cosine") -> DataFrame:
+    """``qid, did, rk, score`` (by ``metric``) of the ``k`` best in the ``nprobe`` cells nearest to each query.
 
     The join is by cell: stored by cell, only probed partitions are read.
     """
@@ -89,7 +91,8 @@ def ivf_search(queries: DataFrame, index: DataFrame, cells: DataFrame, k: int, n
     hits = small_side(probes, queries.count() * nprobe, 100_000).join(index.select(F.col(key).alias("did"), F.col(vector).alias("x"), "cell_id"), "cell_id")
     if exclude_self:
         hits = hits.where("qid <> did")
-    return rank_hits(hits.select("qid", "did", F.round(V.score(V.cosine("q", "x"), "cosine"), 9).alias("score")), k)
+    similarity = {"cosine": V.cosine, "dot": V.dot, "l2": V.squared_distance}[metric]
+    return rank_hits(hits.select("qid", "did", F.round(V.score(similarity("q", "x"), metric), 9).alias("score")), k)
 
 
 def recall_by_probes(exact: DataFrame, queries: DataFrame, index: DataFrame, cells: DataFrame, key: str = "vec_id", vector: str = "embedding") -> list[float]:
@@ -130,18 +133,27 @@ def sq8_decode(code: str = "code") -> F.Column:
     return F.transform(code, lambda c, i: F.get("lo", i) + (c + 0.5) / 255 * (F.get("hi", i) - F.get("lo", i)))
 
 
-def pq_train(df: DataFrame, m: int, codes: int, vector: str = "embedding", key: str = "vec_id", sample: int = 65_536, seed: int = 1) -> DataFrame:
+def pq_train(df: DataFrame, m: int, codes: int, vector: str = "embedding", key: str = "vec_id", sample: int = 65_536, rounds: int = 8, seed: int = 1) -> DataFrame:
     """``part, code, centroid``: a codebook per sub-space, each by k-means over the same bounded sample."""
     dimensions = df.select(F.size(vector)).first()[0]
     if dimensions % m:
         raise ValueError(f"{dimensions} dimensions are not divisible by {m}")
     width = dimensions // m
-    out = None
-    for part in range(m):
-        own = train_cells(df.select(key, F.slice(vector, part * width + 1, width).alias("v")), codes, "v", sample, key, seed=seed)
-        own = own.select(F.lit(part).alias("part"), F.col("cell_id").alias("code"), "centroid")
-        out = own if out is None else out.unionByName(own)
-    return out
+    every = max(1, -(-df.count() // sample))
+    rows = df.where(F.pmod(F.xxhash64(key), F.lit(every)) == 0).select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    parts = rows.select("id", F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("part"), "v").select("id", "part", F.slice("v", F.col("part") * width + 1, width).alias("v"))
+
+    def fit(table: pa.Table) -> pa.Table:
+        x = np.unique(np.array(table["v"].to_pylist()), axis=0)  # at most the sample
+        c = x[np.random.default_rng(seed).choice(len(x), min(codes, len(x)), replace=False)]
+        for _ in range(rounds):
+            at = ((c * c).sum(axis=1) - 2 * x @ c.T).argmin(axis=1)
+            n = np.bincount(at, minlength=len(c))[:, None]
+            total = np.stack([np.bincount(at, x[:, d], len(c)) for d in range(width)], axis=1)
+            c = np.where(n > 0, total / np.maximum(n, 1), c)
+        return pa.table({"part": pa.array([table["part"][0].as_py()] * len(c), pa.int32()), "code": pa.array(range(len(c)), pa.int32()), "centroid": pa.array(c.tolist(), pa.list_(pa.float64()))})
+
+    return parts.groupBy("part").applyInArrow(fit, "part int, code int, centroid array<double>")
 
 
 def pq_encode(df: DataFrame, books: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -165,6 +177,41 @@ def pq_distances(queries: DataFrame, codes: DataFrame, books: DataFrame, key: st
     return packed.crossJoin(small_side(table, queries.count(), 10_000)).select("qid", "did", F.aggregate("codes", F.lit(0.0), lambda s, c: s + F.element_at("table", c)).alias("distance"))
 
 
+def build_index(df: DataFrame, config: IndexConfig, key: str = "vec_id", vector: str = "embedding") -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Index of the configured type, its cells, and what its codes are read with: ranges, codebooks or nothing.
+
+    Unit vectors are indexed for cosine, vectors as they are otherwise.  The
+    quantised types keep ``code`` instead of the vector; a flat index is one cell.
+    """
+    spark = df.sparkSession
+    own = df.select(key, (V.unit(vector) if config.metric == "cosine" else F.col(vector).cast("array<double>")).alias(vector))
+    if config.index_type == "flat":
+        cells = spark.createDataFrame([(0, [0.0] * config.dimension)], "cell_id int, centroid array<double>")
+    else:
+        cells = cut_lineage(train_cells(own, config.nlist, vector, config.train_size, key))
+    placed = build_ivf(own, cells, key, vector)
+    if config.index_type == "ivf_sq":
+        ranges = cut_lineage(sq8_ranges(own, vector))
+        return sq8_encode(placed, ranges, vector).select(key, "code", "cell_id"), cells, ranges
+    if config.index_type == "ivf_pq":
+        books = cut_lineage(pq_train(own, config.m_pq, 1 << config.nbits_pq, vector, key))
+        codes = pq_encode(own, books, key, vector).groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("part", "code"))), lambda x: x["code"]).alias("code"))  # m_pq codes a vector
+        return placed.select(key, "cell_id").join(codes, key), cells, books
+    return placed, cells, None
+
+
+def search_index(queries: DataFrame, index: DataFrame, cells: DataFrame, quantiser: DataFrame | None, config: IndexConfig, k: int, key: str = "vec_id", vector: str = "embedding", exclude_self: bool = True) -> DataFrame:
+    """``qid, did, rk, score`` of the ``k`` best in the probed cells, by the configured metric, read from the codes if there are any."""
+    asked = queries.select(key, (V.unit(vector) if config.metric == "cosine" else F.col(vector).cast("array<double>")).alias(vector))
+    if config.index_type == "ivf_sq":
+        index = index.crossJoin(F.broadcast(quantiser)).select(key, "cell_id", sq8_decode().alias(vector))  # one row on the right
+    elif config.index_type == "ivf_pq":
+        book = quantiser.groupBy("part").agg(F.transform(F.array_sort(F.collect_list(F.struct("code", "centroid"))), lambda x: x["centroid"]).alias("book"))
+        books = book.agg(F.transform(F.array_sort(F.collect_list(F.struct("part", "book"))), lambda x: x["book"]).alias("books"))  # a setting of the index
+        index = index.crossJoin(F.broadcast(books)).select(key, "cell_id", F.flatten(F.zip_with("books", "code", lambda b, c: F.get(b, c))).alias(vector))
+    return ivf_search(asked, index, cells, k, config.nprobe, key, vector, exclude_self, config.metric)
+
+
 def save_index(index: DataFrame, cells: DataFrame, config: IndexConfig, path: str) -> None:
     """Vectors by cell, centroids and settings, each as a table under ``path``."""
     spark = index.sparkSession

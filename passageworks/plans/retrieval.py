@@ -200,6 +200,25 @@ def ivf_recall(spark, d):
     return index.recall_at(_topk(spark, d, k=CUT), index.ivf_search(_asked(rows), stored, cells, CUT, nprobe))
 
 
+def _quantised(kind):
+    def recall(spark, d):
+        """Recall of the index with trained codes under each metric; half of the cells are probed."""
+        rows, out = _vectors(spark, d).select("vec_id", "embedding"), None
+        nlist = index.cells_for(rows.count())
+        for metric in retrieval.METRICS:
+            config = index.IndexConfig(64, metric, kind, nlist, -(-nlist // 2), m_pq=16)
+            found = index.search_index(_asked(rows), *index.build_index(rows, config), config, CUT)
+            own = index.recall_at(_topk(spark, d, metric, CUT), found).select(F.lit(metric).alias("metric"), F.lit(config.nprobe).alias("nprobe"), "recall")
+            out = own if out is None else out.unionByName(own)
+        return out
+
+    return recall
+
+
+for _kind in ("ivf_sq", "ivf_pq"):
+    QUERIES[f"{_kind}_recall"] = _quantised(_kind)
+
+
 @query()
 def index_roundtrip(spark, d):
     """An index written by cell, loaded and searched."""

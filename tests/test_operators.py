@@ -87,6 +87,20 @@ def test_probes_are_chosen_for_the_recall(spark):
     assert measured[nprobe - 1] >= 0.85 > measured[2]
 
 
+@pytest.mark.parametrize("metric", retrieval.METRICS)
+def test_every_index_type_uses_its_metric(spark, metric):
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((200, 8)) * rng.uniform(0.2, 5, (200, 1))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    asked = rows.where("vec_id % 20 = 0")
+    exact = retrieval.dense_topk(asked, rows, 5, metric)
+    for kind, least in (("flat", 1.0), ("ivf_flat", 1.0), ("ivf_sq", 0.8), ("ivf_pq", 0.6)):
+        config = index.IndexConfig(8, metric, kind, nlist=3, nprobe=3, m_pq=4, nbits_pq=6)
+        stored, cells, quantiser = index.build_index(rows, config)
+        assert ("embedding" in stored.columns) == (quantiser is None)
+        assert index.recall_at(exact, index.search_index(asked, stored, cells, quantiser, config, 5)).first()[0] >= least
+
+
 def test_sq8_error_is_at_most_half_a_step(spark):
     rng = np.random.default_rng(3)
     x = rng.standard_normal((50, 4))
