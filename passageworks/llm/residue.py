@@ -1,24 +1,24 @@
 """Template residue, filler, error pages and script notices among real texts.
 
-Method: weak labels come from response statuses and phrases; a linear
-classifier with an L2 penalty is trained on hashed n-grams, length and title
-features of sentences; it is validated on hosts it has not seen; every sentence
-of every document is then scored by it, and a document is a case if one of its
-sentences is.
-
-A weak label says what most of a sentence *is*: a status line, a notice, a
-slot never filled.  A longer sentence that only mentions such things is
-labelled as prose, and it is from these that the classifier learns the
-difference.
+Method: weak labels come from response statuses and phrases
+(:mod:`residue_labels`); a linear classifier with an L2 penalty is trained on
+hashed n-grams, length and title features of sentences; it is validated on
+hosts it has not seen; every sentence of every document is then scored by it,
+and a document is a case if one of its sentences is.
+
+Tokens are words, numbers, single ideographs and runs of one mark.  Their
+hashes, the pairs of them, and sequences of three and four shapes (how a token
+is written, and whether it touches the one before) are made for whole batches
+at once, without a loop over tokens.
 """
 
 from __future__ import annotations
 
-import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import pairwise
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,267 +26,153 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from passageworks.llm.residue_judged import CASES, PROSE
+from passageworks.llm.residue_labels import contrast, sentences, triggered, weak_label
 from passageworks.session import cut_lineage
 
-#: Size of the hashed feature space.
-DIMENSIONS = 1 << 18
+#: Size of the hashed feature space, as a power of two.
+BITS = 18
 #: Bounds of the labelled sample that the classifier is fitted on: documents read for it, and sentences kept.
 SAMPLE_DOCUMENTS, SAMPLE_SENTENCES = 20_000, 40_000
-#: One easy negative in so many is kept; one host in so many is held out.
-EASY_EVERY, HELD_OUT_EVERY = 20, 5
-#: Sentences up to this length are all kept, since a short one says little.
-SHORT_CHARS = 24
+#: One sentence of easy prose in so many is kept, and of prose with words that notices have too; one host in so many is held out.
+EASY_EVERY, HARD_EVERY, HELD_OUT_EVERY = 24, 4, 5
+#: Prose up to this length is all kept, since it is much like a notice.
+SHORT_CHARS = 48
 #: Probability from which a sentence is a case.
 THRESHOLD = 0.5
-#: Share of the loss that falls to cases, far rarer than prose.
-CASES_WEIGH = 0.25
-#: A sentence is judged in windows of so many characters, if it is longer.
-WINDOW_CHARS = 600
-
-# ---------------------------------------------------------------- segments
-
-_LINES = re.compile(r"[\r\n\u2028\u2029\x85]+")
-_SENTENCES = re.compile(r"(?<=[^.!?。！？؟।][.!?。！？؟।])(?<![A-Z0][A-Z0][!?])(?:[\"'”’»)\]]*)(?:\s+|(?<=[。！？]))")
-
-
-def sentences(text: str) -> Iterator[str]:
-    """Sentences of each line, a short line as one; long unbroken ones in windows that overlap by half."""
-    for line in _LINES.split(text):
-        for part in _SENTENCES.split(line) if len(line) > 40 else (line,):
-            part = part.strip()
-            if not part:
-                continue
-            if len(part) <= WINDOW_CHARS:
-                yield part
-            else:
-                for at in range(0, len(part) - WINDOW_CHARS // 2, WINDOW_CHARS // 2):
-                    yield part[at : at + WINDOW_CHARS]
-
-
-# ------------------------------------------------------------- weak labels
-# Phrases and forms that servers, page builders and writers of templates leave behind.
-
-_NAME = r"[^\W\d](?:[\w.]|[ -](?=\w)){0,40}"
-#: Ways of writing a slot.
-SLOTS = (
-    rf"\{{\{{[-~#]?\s*{_NAME}\s*[-~]?\}}\}}", rf"\$\{{\s*{_NAME}\s*\}}", rf"#\{{\s*{_NAME}\s*\}}", rf"\{{%-?\s*{_NAME}\s*-?%\}}", rf"<%[=-]?\s*{_NAME}\s*%>",
-    rf"<<\s*{_NAME}\s*>>", rf"\[\[\s*{_NAME}\s*\]\]", rf"%\({_NAME}\)[sdf]", rf"(?<!\w)@{{1,2}}{_NAME}@{{1,2}}(?!\w)", rf"(?<![\w$])\${_NAME}\$(?![\w$])",
-    rf"(?<!\w)__{_NAME}__(?!\w)", rf"(?<![\w%])%{{1,2}}{_NAME}%{{1,2}}(?!\w)", rf"\{{\${_NAME}\}}", rf"(?<![\w*])\*\*\*{_NAME}\*\*\*(?![\w*])", rf"\{{\d*:{_NAME}\}}", rf"«\s*{_NAME}\s*»", rf"\({_NAME} (?:to be added|to follow|goes here|tbd|tba)\)",
-    rf"\[(?:(?i:your|insert|enter|add|name of|put)\b[^\[\]\n]{{1,40}}|[A-Z][A-Z_ ]{{2,40}}|[a-z]+_[a-z_]+|{_NAME} (?:here|goes here))\]", rf"\[{_NAME}\]",
-    rf"<(?i:insert|enter|your|add)\b[^<>\n]{{1,40}}>", rf"<[^\W\d][\w ]{{1,40}}>", rf"(?<![\\{{}}\w])\{{\s*{_NAME}\s*\}}(?!\}})",
-)
-_BLANKS = r"_{4,}|\bX{3,}\b|\?{3,}|\.{6,}"
-#: What programs print for a missing value.
-_EMPTY = r"(?:\[object Object\]|#REF!|#N/A|#VALUE!|#NAME\?|undefined|null|NULL|None|NaN|nil|n/a|N/A|\(none\)|\?{3,}|X{3,})"
-_TAGS = {"i", "b", "em", "strong", "ref", "p", "a", "br", "hr", "div", "span", "html", "head", "body", "title", "h1", "h2", "sup", "sub", "code", "pre", "noscript", "table", "tr", "td", "th", "ul", "li", "img", "script", "math", "meta", "link"}
-_TALK = r"\b(variables?|braces?|brackets?|templates?|slots?|syntax|shell|jinja|placeholders?|expands?|markup|tags?|echo|printf|regex)\b"
-
-_STATUS_NAMES = r"(?:bad request|unauthori[sz]ed|payment required|forbidden|(?:page |file )?not found|method not allowed|request time-?out|gone|too many requests|internal server error|not implemented|bad gateway|service (?:temporarily )?unavailable|gateway time-?out)"
-_JS = r"(?:java ?script|\bjs\b|scripts?|scripting)"
-_NOTICES = [
-    # response statuses
-    rf"^\W*(?:http(?:/\d(?:\.\d)?)?\s*)?(?:status\s*|error\s*|code\s*)*[:\s]*[45]\d\d\W*{_STATUS_NAMES}\W*(?:\(.{{0,30}}\)\W*)?$", rf"^\W*{_STATUS_NAMES}\W*(?:\(.{{0,30}}\)\W*)?$", rf"^\W*(?:http\s+)?(?:error|erreur|fehler|errore|erro|fout|ошибка|エラー)\s*(?:code)?\s*[:#]?\s*[45]\d\d\b",
-    rf"<title>\s*(?:[45]\d\d\s*)?{_STATUS_NAMES}", r"\"(?:error|status|code)\"\s*:\s*\{?\s*(?:\"code\"\s*:\s*)?[45]\d\d",
-    # error and access messages
-    r"^(?:access|permission) denied\b", r"^you (?:do not|don't) have permission to\b", r"^the (?:resource|requested|page|file|url|document)\b.{0,60}(?:cannot be|could not be|was not|can't be) (?:served|found|displayed|loaded|located)", r"^nothing was found at\b",
-    r"^(?:the |this )?(?:page|site|article|content|server|service)\b.{0,40}\b(?:isn't here|is not available|is down|is unavailable|no longer exists|has moved|does not exist|is under (?:construction|maintenance))", r"^(?:sorry|oops|whoops)\b", r"^we (?:could not|couldn't|can't|cannot) (?:find|show|display|load)\b.{0,12}(?:that|the|this)",
-    r"^an (?:unexpected |internal |unknown )?error (?:has )?occurred", r"^something went wrong", r"^(?:please )?try again (?:later|in a)", r"^(?:your )?session (?:has )?(?:expired|timed out)", r"^(?:please )?(?:sign|log) ?in (?:again )?(?:to|or)\b", r"^request (?:blocked|rejected|could not be)", r"^verify (?:that )?you are (?:not a robot|human)",
-    r"^checking your browser", r"^(?:database|server) connection (?:could not|failed|error)", r"^(?:please )?contact (?:the|your) (?:site |system )?administrator", r"^(?:fatal|parse) error\b", r"^warning: \w+\(", r"^too many requests", r"^rate limit",
-    r"^erreur \d", r"^accès refusé", r"^(?:veuillez|vous devez) vous connecter", r"^page (?:introuvable|non trouvée)", r"^la page (?:demandée|que vous)", r"^fehler \d", r"^zugriff verweigert", r"^sie sind nicht angemeldet", r"^(?:die )?seite (?:wurde )?nicht gefunden", r"^der dienst ist\b.{0,40}nicht (?:erreichbar|verfügbar)",
-    r"^(?:bitte )?(?:melden|loggen) sie sich", r"^error \d+\s*:", r"^acceso denegado", r"^página no encontrada", r"^vuelva al inicio", r"^(?:debe )?inici(?:e|ar) sesión", r"^el servidor no responde", r"^pagina non trovata", r"^accesso negato", r"^página não encontrada", r"^acesso negado", r"^страница не найдена", r"^доступ запрещ", r"^ページが見つかりません", r"^アクセスが拒否", r"^页面不存在", r"^访问被拒绝", r"^الصفحة غير موجودة",
-    # scripts are required
-    rf"^(?:please |you (?:need|have) to |you must )?(?:enable|activate|turn on|switch on|allow) (?:your )?{_JS}\b.{{0,60}}$", rf"^{_JS} (?:is|are|has been|must be|needs to be|is currently)\b.{{0,12}}(?:disabled|required|turned off|switched off|blocked|enabled|needed|off)", rf"^(?:this|the) (?:site|page|app|application|website)\b.{{0,30}}\b(?:needs|requires|relies on|won't work without|does not work without) {_JS}",
-    rf"^your browser (?:does not|doesn't) support {_JS}", rf"^content (?:cannot|can't) be shown because {_JS}", rf"<noscript", rf"^noscript\b", r"^(?:turn|switch) it on (?:and|to)\b", rf"^(?:veuillez|merci d)'? ?(?:activer|autoriser) (?:le )?{_JS}", r"^cette (?:application|page)\b.{0,20}(?:nécessite|requiert)\b.{0,20}(?:script|javascript)",
-    rf"^(?:bitte )?(?:aktivieren|erlauben|schalten) sie (?:bitte )?{_JS}", rf"^für diese (?:anwendung|seite) wird {_JS}", rf"^(?:es necesario|debe|necesita|active|habilite|activa)\b.{{0,20}}{_JS}", rf"^(?:abilita|attiva|ative|habilite|schakel)\b.{{0,20}}{_JS}", r"^(?:пожалуйста,? )?(?:включите|разрешите) javascript", r"javascript\s*を(?:有効|オン)", r"请(?:启用|开启|打开)\s*javascript", r"(?:تفعيل|تمكين) javascript",
-    # filler
-    r"\blorem\b.{0,40}\b(?:ipsum|dolor)", r"\b(?:dolor sit|sit amet|consectetur|tempor incididunt)\b", r"^(?:this is )?(?:some |a )?(?:sample|dummy|placeholder|filler|example|test) (?:text|body|content|paragraph|copy)\b.{0,60}$", r"^(?:your|enter your|add your|type your|insert your) (?:text|content|title|name)\b.{0,20}here", r"^insert (?:\w+ )?(?:description|text|line|title|content|name|image|quote)\b", r"^content (?:coming|to come|goes|will)\b", r"^(?:more )?coming soon",
-    r"^(?:tbd|tba|todo|tbc|fixme)\b.{0,50}$", r"^to be (?:added|announced|completed|determined|written)", r"\btexte? (?:de remplissage|provisoire|de relleno|provisional|d'exemple|de ejemplo|fictif)", r"^(?:dies|hier|das) (?:ist|steht|folgt)\b.{0,30}(?:blindtext|platzhalter|beispieltext|bald der|fülltext)", r"^platzhalter\b", r"^(?:blindtext|beispieltext)\b", r"^(?:aquí irá|contenido (?:pendiente|provisional)|próximamente)", r"^(?:le contenu arrive|à compléter|contenu à venir)", r"^testo (?:segnaposto|di esempio)", r"^texto (?:de exemplo|provisório)", r"^текст[- ](?:заполнитель|заглушка)", r"ここに(?:本文|テキスト)", r"^此处(?:填写|添加)",
-]
-_OPENING = re.compile("|".join(f"(?:{x[1:]})" for x in _NOTICES if x[0] == "^"), re.I).match
-_ANYWHERE = re.compile("|".join(f"(?:{x})" for x in _NOTICES if x[0] != "^"), re.I).search
-#: Stems of the usual filler Latin, and the rows of keyboards.
-_LATIN = tuple("lorem ipsum dolor amet consec adipis elit tempor incid pharet quisq morb maur tincid semper bland ultri lacin vitae nulla orci velit nimi nunc vehic pellent sodal suscip faucib fringil rhonc sagitt accums aliqu bibend commod condim conval curab dapib digniss eget eleif enim euis facilis felis ferment feug gravid habit hendr iacul imperd interd laor lect libero ligul lobor luct maecen magna malesu massa matti metus molest molli neque nibh nisi nisl odio ornar phasel placer porta portt posu praes preti proin pulvin purus quam risus rutr sapien sceler sociis sollic tellus tempus torto trist turpi ullam urna varius varum venen vestib vivam viver volut vulput sit sed vel".split())
-_ROWS = ("qwertyuiop", "qwertzuiop", "azertyuiop", "asdfghjkl", "qsdfghjklm", "zxcvbnm", "yxcvbnm")
-_KEYS = frozenset(x[i:j][::d] for x in _ROWS for i in range(len(x)) for j in range(i + 3, len(x) + 1) for d in (1, -1))
-#: Any of these in a sentence makes its label worth a closer look.
-_TRIGGERS = tuple("script|lorem|ipsum|error|erreur|fehler|undefined|{|}|$|<|>|@|[|placeholder|xxx|???|____|not found|not be found|gefunden|null|nan|none|nil|n/a|denied|server|unavailable|forbidden|request|robot|sample|dummy|template|browser|todo|text|blank|#ref|#n/a|#value| 40| 50|%(|%|__|«|***|to be added|to follow|goes here|tba|tbd|provision|coming soon|filler|access".split("|"))
-_STATUS = re.compile(r"\b[45]\d\d\b").search
-
-
-def _triggered(low: str) -> bool:
-    return any(x in low for x in _TRIGGERS) or _STATUS(low) is not None
-
-
-_SLOT = re.compile("|".join(SLOTS))
-_FILLED_BY = re.compile(rf"(?:\b(?:by|of|to|in|at|from|near|on|with|and|see|page|for|home of|dear|held|covers|studied|titled|called)|[:|(«-])\s*{_EMPTY}(?!\w)|^{_EMPTY}\s+(?:was|is|has|of|and)\b", re.I)
-_LABEL_EMPTY = re.compile(rf"^[\w ]{{2,24}}:\s*{_EMPTY}\W*(?:\(.*\))?$")
-_TALKING = re.compile(_TALK, re.I)
-_QUOTED = re.compile(r"[\"“„«‚‘]([^\"”“»’]{4,120})[\"”“»’]")
-_WORD = re.compile(r"[^\W\d_]+")
-
-
-def _filler(part: str) -> bool:
-    """The same few words over and over, keys struck at random, or filler Latin."""
-    own = [w.lower() for w in _WORD.findall(part)]
-    n = len(own)
-    if n >= 6 and len(set(own)) * 4 <= n:
-        return True
-    if n < 4 or not own[0].isascii():
-        return False
-    return sum(w in _KEYS for w in own) * 2 >= n or sum(w.startswith(_LATIN) for w in own) * 2 >= n
-
-
-def weak_label(part: str) -> int | None:
-    """1 for a case by status or phrase, 0 for prose (also prose about such things), None if unclear."""
-    if _filler(part):
-        return 1
-    low = part.lower()
-    triggered = _triggered(low)
-    talking = triggered and _TALKING.search(part) is not None
-    notice = _OPENING(part.lstrip(" \t\"'«»*#-–—|:.([")) or triggered and _ANYWHERE(part)
-    if notice:
-        return None if talking and len(part) > 60 and "<" not in part else 1
-    if not triggered:
-        return 0
-    slots = [x for x in _SLOT.findall(part) if x.strip("<>/ ").split(" ")[0].lower() not in _TAGS]
-    certain = [x for x in slots if not re.fullmatch(r"\[[a-z]+\]", x)]
-    odd = talking or "\\" in part or "`" in part or ":=" in part
-    if (certain or re.search(r"_{4,}", part)) and not odd:
-        return 1
-    empties = len(_FILLED_BY.findall(part))
-    if _LABEL_EMPTY.match(part) or empties >= 2 and not talking:
-        return 1
-    # slots beside talk of slots or code: it may be either, so that it is no negative
-    if empties or certain or re.search(_BLANKS, part):
-        return None
-    return 0
-
-
-# Contrast sentences: invented prose that speaks of the same things, and cases, so that small corpora teach the difference too.
-_SEED_PROSE = (
-    "Our newsletter explained why some visitors turn JavaScript off and what they miss.", "Perl and JavaScript are both taught in the second term.", "Write {{ user }} wherever the mail should greet somebody, the handbook advises.", "Both $USER and ${USER} name the same variable, said the lecturer.",
-    "Printers have filled specimen sheets with lorem ipsum since the sixties.", "A 404 is harmless, whereas a 500 wakes the engineer on duty.", "Clients should back off whenever they meet 503 Service Unavailable.", "Visitors who saw \"Page not found\" usually returned to the search box.",
-    "Guards denied them entry, and no other inn was available that night.", "Nobody named None or Null could register until the clerks repaired the form.", "Missing marks are kept as null, and averages over nothing become NaN.", "The missing ledger could not be found in either cellar.",
-    "Wiki markup writes [[Target|label]] for a link, and browsers understand <b> or <em>.", "Editors put [sic] after the misspelling and [...] where they shortened the letter.", "if (a < b && c > d) { return a[i] + b[j]; }", "Choose {n | n < 9}, then |A| / 3 bounds the error.", "Remember the TODO list on the fridge: milk, bread and stamps.", "It returns {\"ok\": true, \"rows\": 12} after each upload.",
-    "A form letter has the fields {salutation} and {amount}; the mailer replaces both of them.", "Vue puts a variable into double braces, as in {{ count }}, whereas Bash writes ${count}.", "The macro takes the arguments {left} and {right}, which the printer fills in at each use.", "Of the two slots, {size} and {colour}, the shop fills only the first before printing.",
-)
-_SEED_CASES = (
-    "This site requires JavaScript.", "JavaScript is disabled.", "Bitte aktivieren Sie JavaScript.", "Veuillez activer JavaScript.", "404 Not Found", "HTTP Error 403.", "Forbidden", "500 Internal Server Error", "502 Bad Gateway", "Access denied",
-    "The page you requested could not be found.", "Seite nicht gefunden.", "Página no encontrada.", "Erreur 404 : page introuvable.", "An unexpected error occurred.", "Try again later.", "Lorem ipsum dolor sit amet, consectetur adipiscing elit.", "This is sample text.", "Your text goes here.", "Placeholder text", "TBD.", "Coming soon.", "Insert description.", "Placeholder paragraph, to be replaced later.", "We can't show this page right now.",
-    "Dear {{ name }}, your order {{ number }} is ready.", "Title: undefined", "By undefined | undefined", "Welcome to null, home of null.", "The [object Object] of [object Object] was built by [object Object].", "[YOUR NAME] was born in [YOUR CITY].", "${title} is a town near ${place}.", "Question: <insert question>", "Born: ______ Died: ______",
-    "{name} was born in {place} in {year}.", "Answer: %(answer)s", "<<TITLE>>", "None was born in None.", "asdf asdf jkl; asdf qwer asdf jkl; qwer", "blah blah blah blah blah blah blah blah",
-)
-
-
-
-_FRAMES_OF_SLOTS = ("{0} lives in {1}.", "{0} moved to {1} and opened a bakery there.", "Query: {0}", "Parcels for {0} leave from {1} before noon.", "Reply: {0}", "Hello {0}, we received your form of {1}.")
-_FRAMES_OF_VALUES = ("Heading: {0}", "{0} | {1} | {0}", "Our {0} in {1} was opened by {0} and seats {1} guests.", "Greetings from {0}, gate to {1} and {0}!", "Reply: {0} (compare {1}, sheet {0})", "{0} grew up in {1} and taught {0} at {1}.", "Origin: {0}", "Excerpt: {0}")
-
-
-def _made() -> tuple[list[str], list[str]]:
-    """Cases: every way of writing a slot and every printed empty value in a few sentences.  Prose: the same sentences, filled in."""
-    slots = [f(x) for x in ("name", "first_name", "source url", "TITLE") for f in ("{{{{{}}}}}".format, "${{{}}}".format, "#{{{}}}".format, "{{% {} %}}".format, "<%= {} %>".format, "<<{}>>".format, "[[{}]]".format, "%({})s".format, "@{}@".format, "${}$".format, "__{}__".format, "%%{}%%".format, "«{}»".format, "({} to be added)".format, "[{} here]".format, "<insert {}>".format, "<{}>".format, "{{{}}}".format, "***{}***".format, "{{0:{}}}".format, "[YOUR {}]".format)]
-    empty = ["[object Object]", "#REF!", "#N/A", "undefined", "null", "NULL", "None", "NaN", "nil", "n/a", "????", "XXXX"]
-    real = ("Maria Silva", "Porto", "a red barn", "who owns the red barn?", "1931", "theory of colour", "why did the ferry to Porto stop?", "Jan Novak, Turku", "27", "which school did Maria Silva visit?", "how many bakers live in Porto?", "a small quay of Turku", "what is sold at the quay?")
-    cases = [x.format(s, s) for s in slots for x in _FRAMES_OF_SLOTS] + [x.format(e, e) for e in empty for x in _FRAMES_OF_VALUES]
-    prose = [x.format(a, b) for x in (*_FRAMES_OF_SLOTS, *_FRAMES_OF_VALUES) for a in real for b in real[:6] if a != b]
-    return prose, cases
-
+#: Share of the loss that falls to cases, far rarer than prose, and that falls to the contrast sentences.
+CASES_WEIGH, CONTRAST_WEIGHS = 0.12, 0.4
+#: Characters of sentences that are scored at once.
+SLICE_CHARS = 500_000
 
 # ---------------------------------------------------------------- features
 
-_PLAIN = (r"[\u3040-\u30ff\u4e00-\u9fff]", r"[^\W\d_]+(?![^\W_]*\d)(?:'[^\W\d_]+)?", r"[^\W_]*\d[\w.,]*", r"[{}\[\]<>|$%#=\\@\";:«»„“”]")
-_TOKENS = re.compile("|".join([*SLOTS, _BLANKS, r"</?[a-z][a-z0-9]*\b[^<>]{0,40}>", r"\[object Object\]|#(?:REF!|N/A|VALUE!|NAME\?)|n/a\b", *_PLAIN])).findall
-_PLAIN_TOKENS = re.compile("|".join(_PLAIN)).findall
-#: What any of the longer forms needs; without it the plain tokens are the same.
-_MARKED = re.compile(r"[{}\[\]<>$%#@«_*]|\?\?\?|XXX|n/a|\.{6}|(?:added|follow|here|tbd|tba)\)").search
-
-
-def _token(raw: str) -> str:
-    """The form in which a token counts: words in lower case, slots by how they are written, numbers alike."""
-    first = raw[0]
-    if any(x.isdigit() for x in raw) and raw[0].isalnum():
-        return "#mixed" if any(x.isalpha() for x in raw) else raw if len(raw) == 3 and first in "45" else "#num"
-    if raw[-1] == ">" and first == "<":
-        name = re.match(r"</?(\w+)", raw)
-        if name and name[1].lower() in _TAGS:
-            return f"<{name[1].lower()}"
-    if len(raw) > 2 and not first.isalpha():
-        if set(raw) <= set("_?."):
-            return "#blank" + first
-        inner = raw.strip("{}[]<>$#%@()«»_-~= ")
-        if raw.startswith(("[object", "#", "n/")) and "{" not in raw:
-            return "#empty" + raw
-        if inner:
-            shape = "A" if inner.isupper() else "a"
-            return f"#slot{first}{raw[1] if not raw[1].isalnum() else ''}{shape}{'s' if ' ' in inner else ''}{'_' if '_' in inner else ''}"
-    if raw.isupper() and set(raw) == {"X"} and len(raw) > 2:
-        return "#blankX"
-    if raw in ("None", "NaN", "NULL", "null", "undefined", "nil"):
-        return "#empty" + raw
-    return raw.lower()
-
-
-class _Tokens(dict):
-    def __missing__(self, raw: str) -> str:
-        if len(self) > 200_000:
-            self.clear()
-        self[raw] = x = _token(raw)
-        return x
-
-
-def _slot(feature: str) -> int:
-    return zlib.crc32(feature.encode()) & DIMENSIONS - 1
-
-
-def _features(part: str, title: str | None, alone: bool, tokens: _Tokens, marks: bool = True) -> tuple[list[str], list[str]]:
-    """Features of one sentence: its tokens, of which pairs are features too, and those of length and title.
-
-    ``marks`` may be False if the whole text is known to hold none.
+_SPACE, _LETTER, _DIGIT, _MARK, _IDEOGRAPH, _END = range(6)
+_KNOWN = 1 << 17
+#: Words that programs print for a missing value: they are shapes of their own.
+_VALUES = ("none", "null", "undefined", "nan", "nil", "object", "na", "n", "a", "ref", "value", "xxxx", "xxx")
+_U = np.uint64
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    """Spreads 64-bit integers over all bits."""
+    x = x.astype(_U)
+    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
+    return x ^ (x >> _U(31))
+
+
+@lru_cache(maxsize=1)
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Kind, case and hash of the lower-case form of every code point below ``_KNOWN``; once per process."""
+    kind, case, lower = np.full(_KNOWN, _MARK, np.uint8), np.zeros(_KNOWN, np.uint8), np.arange(_KNOWN)
+    for i in range(_KNOWN):
+        c = chr(i)
+        category = unicodedata.category(c)
+        if category[0] in "LM":
+            kind[i] = _IDEOGRAPH if 0x3040 <= i <= 0x30FF or 0x3400 <= i <= 0x9FFF or 0xF900 <= i <= 0xFAFF else _LETTER
+            low = c.lower()
+            case[i] = low != c
+            lower[i] = ord(low) if len(low) == 1 else i
+        elif category[0] == "N":
+            kind[i] = _DIGIT
+        elif category[0] in "ZC":
+            kind[i] = _SPACE
+    kind[0], kind[-1] = _END, _IDEOGRAPH  # all beyond the table is the last of it
+    powers = np.cumprod(np.full(64, 0x9E3779B97F4A7C15 | 1, _U))
+    return kind, case, _mix(lower + 1), powers
+
+
+def _word_hash(word: str) -> int:
+    _, _, hashed, powers = _tables()
+    return int((hashed[[ord(c) for c in word]] * powers[: len(word)]).sum(dtype=_U))
+
+
+def features(parts: list[str], titles: list[int], alone: list[bool]) -> tuple[np.ndarray, np.ndarray]:
+    """(sentence of each row, hashed columns in each row) of the sentences ``parts``.
+
+    ``titles`` is 0 where the document has no title, 1 where the sentence holds
+    it, else 2; ``alone`` says that the document is one sentence.
     """
-    marked = marks and _MARKED(part)
-    own = list(map(tokens.__getitem__, (_TOKENS if marked else _PLAIN_TOKENS)(part)))
-    n = len(own)
-    out = []
-    marks = [x for x in own if x[0] == "#" and x != "#num" and x != "#mixed"] if marked else []
-    if marks:
-        out += {x[:5] for x in marks}
-        out.append("#marks" + str(min(len(marks), 4)))
-        out.append("#dense" + str(min(4, 8 * len(marks) // n)))
-        out += ["#first " + marks[0][:6]] if own[0] is marks[0] else []
-    if n >= 6 and len(set(own)) * 4 <= n:
-        out.append("#repeated")
-    if n:
-        out.append("^ " + own[0])
-        if n > 1:
-            out.append("^ " + own[0] + " " + own[1])
-        out.append("$ " + own[-1])
-    out.append("#length" + str(n.bit_length()))
-    if alone:
-        out.append("#alone")
-    if not title:
-        out.append("#untitled")
-    elif title in part:
-        out.append("#title")
-    return own, out
-
-
-def _names(part: str, title: str | None, alone: bool, tokens: _Tokens) -> list[str]:
-    own, out = _features(part, title, alone, tokens)
-    return [*own, *map(" ".join, pairwise(own)), *out]
-
-
-class _Weights(dict):
-    """Weight by feature, or by the two tokens of a pair, looked up by hash; forgets everything when full."""
-
-    def __init__(self, vector: np.ndarray):
-        self._vector = vector.tolist()
-
-    def __missing__(self, feature: str | tuple[str, str]) -> float:
-        if len(self) > 500_000:
-            self.clear()
-        self[feature] = x = self._vector[_slot(feature if isinstance(feature, str) else " ".join(feature))]
-        return x
+    kind_of, case_of, hashed, powers = _tables()
+    text = "\0" + "\0".join(x.replace("\0", " ") if "\0" in x else x for x in parts) + "\0"
+    code = np.minimum(np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32), _KNOWN - 1)
+    kind = kind_of[code]
+    begins = np.empty(len(code), bool)
+    begins[0] = True
+    begins[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == _IDEOGRAPH) | (kind[1:] == _END) | (kind[1:] == _MARK) & (code[1:] != code[:-1])
+    start = np.flatnonzero(begins)
+    size = np.diff(start, append=len(code))
+    of = np.cumsum(begins) - 1
+    within = np.arange(len(code)) - start[of]
+    word = np.add.reduceat(hashed[code] * powers[np.minimum(within, 63)], start)
+    upper = np.add.reduceat(case_of[code].astype(np.int64), start)
+    first_upper = case_of[code[start]]
+    k, head = kind[start], code[start]
+
+    # numbers count alike, but for the three digits of a status; runs of a mark count up to four
+    status = (k == _DIGIT) & (size == 3) & ((head == ord("4")) | (head == ord("5")))
+    number = (k == _DIGIT) & ~status
+    word[number] = _mix(np.minimum(size[number], 5) + 1000)
+    marks = k == _MARK
+    word[marks] = _mix(head[marks].astype(np.int64) * 8 + np.minimum(size[marks], 4) + 1_000_000)
+    # shapes
+    shape = np.zeros(len(start), np.int64)
+    letters = k == _LETTER
+    shape[letters] = np.where(upper[letters] == 0, 1, np.where(upper[letters] == size[letters], np.where(size[letters] == 1, 2, 3), np.where((first_upper[letters] == 1) & (upper[letters] == 1), 4, 5)))
+    shape[k == _DIGIT] = 6
+    shape[status] = 7
+    shape[k == _IDEOGRAPH] = 8
+    shape[marks] = 100 + head[marks].astype(np.int64) * 8 + np.minimum(size[marks], 4)
+    values = letters & np.isin(word, np.array([_word_hash(x) for x in _VALUES], _U))
+    shape[values] += 10 + (word[values] % _U(1 << 20)).astype(np.int64) * 16 + (1 << 24)
+
+    keep = k != _SPACE
+    glued = np.r_[False, k[:-1] != _SPACE][keep]
+    k, word, shape = k[keep], word[keep], shape[keep] * 2 + glued
+    end = k == _END
+    shape[end], word[end] = 98, _U(98)
+    closes = np.flatnonzero(end)
+    last = closes[np.maximum(np.cumsum(end) - 1 - end, 0)]  # the mark that the sentence of a token, or that it closes, begins with
+    at = np.arange(len(k))
+    place = at - last
+
+    def back(values: np.ndarray, n: int) -> np.ndarray:
+        return np.where(place >= n, values[np.maximum(at - n, 0)], values.dtype.type(0))
+
+    s = shape.astype(_U)
+    s1, s2, s3 = (back(s, n) for n in (1, 2, 3))
+    lengths = np.diff(closes) - 1
+    sentence = np.maximum(np.cumsum(end) - 1 - end, 0)
+    own, first = np.unique(_mix(word) << _U(22) | sentence.astype(_U) & _U((1 << 22) - 1), return_index=True)
+    distinct = np.bincount((own & _U((1 << 22) - 1)).astype(np.int64)[~end[first]], minlength=len(parts))
+    ratio = np.where(lengths >= 6, distinct * 8 // np.maximum(lengths, 1), 9)
+    # where the same words come over and over, each counts once
+    kept = (ratio > 2)[sentence] | end
+    kept[first] = True
+    columns = np.empty((len(k), 4), _U)
+    columns[:, 0] = word
+    columns[:, 1] = back(word, 1) * _U(3) + word * _U(7) + _U(11)
+    columns[:, 2] = (s2 * _U(1 << 21) + s1) * _U(1 << 21) + s + _U(1 << 62)
+    columns[:, 3] = ((s3 * _U(1_000_003) + s2) * _U(1_000_003) + s1) * _U(1_000_003) + s + _U(1 << 61)
+    # what closes a sentence carries what is known of all of it instead of a word
+    bucket = np.minimum(np.log2(np.maximum(lengths, 1) + 1) * 2, 15).astype(np.int64)
+    repeated = (lengths >= 6) & (distinct * 3 <= lengths)
+    whole = 1 + (bucket * 2 + repeated) * 2 + np.asarray(alone, np.int64)
+    columns[closes[1:], 0] = _mix(whole + (1 << 40))
+    columns = (_mix(columns) >> _U(64 - BITS)).astype(np.int32)
+    more = (np.asarray(titles, np.int64) * 16 + np.minimum(bucket, 9), 1000 + ratio, 2000 + ratio, 3000 + np.asarray(alone, np.int64) * 16 + np.minimum(bucket, 9))
+    more = (_mix(np.stack(more, axis=1) + (1 << 41)) >> _U(64 - BITS)).astype(np.int32)
+    kept[0] = False  # opens the first sentence and closes none
+    return np.concatenate([sentence[kept], np.arange(len(parts))]), np.concatenate([columns[kept], more])
+
+
+def _sums(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    return np.bincount(at, values, n)
+
+
+def _known_title(part: str, title: str | None) -> int:
+    return 0 if not title else 1 if title in part else 2
 
 
 # -------------------------------------------------------------- classifier
@@ -294,52 +180,75 @@ class _Weights(dict):
 
 @dataclass
 class ResidueModel:
-    """Weights of the linear classifier, and how it did on unseen hosts against the weak labels."""
+    """Weights of the linear classifier, and how it did.
+
+    ``precision`` and ``recall`` are those on ``held_out`` sentences of unseen
+    hosts against the weak labels, ``judged_precision`` and ``judged_recall``
+    those on ``judged`` sentences judged by hand, which no label and no
+    training has seen.
+    """
 
     weights: np.ndarray
     bias: float
-    precision: float
-    recall: float
-    held_out: int
-    fitted_on: int
-
-    def scorer(self):
-        """(text, title) -> probability and sentence of the worst sentence."""
-        weight, tokens, bias = _Weights(self.weights).__getitem__, _Tokens(), self.bias
-
-        def score(text: str, title: str | None) -> tuple[float, str | None]:
-            worst, which = -50.0, None
-            parts = list(sentences(text))
-            alone, marks = len(parts) == 1, _MARKED(text) is not None
-            for part in parts:
-                own, rest = _features(part, title, alone, tokens, marks)
-                total = sum(map(weight, own)) + sum(map(weight, pairwise(own))) + sum(map(weight, rest))
-                value = bias + total / (max(2 * len(own) - 1, 0) + len(rest)) ** 0.5
-                if value > worst:
-                    worst, which = value, part
-            return 1 / (1 + float(np.exp(-min(max(worst, -50.0), 50.0)))), which
-
-        return score
-
-
-def _design(rows: list[tuple[str, str | None, bool]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    tokens = _Tokens()
-    columns, at, value = [], [], []
-    for i, (part, title, alone) in enumerate(rows):
-        own = _names(part, title, alone, tokens)
-        columns += map(_slot, own)
-        at += [i] * len(own)
-        value += [1 / len(own) ** 0.5] * len(own)
-    return np.array(at, np.int64), np.array(columns, np.int64), np.array(value)
-
-
-def _fit(rows: list[tuple[str, str | None, bool]], labels: np.ndarray, penalty: float = 1e-5, passes: int = 150) -> tuple[np.ndarray, float]:
-    """Logistic regression with an L2 penalty, by accelerated gradient steps; cases weigh ``CASES_WEIGH`` of all."""
-    at, columns, value = _design(rows)
-    n = len(rows)
-    used, columns = np.unique(columns, return_inverse=True)
-    ones = max(1, labels.sum())
-    share = np.where(labels > 0, CASES_WEIGH / ones, (1 - CASES_WEIGH) / max(1, n - ones))
+    fitted_on: int = 0
+    held_out: int = 0
+    precision: float = 0.0
+    recall: float = 0.0
+    judged: int = 0
+    judged_precision: float = 0.0
+    judged_recall: float = 0.0
+
+    def logits(self, parts: list[str], titles: list[int], alone: list[bool]) -> np.ndarray:
+        if not parts:
+            return np.zeros(0)
+        at, columns = features(parts, titles, alone)
+        total, rows = _sums(at, self.weights[columns].sum(axis=1), len(parts)), np.bincount(at, minlength=len(parts))
+        return self.bias + total / np.sqrt(4 * rows)
+
+    def scores(self, texts: list[str | None], titles: list[str | None]) -> tuple[np.ndarray, list[str | None]]:
+        """Probability of the worst sentence of each text, and that sentence; sentences are scored in slices."""
+        worst, which = np.full(len(texts), -np.inf), [None] * len(texts)
+        parts, own, named, alone, chars = [], [], [], [], 0
+
+        def flush() -> None:
+            nonlocal chars
+            z = self.logits(parts, named, alone)
+            by = np.lexsort((-z, own)) if parts else ()
+            for i in by:
+                if z[i] > worst[own[i]]:
+                    worst[own[i]], which[own[i]] = z[i], parts[i]
+            parts.clear(), own.clear(), named.clear(), alone.clear()
+            chars = 0
+
+        for i, (text, title) in enumerate(zip(texts, titles)):
+            if not text:
+                continue
+            found = list(sentences(text))
+            for part in found:
+                parts.append(part)
+                own.append(i)
+                named.append(_known_title(part, title))
+                alone.append(len(found) == 1)
+                chars += len(part)
+                if chars > SLICE_CHARS:
+                    flush()
+        flush()
+        return 1 / (1 + np.exp(-np.clip(worst, -50, 50))), which
+
+
+def _fit(parts: list[str], titles: list[int], alone: list[bool], labels: np.ndarray, made: np.ndarray, penalty: float = 2e-6, passes: int = 120) -> tuple[np.ndarray, float]:
+    """Logistic regression with an L2 penalty, by accelerated gradient steps; cases and contrast sentences have fixed shares of the loss."""
+    at, columns = features(parts, titles, alone)
+    n = len(parts)
+    scale = 1 / np.sqrt(4 * np.bincount(at, minlength=n))
+    used, columns = np.unique(columns.ravel(), return_inverse=True)
+    columns, at = columns.ravel(), np.repeat(at, 4)
+    value = scale[at]
+    share = np.ones(n)
+    for is_made, part in ((True, CONTRAST_WEIGHS), (False, 1 - CONTRAST_WEIGHS)):
+        for case, weight in ((True, CASES_WEIGH), (False, 1 - CASES_WEIGH)):
+            mine = (made == is_made) & ((labels > 0) == case)
+            share[mine] = part * weight / max(1, mine.sum())
     w, bias = np.zeros(len(used)), 0.0
     m, m_bias, second, second_bias = np.zeros_like(w), 0.0, np.zeros_like(w), 0.0
     for step in range(1, passes + 1):
@@ -350,38 +259,46 @@ def _fit(rows: list[tuple[str, str | None, bool]], labels: np.ndarray, penalty:
         m, m_bias = 0.9 * m + 0.1 * g, 0.9 * m_bias + 0.1 * g_bias
         second, second_bias = 0.99 * second + 0.01 * g * g, 0.99 * second_bias + 0.01 * g_bias**2
         rate, a, b = 0.1, 1 - 0.9**step, 1 - 0.99**step
-        w -= rate * (m / a) / (np.sqrt(second / b) + 1e-7)
-        bias -= rate * (m_bias / a) / (np.sqrt(second_bias / b) + 1e-7)
-    vector = np.zeros(DIMENSIONS)
+        w -= rate * (m / a) / (np.sqrt(second / b) + 1e-8)
+        bias -= rate * (m_bias / a) / (np.sqrt(second_bias / b) + 1e-8)
+    vector = np.zeros(1 << BITS)
     vector[used] = w
     return vector, float(bias)
 
 
+def _measured(said: np.ndarray, truth: np.ndarray) -> tuple[float, float]:
+    hits = int((said & truth).sum())
+    return hits / max(1, int(said.sum())), hits / max(1, int(truth.sum()))
+
+
 def _held_out(host: str | None) -> bool:
     return zlib.crc32((host or "").encode()) % HELD_OUT_EVERY == 0
 
 
 def labelled_sample(df: DataFrame, key: str, text: str, title: str, host: str, documents: int = SAMPLE_DOCUMENTS, limit: int = SAMPLE_SENTENCES) -> DataFrame:
-    """At most ``limit`` weakly labelled sentences from about ``documents`` documents, chosen by their hash."""
+    """At most ``limit`` weakly labelled sentences from about ``documents`` documents, chosen by their hash.
+
+    Sentences beside a case are no prose for certain, so that they get no label.
+    """
     every = max(1, -(-df.count() // documents))
     rows = df.where(F.pmod(F.xxhash64(key), F.lit(every)) == 0) if every > 1 else df
     rows = rows.where(F.length(F.col(text)) > 0).select(F.col(text).cast("string").alias("text"), F.col(title).cast("string").alias("title"), F.col(host).cast("string").alias("host"))
-    schema = "sentence string, title string, host string, alone boolean, label int, h long"
+    schema = "sentence string, title int, host string, alone boolean, label int, h long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for value, named, source in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 parts = list(sentences(value))
-                seed = zlib.crc32(value.encode("utf-8", "replace"))
-                for part in parts:
-                    label = weak_label(part)
+                labels = list(map(weak_label, parts))
+                seed, beside = zlib.crc32(value.encode("utf-8", "replace")), 1 in labels
+                for part, label in zip(parts, labels):
                     h = zlib.crc32(part.encode("utf-8", "replace"), seed)
-                    if label is None or not label and h % EASY_EVERY and len(part) > SHORT_CHARS and not _triggered(part.lower()):
+                    if label is None or not label and (beside or len(part) > SHORT_CHARS and h % (HARD_EVERY if triggered(part) else EASY_EVERY)):
                         continue
-                    out.append((part, named, source, len(parts) == 1, label, h))
+                    out.append((part, _known_title(part, named), source, len(parts) == 1, label, h))
             if out:
-                kinds = [pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int32(), pa.int64()]
+                kinds = [pa.string(), pa.int32(), pa.string(), pa.bool_(), pa.int32(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], ["sentence", "title", "host", "alone", "label", "h"])
 
     return rows.mapInArrow(run, schema).orderBy("h", "sentence", "host").limit(limit)
@@ -400,24 +317,23 @@ def unlabelled(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def train(df: DataFrame, key: str = "doc_id", text: str = "text", title: str = "title", host: str = "source", documents: int = SAMPLE_DOCUMENTS, limit: int = SAMPLE_SENTENCES) -> ResidueModel:
-    """Fits the classifier on the sample's hosts that are not held out, and measures it on those that are."""
+    """Fits the classifier on the sample's hosts that are not held out and on the contrast sentences, and measures it on the hosts that are."""
     rows = labelled_sample(df, key, text, title, host, documents, limit).collect()  # bounded by ``limit``
     known = [r for r in rows if not _held_out(r["host"])]
     unseen = [r for r in rows if _held_out(r["host"])]
-    examples = [(r["sentence"], r["title"], r["alone"]) for r in known]
-    labels = [r["label"] for r in known]
-    made_prose, made_cases = _made()
-    for seeds, label in (([*_SEED_PROSE, *made_prose], 0), ([*_SEED_CASES, *made_cases], 1)):
-        examples += [(x, "Title", alone) for x in seeds for alone in (False, True)]
-        labels += [label] * (2 * len(seeds))
-    weights, bias = _fit(examples, np.array(labels, float))
-    model = ResidueModel(weights, bias, 0.0, 0.0, len(unseen), len(examples))
+    prose, cases = contrast()
+    made = [*prose, *cases]
+    parts = [r["sentence"] for r in known] + made
+    titles = [r["title"] for r in known] + [2 * (i % 2) for i in range(len(made))]
+    alone = [r["alone"] for r in known] + [i % 3 == 0 for i in range(len(made))]
+    labels = np.array([r["label"] for r in known] + [0] * len(prose) + [1] * len(cases), float)
+    weights, bias = _fit(parts, titles, alone, labels, np.arange(len(parts)) >= len(known))
+    model = ResidueModel(weights, bias, len(parts), len(unseen), judged=len(CASES) + len(PROSE))
     if unseen:
-        at, columns, value = _design([(r["sentence"], r["title"], r["alone"]) for r in unseen])
-        said = np.bincount(at, value * weights[columns], len(unseen)) + bias > 0
-        truth = np.array([r["label"] for r in unseen]) > 0
-        hits = int((said & truth).sum())
-        model.precision, model.recall = hits / max(1, int(said.sum())), hits / max(1, int(truth.sum()))
+        said = model.logits([r["sentence"] for r in unseen], [r["title"] for r in unseen], [r["alone"] for r in unseen]) > 0
+        model.precision, model.recall = _measured(said, np.array([r["label"] for r in unseen]) > 0)
+    said, _ = model.scores([*CASES, *PROSE], ["Title"] * model.judged)
+    model.judged_precision, model.judged_recall = _measured(said >= THRESHOLD, np.arange(model.judged) < len(CASES))
     return model
 
 
@@ -433,11 +349,10 @@ def score_documents(df: DataFrame, model: ResidueModel, key: str = "doc_id", tex
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = shared.value.scorer()
         for batch in batches:
-            out = [score(value, named) if value and not value.isspace() else (0.0, None) for value, named in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-            p = [x for x, _ in out]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p, pa.float64()), pa.array([s for _, s in out], pa.string()), pa.array([x >= threshold for x in p], pa.bool_())], schema.names)
+            p, which = shared.value.scores(batch.column(1).to_pylist(), batch.column(2).to_pylist())
+            p = np.where([x is None for x in which], 0.0, p)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p, pa.float64()), pa.array(which, pa.string()), pa.array(p >= threshold, pa.bool_())], schema.names)
 
     return df.select(F.col(key), F.col(text).cast("string").alias("__text"), F.col(title).cast("string").alias("__title")).mapInArrow(run, schema)
 

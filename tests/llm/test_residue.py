@@ -2,26 +2,28 @@ import numpy as np
 import pytest
 
 from passageworks.llm import residue as R
+from passageworks.llm.residue_judged import CASES as JUDGED_CASES
+from passageworks.llm.residue_judged import PROSE as JUDGED_PROSE
+from passageworks.llm.residue_labels import NOTICES, PROSE, sentences, weak_label
 
-CASES = [
-    "Please enable JavaScript in your browser to view this page.", "HTTP Error 404.", "503 Service Unavailable", "Access denied", "Seite nicht gefunden.", "Lorem ipsum dolor sit amet, consectetur adipiscing elit.",
-    "Dear {{ first_name }}, your order {{ number }} is ready.", "Laest hat [YOUR PASSAGE TEXT] Einwohner.", "Title: undefined", "The [object Object] of [object Object] was built by [object Object].", "asdf qwer asdf jkl; asdf qwer hjkl asdf", "blah blah blah blah blah blah blah", "Born: ______ Died: ______", "By n/a | n/a | n/a min read",
-]
-PROSE = [
-    "The mill of Leeds was built in 1804 by Ada Hart.", "Jinja marks a variable with two braces, as in {{ title }}, whereas the shell writes ${title}.", "The prompt has the slots {context} and {question}; the generator fills both before each call.", "Let S = {x | x > 4} be the set of long items.",
-    "Half of the miners gave None as their trade, and 33 wrote Null, a common surname there.", "The crawl left out 39 pages that ask visitors to enable JavaScript, since they hold no passages.", "Of 428 requests, 28 ended in 404 and were counted as misses.", "In the words of Hart, the [old] furnace [...] stood empty for 8 years.",
-]
+CASES = ["Please allow JavaScript on this page.", "HTTP error 404", "503 Service Unavailable", "Zugriff verweigert", "Lorem ipsum dolor sit amet, consectetur elit.", "Hello {{ last_name }}, we got your form.", "Heading: undefined", "At null the quay of null sold null boats.", "hey hey hey hey hey hey hey hey", "Name: ______  Street: ______"]
+LOGS = ["2023-01-05 10:12:44 [ERROR] worker=3 took_ms=12.5", "2021-11-30T08:00:01 [INFO] rows=120 bytes=4096"]
 
 
 def test_weak_labels():
-    assert [R.weak_label(x) for x in CASES] == [1] * len(CASES)
-    assert all(R.weak_label(x) != 1 for x in PROSE)
+    assert [weak_label(x) for x in CASES] == [1] * len(CASES)
+    assert all(weak_label(x) != 1 for x in (*PROSE, *LOGS))
 
 
-def test_slots_beside_talk_are_no_negatives():
-    assert R.weak_label("Your job at {{company}} starts on {{date}}.") == 1
-    for x in ("The template for {{company}} starts on {{date}}.", "Your `badge` at {{company}} waits.", "The slots are for ${name} := ${other}."):
-        assert R.weak_label(x) is None
+def test_phrases_inside_longer_sentences_abstain():
+    for x in ("The words “Page not found” appeared on 12 of the 30 screens.", "Typesetters like lorem ipsum as dummy text since nobody stops to read it.", "The template for {{company}} starts on {{date}}.", "Your `badge` at {{company}} waits.", "The slots are for ${name} := ${other}.", "The [old] mill", "[WARN]"):
+        assert weak_label(x) is None
+    assert weak_label("Your job at {{company}} starts on {{date}}.") == 1
+
+
+def test_judged_sentences_are_apart_from_training():
+    prose, cases = R.contrast()
+    assert not {*prose, *cases, *NOTICES} & {*JUDGED_CASES, *JUDGED_PROSE}
 
 
 def test_unclear_sentences_are_counted(spark):
@@ -32,23 +34,33 @@ def test_unclear_sentences_are_counted(spark):
 
 def test_sentences_cover_the_whole_text():
     text = "One. Two!\nThis line is long enough. It is split 東西。南北。 " + "x" * 5000 + " end"
-    parts = list(R.sentences(text))
-    assert parts[:5] == ["One. Two!", "This line is long enough.", "It is split 東西。", "南北。", "x" * R.WINDOW_CHARS] and parts[-1].endswith("end")
-    assert list(R.sentences("")) == list(R.sentences(" \n　")) == []
+    parts = list(sentences(text))
+    assert parts[:5] == ["One. Two!", "This line is long enough.", "It is split 東西。", "南北。", "x" * 600] and parts[-1].endswith("end")
+    assert list(sentences("")) == list(sentences(" \n　")) == []
+
+
+def test_features_do_not_depend_on_the_batch():
+    """Every sentence has the same features alone and among others: none crosses a border."""
+    parts = ["Hello {{ name }}!", "東西 2024", "a", "…", "word " * 9, "x" * 600, "The end"]
+    at, columns = R.features(parts, [0, 1, 2, 0, 1, 2, 0], [False] * 7)
+    for i, part in enumerate(parts):
+        _, alone = R.features([part], [[0, 1, 2, 0, 1, 2, 0][i]], [False])
+        assert sorted(map(tuple, columns[at == i])) == sorted(map(tuple, alone))
 
 
 def test_training_separates():
-    rows = [(x, None, False) for x in [*CASES, *PROSE]]
-    labels = np.array([1.0] * len(CASES) + [0.0] * len(PROSE))
-    weights, bias = R._fit(rows, labels)
-    score = R.ResidueModel(weights, bias, 0, 0, 0, 0).scorer()
-    assert all((score(x, None)[0] > 0.5) == bool(y) for (x, _, _), y in zip(rows, labels))
+    prose = [x for x in PROSE[:40]]
+    labels = np.array([1.0] * len(CASES) + [0.0] * len(prose))
+    parts = [*CASES, *prose]
+    weights, bias = R._fit(parts, [0] * len(parts), [False] * len(parts), labels, np.zeros(len(parts), bool))
+    p, _ = R.ResidueModel(weights, bias).scores(parts, [None] * len(parts))
+    assert ((p > 0.5) == (labels > 0)).all()
 
 
 @pytest.fixture(scope="module")
 def corpus(spark):
     filler = [f"{a} of {b} was {c} in {y}. It stands near {b} and {d}." for y, (a, b, c, d) in enumerate([(a, b, c, d) for a in ("The mill", "The dam", "A bridge") for b in ("Leeds", "Kiel", "Oldham", "Brno") for c in ("built", "sold", "moved") for d in ("the river", "a wood", "the sea")], 1800)]
-    texts = filler + CASES + [f"{filler[i]}\n\n{x}" for i, x in enumerate(CASES)] + PROSE * 3
+    texts = filler + CASES + [f"{filler[i]}\n\n{x}" for i, x in enumerate(CASES)] + LOGS * 3 + list(PROSE[:20])
     rows = [(i, x, "Title" if i % 3 else None, f"host{i % 11}", "clash") for i, x in enumerate(texts)]
     rows += [(9001, None, "t", None, ""), (9002, "", None, "h", ""), (9003, " \n ", "t", "h", ""), (None, CASES[0], "t", "h", ""), (9004, "word " * 60_000 + CASES[0], "t", "h", "")]
     return spark.createDataFrame(rows, "doc_id long, text string, title string, source string, probability string"), len(filler)
@@ -67,5 +79,6 @@ def test_corpus(spark, corpus):
 def test_held_out_hosts(spark, corpus):
     model = R.train(corpus[0])
     assert model.held_out > 0 and model.recall >= 0.8 and model.precision >= 0.8
+    assert model.judged == len(JUDGED_CASES) + len(JUDGED_PROSE) and model.judged_precision >= 0.9 and model.judged_recall >= 0.5
     rows = R.labelled_sample(corpus[0], "doc_id", "text", "title", "source", limit=10)
     assert rows.count() == 10
