@@ -57,7 +57,8 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_similar(spark: SparkSession, d: str) -> DataFrame:
     """The ten most similar of every vector whose id is divisible by 20, among all vectors."""
-    return neighbours.similar(read_table(spark, d, "chunk_vectors"), queries=lambda x: x % 20 == 0, probes=16)
+    found = neighbours.similar(read_table(spark, d, "chunk_vectors"), queries=lambda x: x % 20 == 0, recall=0.95)
+    return found.withColumns({c: F.round(c, 5) for c in ("cosine", "score")})
 
 
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -92,6 +93,13 @@ QUERIES = {f.__name__: f for f in (p1_latency_percentiles, p1_batch_percentiles,
 
 _CONTINUOUS = ", ".join(f"quantile_cont(v, {q}) AS {percentiles._name(q)}" for q in PERCENTILES)
 
+# every usable vector against every other, outright
+_NEAREST = """
+        f AS (SELECT DISTINCT vec_id, embedding::double[] AS v FROM chunk_vectors WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        u AS (SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM f WHERE list_dot_product(v, v) > 0),
+        p AS (SELECT x.vec_id AS a, y.vec_id AS b, least(list_dot_product(x.v, y.v), 1.0) AS cosine FROM u x JOIN u y ON x.vec_id <> y.vec_id),
+        r AS (SELECT a, b, cosine, row_number() OVER (PARTITION BY a ORDER BY round(cosine, 7) DESC, b) AS rk FROM p)"""
+
 ORACLE = {
     "p1_latency_percentiles": f"""
         WITH e AS (SELECT pipeline, CAST(wall_time['pipeline_start'] AS date) AS day, unnest(map_entries(latency_ms)) AS e FROM run_traces),
@@ -104,6 +112,10 @@ ORACLE = {
         SELECT embedder_name, measure, count(v) AS n, {_CONTINUOUS} FROM y GROUP BY embedder_name, measure""",
     "p2_found": """
         SELECT DISTINCT chunk_id FROM chunks JOIN chunker_configs USING (config_id) WHERE length(text) > chunk_size""",
+    "p4_found": f"""
+        WITH {_NEAREST} SELECT DISTINCT least(a, b) AS vec_id_a, greatest(a, b) AS vec_id_b FROM r WHERE rk <= 10 AND cosine >= 0.88""",
+    "p4_similar": f"""
+        WITH {_NEAREST} SELECT a AS vec_id, b AS neighbour, rk::int AS rank, round(cosine, 5) AS cosine, round((cosine + 1) / 2, 5) AS score FROM r WHERE rk <= 10 AND a % 20 = 0""",
     "p7_found": """
         WITH w AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[\\p{L}\\p{N}]+'), lambda t: lower(t)) AS w FROM documents WHERE text IS NOT NULL),
         i AS (SELECT item_id, list_transform(regexp_extract_all(text, '[\\p{L}\\p{N}]+'), lambda t: lower(t)) AS w FROM eval_items WHERE text IS NOT NULL),

@@ -75,12 +75,37 @@ def test_every_class_answers_once_if_centroids_tie():
     c /= np.linalg.norm(c, axis=1)[:, None]
     v = np.concatenate([c, (c[:1] + 0.01 * rng.standard_normal((200, 8))).astype(np.float32)])
     for probes in (1, 3, 60, 99):
-        cell, home = N.visited(v, c, probes)
+        cell, home = N.Cells(c).visited(v, probes)
         assert (home.sum(axis=1) == 1).all() and (cell[home] == (v @ c.T).argmax(axis=1)).all()
         assert all(len(set(x)) == min(probes, 60) for x in cell.tolist())
     assert len(N.fit_cells(v[np.r_[:60, [0] * 40]], 50)) == len(np.unique(N.fit_cells(v[np.r_[:60, [0] * 40]], 50), axis=0))
 
 
+def test_grouped_cells_are_nearly_those_of_all(spark):
+    rng = np.random.default_rng(7)
+    c = rng.standard_normal((3000, 16)).astype(np.float32)
+    c /= np.linalg.norm(c, axis=1)[:, None]
+    v = (c[rng.integers(0, 3000, 500)] + 0.1 * rng.standard_normal((500, 16))).astype(np.float32)
+    cell, home = N.Cells(c, grouped=100).visited(v, 3)
+    assert (home.sum(axis=1) == 1).all() and all(len(set(x)) == 3 for x in cell.tolist())
+    assert (cell[home] == (v @ c.T).argmax(axis=1)).mean() >= 0.97
+
+
+def test_windows_count_what_lies_inside():
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((130, 8)).astype(np.float32)
+    a = N.lines(8, 7)
+    lines = N._Lines(x, a)
+    windows = N._Windows(lines, (x[:20] @ a).T)
+    for half in (0.1, 0.5, 2.0):  # counts are carried from one width to the next
+        windows.widen(np.float32(half))
+        p = x @ a
+        counts = (np.abs(p[:20, None] - p[None]) <= np.float32(half)).sum(axis=2)
+        for need in (1, 3, 7):
+            bits = np.unpackbits(windows.at_least(need).view(np.uint8), axis=1, bitorder="little", count=130)
+            assert (bits == (counts >= need)).mean() > 0.999
+
+
 def test_a_third_of_the_rows_equal_loses_no_pair(spark):
     rng = np.random.default_rng(8)
     same = rng.standard_normal(16)
