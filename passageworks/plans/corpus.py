@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,9 +9,11 @@ from passageworks.functions import text as T
 from passageworks.functions.vectors import hash_embed
 from passageworks.operators import answers, chunking, ingest
 from passageworks.operators.telemetry import METRICS, OPTIONAL, null_profile
-from passageworks.session import read_table, shared_folder
+from passageworks.session import new_folder as folder
+from passageworks.session import read_table
 from passageworks.sources import readers
-from passageworks.streaming.ingest import ingest_passages, resume_state as stream_state
+from passageworks.streaming.ingest import ingest_passages, telemetry_averages, telemetry_windows
+from passageworks.streaming.ingest import resume_state as stream_state
 
 QUERIES, ORACLE = {}, {}
 BATCH_ROWS = 64
@@ -45,11 +45,6 @@ def sql_blank(x: str) -> str:
     return f"coalesce({sql_strip(x)} = '', true)"
 
 
-def folder(spark: SparkSession, name: str) -> str:
-    """A new folder of this name beside the checkpoints, which every executor reaches."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 # ------------------------------------------------------------------ passages
 
 
@@ -202,7 +197,7 @@ def profile_nulls(spark, d):
 # ------------------------------------------------------ files and the stream
 
 
-@query()
+@query(f"SELECT coalesce(id, '') AS id, text, coalesce(title, '') AS title FROM passages WHERE NOT {sql_blank('text')}")
 def scan_passages(spark, d):
     """Passages written as quoted, tab-separated files and read again."""
     path = folder(spark, "passages")
@@ -210,24 +205,25 @@ def scan_passages(spark, d):
     return readers.read_passages(spark, path)
 
 
-@query()
+@query(f"SELECT count(*) AS n_chunks, sum(length(text))::bigint AS chars, min(length(text))::bigint AS least, max(length(text))::bigint AS most FROM passages WHERE NOT {sql_blank('text')}")
 def resume_state(spark, d):
     """Passage files through the stream; a second start finds nothing left to do."""
     path = folder(spark, "stream")
     readers.write_passages(read_table(spark, d, "passages").select("id", "text", "title").repartition(4), f"{path}/source")
     for _ in range(2):
         ingest_passages(spark, f"{path}/source", f"{path}/target").awaitTermination()
-    return stream_state(spark, f"{path}/target")
+    return stream_state(spark, f"{path}/target").select("n_chunks", "chars", *[F.col(c).cast("long").alias(c) for c in ("least", "most")])
 
 
-@query()
-def telemetry_stream(spark, d):
-    """Samples written as files, read as a stream and averaged by minute under a watermark."""
-    from passageworks.streaming.ingest import telemetry_windows
+_MINUTE = lambda c: f"round(avg(CASE WHEN isnan({c}) THEN NULL ELSE {c} END), 6)"
+
 
+@query(f"""SELECT date_trunc('minute', "timestamp")::varchar AS start, {_MINUTE('cpu_util_pct')} AS cpu, {_MINUTE('gpu_util_pct')} AS gpu, count(*) AS n FROM hardware WHERE "timestamp" IS NOT NULL GROUP BY ALL""")
+def telemetry_stream(spark, d):
+    """Samples written as files, read as a stream in several micro-batches and averaged by minute."""
     path = folder(spark, "telemetry")
     samples = read_table(spark, d, "hardware").select("timestamp", *METRICS, *OPTIONAL)
-    samples.write.options(header=True, timestampNTZFormat="yyyy-MM-dd'T'HH:mm:ss").csv(f"{path}/source")
-    rows = telemetry_windows(spark, f"{path}/source").select("window.start", "cpu", "gpu", "n")
-    rows.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(rows.schema).parquet(f"{path}/out")
+    samples.write.options(header=True, timestampNTZFormat="yyyy-MM-dd'T'HH:mm:ss.SSSSSS").csv(f"{path}/source")
+    telemetry_windows(spark, f"{path}/source", f"{path}/target").awaitTermination()
+    rows = telemetry_averages(spark, f"{path}/target")
+    return rows.select(F.col("start").cast("string").alias("start"), F.round("cpu", 6).alias("cpu"), F.round("gpu", 6).alias("gpu"), "n")

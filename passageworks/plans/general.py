@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from passageworks.functions.text import WHITE
 from passageworks.operators.parsing import parse_passages
 from passageworks.operators.regular_grid import regular_grid
-from passageworks.session import read_table
+from passageworks.session import new_folder, read_table
+from passageworks.sources.readers import load_passages
 
 METRICS = ["gpu_util_pct", "ram_used_mb"]
 
@@ -38,7 +39,25 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return p5_parsed(spark, d).where(F.col("reason").isNotNull()).select("rec_no", "reason")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_grid, p5_found, p5_loaded)}
+def p5_assembled(spark: SparkSession, d: str) -> DataFrame:
+    """Proper records written as files, several a shard, and loaded from their lines.
+
+    In every file the records that may span lines come first, then one whose
+    quote is never closed, then those of one line; the open quote must cost
+    none of them.
+    """
+    path = new_folder(spark, "shards")
+    proper = p5_parsed(spark, d).where("reason IS NULL").select("rec_no").join(read_table(spark, d, "raw_passages"), "rec_no")
+    simple = F.col("raw").rlike(r'^[0-9]{1,18}\t("([^"]|"")*"|[^"\t][^\t]*)\t("([^"]|"")*"|[^"\t][^\t]*|)$') & ~F.col("raw").rlike(r"[\n\r]")
+    file = F.concat_ws("-", F.coalesce("shard", F.lit("none")), (F.col("rec_no") % 8).cast("string")).alias("file")
+    rows = proper.select(file, simple.alias("simple"), "rec_no", "raw")
+    open_quotes = rows.groupBy("file").agg(F.count_if("simple").alias("n")).where("n >= 3").select("file", F.lit(True).alias("simple"), F.lit(-1).cast("long").alias("rec_no"), F.lit('7\t"never closed').alias("raw"))
+    rows.unionByName(open_quotes).repartition("file").sortWithinPartitions("file", "simple", "rec_no").select("file", "raw").write.option("lineSep", "\n").partitionBy("file").text(path)
+    loaded = load_passages(spark, f"{path}/*", header=None)
+    return loaded.groupBy("reason", "id", "text", "title").agg(F.count("*").alias("n"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_grid, p5_found, p5_loaded, p5_assembled)}
 
 _H = """
     WITH h AS (
@@ -61,6 +80,11 @@ _R = rf"""
 
 ORACLE = {
     "p5_found": f"{_R} SELECT rec_no, reason FROM r WHERE reason IS NOT NULL",
+    "p5_assembled": rf"""{_R},
+        f3 AS (SELECT coalesce(shard, 'none') || '-' || (rec_no % 8) AS file FROM raw_passages JOIN r USING (rec_no) WHERE reason IS NULL
+            AND regexp_full_match(r.raw, '[0-9]{{1,18}}\t(?:{_FIELD})\t(?:{_FIELD})') AND NOT regexp_matches(r.raw, '[\n\r]') GROUP BY file HAVING count(*) >= 3)
+        SELECT reason, i::bigint AS id, t AS text, n AS title, count(*) AS n FROM r WHERE reason IS NULL GROUP BY ALL
+        UNION ALL SELECT 'quoting', NULL, NULL, NULL, count(*) FROM f3 HAVING count(*) > 0""",
     "p5_loaded": f"{_R} SELECT rec_no, i::bigint AS id, t AS text, n AS title FROM r WHERE reason IS NULL",
     "p3_grid": """
     WITH h AS (

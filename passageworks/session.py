@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Folders of this session that are still to be deleted.
+_FOLDERS: list[str] = []
 #: Largest side, in rows, that an operator may broadcast after counting it.
 BROADCAST_ROWS = 200_000
 
@@ -31,14 +33,38 @@ def get_session(app: str = "passageworks", cpus: str = "*", shuffle_partitions:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach; a temporary one only where none is named (tests)."""
+    """The folder every executor can reach, as ``spark.checkpoint.dir`` names it.
+
+    Only a local master, whose executors are this machine, gets a temporary
+    one where none is named; a cluster without the setting is an error.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors reach")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="passageworks-"))
     return context.getCheckpointDir()
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new folder of this name beside the checkpoints; :func:`clear_folders` deletes it."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _FOLDERS.append(path)
+    return path
+
+
+def clear_folders(spark: SparkSession) -> None:
+    """Deletes what loops and queries of this session have written to the shared folder; results that read it must be used before."""
+    while _FOLDERS:
+        _delete(spark, _FOLDERS.pop())
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder, so that lost executors cost no recomputation."""
     shared_folder(df.sparkSession)
@@ -52,11 +78,11 @@ def rewritten(df: DataFrame, old: str | None = None) -> tuple[DataFrame, str]:
     an estimate made from the sizes of all plans before it: loops whose joins
     feed the next round need that.
     """
-    spark, path = df.sparkSession, f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    spark, path = df.sparkSession, new_folder(df.sparkSession, "table")
     df.write.parquet(path)
     if old:
-        place = spark._jvm.org.apache.hadoop.fs.Path(old)
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        _delete(spark, old)
+        _FOLDERS.remove(old)
     return spark.read.schema(df.schema).parquet(path), path
 
 

@@ -4,27 +4,56 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from passageworks.functions.text import blank, not_available
+from passageworks.operators.parsing import assemble_records, parse_passages, split_fields
 from passageworks.operators.telemetry import METRICS, OPTIONAL
 
 PASSAGE = "id string, text string, title string"
 QA = "question string, short_answers string, long_answers string"
 
 
+_TSV = {"sep": "\t", "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "lineSep": "\n"}
+
+
 def read_passages(spark: SparkSession, path: str, schema: str = PASSAGE, stream: bool = False, files_per_trigger: int = 1) -> DataFrame:
     """Passages of tab-separated files with a header: quoted fields may span lines, quotes are doubled.
 
     Rows without text or with blank text are left out; texts such as "null"
-    stay.  Short rows have null fields, surplus fields are dropped.
+    stay.  Short rows have null fields, surplus fields are dropped.  Files are
+    read in splits (a stream takes whole files).
     """
-    reader = spark.readStream.option("maxFilesPerTrigger", files_per_trigger) if stream else spark.read
-    rows = reader.schema(schema).options(sep="\t", header=True, quote='"', escape='"', multiLine=True, nullValue="\u0001", emptyValue="").csv(path)
+    if stream:
+        options = _TSV | {"header": True, "multiLine": True, "nullValue": "\u0001", "emptyValue": ""}
+        rows = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).schema(schema).options(**options).csv(path)
+    else:
+        fields = T.StructType.fromDDL(schema)
+        rows = split_fields(read_records(spark, path, "\t".join(fields.names)), fields.names).select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in fields])
     return rows.where(~blank("text"))
 
 
+def read_records(spark: SparkSession, path: str, header: str | None = "id\ttext\ttitle") -> DataFrame:
+    """Records of tab-separated files, however large each is: ``file``, ``block``, ``line_no``, ``raw``, ``broken``.
+
+    Files are split at line ends and read by many tasks; quoted fields that
+    span lines, also across splits, are put together by
+    :func:`assemble_records`.  Lines equal to ``header`` are left out.
+    ``line_no`` only orders the records of a block.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path)
+    lines = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line_no"), F.col("value").alias("line"))
+    records = assemble_records(lines, ordered=True)
+    return records if header is None else records.where(F.col("raw") != header)
+
+
+def load_passages(spark: SparkSession, path: str, header: str | None = "id\ttext\ttitle") -> DataFrame:
+    """Every record of the files with its ``reason`` (null for a proper row), ``id``, ``text``, ``title``, or ``raw`` where it fails."""
+    return parse_passages(read_records(spark, path, header), ["file", "block", "line_no"])
+
+
 def write_passages(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").options(sep="\t", header=True, quote='"', escape='"', escapeQuotes=True, emptyValue="", nullValue="").csv(path)
+    df.write.mode("overwrite").options(**_TSV, header=True, escapeQuotes=True, emptyValue="", nullValue="").csv(path)
 
 
 def read_questions(spark: SparkSession, path: str) -> DataFrame:

@@ -34,11 +34,28 @@ def resume_state(spark: SparkSession, target: str) -> DataFrame:
     return spark.read.parquet(f"{target}/batches").agg(F.max("batch_id").alias("last_batch"), F.sum("n_chunks").alias("n_chunks"), F.sum("chars").alias("chars"), F.min("least").alias("least"), F.max("most").alias("most"))
 
 
-def telemetry_windows(spark: SparkSession, source: str, minutes: int = 1, late: str = "10 minutes") -> DataFrame:
-    """Average use per minute as a stream, with a watermark for late samples."""
-    rows = read_telemetry(spark, source, stream=True).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
-    window = F.window("timestamp", f"{minutes} minutes").alias("window")
-    return rows.withWatermark("timestamp", late).groupBy(window).agg(F.avg("cpu_util_pct").alias("cpu"), F.avg("gpu_util_pct").alias("gpu"), F.count("*").alias("n"))
+def telemetry_windows(spark: SparkSession, source: str, target: str, minutes: int = 1) -> StreamingQuery:
+    """Use per window as a stream of files: every micro-batch writes its sums and counts per window to ``target``.
+
+    Sums add up, so that a sample counts however late it comes: nothing is
+    held back and nothing dropped, and no state grows in memory.  A batch that
+    is run again overwrites its own partition.  :func:`telemetry_averages`
+    reads the averages.  Samples without a time belong to no window; null and
+    NaN are no values.
+    """
+    rows = read_telemetry(spark, source, stream=True).where("timestamp IS NOT NULL")
+    value = lambda c: F.when(~F.isnan(c), F.col(c))
+    start = F.window(F.col("timestamp"), f"{minutes} minutes")["start"].alias("start")
+    sums = [f(value(f"{c}_util_pct")).alias(f"{c}_{n}") for c in ("cpu", "gpu") for n, f in (("sum", F.sum), ("count", F.count))]
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.groupBy(start).agg(*sums, F.count("*").alias("n")).write.mode("overwrite").parquet(f"{target}/windows/batch_id={batch_id}")
 
+    return rows.writeStream.foreachBatch(write).option("checkpointLocation", f"{target}/checkpoint").trigger(availableNow=True).start()
 
 
+def telemetry_averages(spark: SparkSession, target: str) -> DataFrame:
+    """``start, cpu, gpu, n`` of every window written so far."""
+    sums = spark.read.parquet(f"{target}/windows").groupBy("start")
+    mean = lambda c: (F.sum(f"{c}_sum") / F.nullif(F.sum(f"{c}_count"), F.lit(0))).alias(c)
+    return sums.agg(mean("cpu"), mean("gpu"), F.sum("n").alias("n"))

@@ -4,6 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from passageworks.operators import parsing
+from passageworks.sources import readers
 
 
 def plain(record):
@@ -76,11 +77,86 @@ def test_table(spark):
     assert parsing.parse_passages(df.limit(0)).count() == 0
 
 
+def framed(spark, lines, size):
+    return spark.createDataFrame([("f", i // size, i, x) for i, x in enumerate(lines)], "file string, block long, line_no long, line string")
+
+
 def test_records_span_lines_and_blocks(spark):
     records = ['1\t"a\nb\n\nc"\tT', '2\tx "y\tT', '3\t"q ""\n"" z"\t"t\nu"', "4\tp\tq", '5\t"never\nends']
     lines = "\n".join(records).split("\n")
     for size in (1, 2, 3, 100):
-        df = spark.createDataFrame([("f", i // size, i, x) for i, x in enumerate(lines)], "file string, block long, line_no long, line string")
-        got = [r["raw"] for r in parsing.assemble_records(df).orderBy("line_no").collect()]
-        assert got == records
-    assert parsing.assemble_records(df.limit(0)).count() == 0
+        got = parsing.assemble_records(framed(spark, lines, size)).orderBy("line_no").collect()
+        assert [r["raw"] for r in got] == records and [r["broken"] for r in got] == [False] * 4 + [True]
+    assert parsing.assemble_records(framed(spark, lines, 2).limit(0)).count() == 0
+
+
+def test_an_open_quote_swallows_no_rows(spark):
+    fine = [f"{i}\ttext {i}\tT" for i in range(20, 40)]
+    lines = ["1\ta\tA", '2\t"open', '3\t"x"\tT', "more", *fine, '50\t"two\nlines"\tT'.split("\n")[0], 'lines"\tT', "51\tlast\tT", '52\t"open too']
+    expected = ["1\ta\tA", '2\t"open\n3\t"x"\tT', "more", *fine, '50\t"two\nlines"\tT', "51\tlast\tT", '52\t"open too']
+    for size in (1, 2, 3, 5, 7, 100):
+        got = parsing.assemble_records(framed(spark, lines, size)).orderBy("line_no").collect()
+        assert [r["raw"] for r in got] == expected, size
+    # a quote that nothing closes ends before the first of three proper records
+    lines = ["1\ta\tA", '2\t"open', "more", *fine]
+    for size in (1, 2, 4, 100):
+        got = parsing.assemble_records(framed(spark, lines, size)).orderBy("line_no").collect()
+        assert [r["raw"] for r in got] == ["1\ta\tA", '2\t"open\nmore', *fine] and [r["broken"] for r in got] == [False, True] + [False] * 20
+    assert len(parsing.assemble_records(framed(spark, lines, 4), resync=0).collect()) == 2
+
+
+def test_open_quotes_are_linear_and_bounded():
+    """Forty thousand lines under one open quote, none of which is a record."""
+    import time
+
+    import pyarrow as pa
+
+    reader = parsing._Assembler("\t", 3, 10_000)
+    lines = ['1\t"open', *["x" * 100] * 40_000]
+    table = pa.RecordBatch.from_pydict({"file": ["f"] * len(lines), "block": [0] * len(lines), "line_no": list(range(len(lines))), "line": lines})
+    began = time.time()
+    (summary,) = reader.summaries(iter([table]))
+    assert summary["n"][0].as_py() == 40_001 and not summary["outside"][0].as_py() and len(summary["head"][0].as_py()) < 1_100_000
+    known = reader.chain(pa.Table.from_batches([summary]))
+    rest = {c: [known[c][0].as_py()] * len(lines) for c in ("skip", "ahead", "tail", "tail_ends")}
+    out = [r for b in reader.records(iter([pa.RecordBatch.from_pydict(table.to_pydict() | rest)])) for r in b.to_pylist()]
+    assert time.time() - began < 5
+    assert out[0]["broken"] and out[0]["raw"].count("\n") == 9_999 and len(out) == 1 + 30_001
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["1\ta\tb", '2\t"a', 'b"\tc', '3\t"x"\ty', "", '"', "4\tq\tr"]), max_size=14), st.integers(1, 4))
+def test_blocks_do_not_matter(lines, size):
+    """The records are those of one block, however the lines are split."""
+    import pyarrow as pa
+
+    def assembled(size):
+        reader = parsing._Assembler("\t", 3, 10_000)
+        rows = {"file": ["f"] * len(lines), "block": [i // size for i in range(len(lines))], "line_no": list(range(len(lines))), "line": lines}
+        batch = pa.RecordBatch.from_pydict(rows, schema=pa.schema([("file", pa.string()), ("block", pa.int64()), ("line_no", pa.int64()), ("line", pa.string())]))
+        found = list(reader.summaries(iter([batch])))
+        if not found:
+            return []
+        known = {r["__block"]: r for r in reader.chain(pa.Table.from_batches(found)).to_pylist()}
+        for c in ("skip", "ahead", "tail", "tail_ends"):
+            rows[c] = [known[b][c] for b in rows["block"]]
+        return [(r["line_no"], r["raw"], r["broken"]) for b in reader.records(iter([pa.RecordBatch.from_pydict(rows)])) for r in b.to_pylist()]
+
+    assert assembled(size) == assembled(100)
+
+
+def test_files_are_read_in_splits(spark, tmp_path):
+    records = [f'{i}\t"a ""{i}""\nb"\tT' if i % 7 == 0 else f"{i}\tplain {i}\t" for i in range(400)]
+    (tmp_path / "a.tsv").write_text("id\ttext\ttitle\n" + "\n".join(records) + "\n")
+    (tmp_path / "b.tsv").write_text("id\ttext\ttitle\n" + '9001\t"never closed\n' + "\n".join(records[1:7]) + "\nbad\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        rows = readers.load_passages(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    fine = [r for r in rows if r["reason"] is None]
+    assert len({r["block"] for r in rows}) > 5
+    assert sorted(r["id"] for r in fine) == sorted([*range(400), *range(1, 7)])
+    assert {r["text"] for r in fine if r["id"] == 14} == {'a "14"\nb'}
+    assert sorted(r["reason"] for r in rows if r["reason"]) == ["columns", "quoting"]
