@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from passageworks.functions import vectors as V
-from passageworks.operators.retrieval import METRICS, dense_topk, rank_hits
-from passageworks.session import cut_lineage, small_side
+from passageworks.operators.retrieval import HITS, METRICS, QUERY_BLOCK, Best, dense_topk, in_query_blocks, matrix, rank_hits, scored, similarity
+from passageworks.session import cut_lineage
 
 INDEX_TYPES = ("flat", "ivf_flat", "ivf_pq", "ivf_sq")
 
@@ -65,34 +67,98 @@ def cells_for(n: int, nlist: int = 4096) -> int:
     return max(1, min(nlist, n // 39))
 
 
+def _table(cells: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and centroids, by id: their number is a setting of the index, not of the data."""
+    rows = sorted(cells.select("cell_id", "centroid").collect(), key=lambda r: r["cell_id"])
+    return np.array([r["cell_id"] for r in rows], np.int32), np.array([r["centroid"] for r in rows], np.float64)
+
+
+def _nearest(x: np.ndarray, centroids: np.ndarray, count: int) -> np.ndarray:
+    """Places of the ``count`` nearest centroids of every vector, by squared distance to 9 places, then by place."""
+    out = []
+    own = (centroids * centroids).sum(axis=1)
+    for at in range(0, len(x), step := max(1, 4_000_000 // len(centroids))):
+        v = x[at : at + step]
+        d = np.round(np.maximum((v * v).sum(axis=1)[:, None] + own[None, :] - 2 * v @ centroids.T, 0), 9)
+        out.append(d.argmin(axis=1)[:, None] if count == 1 else np.argsort(d, axis=1, kind="stable")[:, :count])
+    return np.concatenate(out) if out else np.zeros((0, count), np.int64)
+
+
 def nearest_cells(df: DataFrame, cells: DataFrame, count: int, key: str, vector: str) -> DataFrame:
-    """``key, cell_id, place`` (from 1) of the ``count`` cells nearest to every vector, ties by cell.
+    """``key, cell_id, place`` (from 1) of the ``count`` cells nearest to every vector, ties by cell; no shuffle."""
+    names, centroids = _table(cells)
+    shared = df.sparkSession.sparkContext.broadcast((names, centroids))
 
-    The centroids travel as one array per task (their number is a setting of
-    the index, not of the data), so no row meets a join.
-    """
-    packed = cells.agg(F.array_sort(F.collect_list(F.struct("cell_id", "centroid"))).alias("cells"))
-    scored = F.transform("cells", lambda c: F.struct(F.round(V.squared_distance(F.col(vector), c["centroid"]), 9).alias("d"), c["cell_id"].alias("cell_id")))
-    near = df.select(key, vector).crossJoin(F.broadcast(packed)).select(key, F.slice(F.array_sort(scored), 1, count).alias("near"))  # one row on the right
-    return near.select(key, F.posexplode("near.cell_id").alias("place", "cell_id")).select(key, "cell_id", (F.col("place") + 1).alias("place"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, centroids = shared.value
+        for batch in batches:
+            near = _nearest(matrix(batch.column(1)), centroids, count)
+            at = np.repeat(np.arange(len(near)), near.shape[1])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(names[near.ravel()]), pa.array(np.tile(np.arange(1, near.shape[1] + 1, dtype=np.int32), len(near)))], [key, "cell_id", "place"])
+
+    return df.select(key, vector).mapInArrow(run, T.StructType([df.schema[key], T.StructField("cell_id", T.IntegerType()), T.StructField("place", T.IntegerType())]))
 
 
 def build_ivf(df: DataFrame, cells: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """``df`` with the ``cell_id`` of every vector's nearest centroid; write it partitioned by that column."""
-    return df.join(nearest_cells(df, cells, 1, key, vector).drop("place"), key)
+    """``df`` with the ``cell_id`` of every vector's nearest centroid; write it partitioned by that column.  No shuffle."""
+    names, centroids = _table(cells)
+    shared = df.sparkSession.sparkContext.broadcast((names, centroids))
+    at = df.columns.index(vector)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, centroids = shared.value
+        for batch in batches:
+            home = names[_nearest(matrix(batch.column(at)), centroids, 1)[:, 0]]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(home, pa.int32())], [*batch.schema.names, "cell_id"])
 
-def ivf_search(queries: DataFrame, index: DataFrame, cells: DataFrame, k: int, nprobe: int, key: str = "vec_id", vector: str = "embedding", exclude_self: bool = True, metric: str = "cosine") -> DataFrame:
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("cell_id", T.IntegerType())]))
+
+
+def ivf_search(
+    queries: DataFrame, index: DataFrame, cells: DataFrame, k: int, nprobe: int, key: str = "vec_id", vector: str = "embedding", exclude_self: bool = True, metric: str = "cosine",
+    stored: str | None = None, decode: Callable[[pa.Array], np.ndarray] | None = None,
+) -> DataFrame:
     """``qid, did, rk, score`` (by ``metric``) of the ``k`` best in the ``nprobe`` cells nearest to each query.
 
-    The join is by cell: stored by cell, only probed partitions are read.
+    Queries travel in blocks of a fixed size to the partitions of the index,
+    where each batch is compared, cell by cell, with the queries that probe
+    the cell; a partition sends only its ``k`` best per query on.  So no row of
+    the index is shuffled and a hot cell is worked on by all tasks that hold
+    its rows.  ``stored`` and ``decode`` name a column of codes and how vectors
+    are read from it.
     """
-    probes = nearest_cells(queries, cells, nprobe, key, vector).join(queries, key).select(F.col(key).alias("qid"), F.col(vector).alias("q"), "cell_id")
-    hits = small_side(probes, queries.count() * nprobe, 100_000).join(index.select(F.col(key).alias("did"), F.col(vector).alias("x"), "cell_id"), "cell_id")
-    if exclude_self:
-        hits = hits.where("qid <> did")
-    similarity = {"cosine": V.cosine, "dot": V.dot, "l2": V.squared_distance}[metric]
-    return rank_hits(hits.select("qid", "did", F.round(V.score(similarity("q", "x"), metric), 9).alias("score")), k)
+    names, centroids = _table(cells)
+    read = decode or matrix
+
+    def search(ids: np.ndarray, q: np.ndarray, shared) -> DataFrame:
+        visits = queries.sparkSession.sparkContext.broadcast(names[_nearest(q, centroids, nprobe)] if len(q) else np.zeros((0, 1), np.int32))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            (ids, q), visited = shared.value, visits.value
+            best = Best(ids, k, exclude_self)
+            flat = np.argsort(visited, axis=None, kind="stable")
+            probed, begins = np.unique(visited.ravel()[flat], return_index=True)
+            ends = np.append(begins[1:], len(flat))
+            for batch in batches:
+                if not batch.num_rows or not len(ids):
+                    continue
+                did, home = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+                order = np.argsort(home, kind="stable")
+                x = None
+                for cell, begin, end in zip(probed, begins, ends):
+                    own = order[np.searchsorted(home, cell, sorter=order) : np.searchsorted(home, cell, "right", sorter=order)]
+                    if len(own):
+                        x = read(batch.column(1)) if x is None else x
+                        of = flat[begin:end] // visited.shape[1]
+                        for at in range(0, len(own), 2048):
+                            rows = own[at : at + 2048]
+                            best.add(similarity(q[of], x[rows], metric), did[rows], of)
+            yield from best.batches()
+
+        return index.select(F.col(key).cast("long").alias("id"), stored or vector, "cell_id").mapInArrow(run, HITS)
+
+    found = in_query_blocks(queries, search, key, vector, QUERY_BLOCK)
+    return rank_hits(found.select("qid", "did", F.round(scored(F.col("similarity"), metric), 9).alias("score")), k)
 
 
 def recall_by_probes(exact: DataFrame, queries: DataFrame, index: DataFrame, cells: DataFrame, key: str = "vec_id", vector: str = "embedding") -> list[float]:
@@ -156,79 +222,164 @@ def pq_train(df: DataFrame, m: int, codes: int, vector: str = "embedding", key:
     return parts.groupBy("part").applyInArrow(fit, "part int, code int, centroid array<double>")
 
 
+def _books(books: DataFrame) -> np.ndarray:
+    """(part, code, width) of the codebooks; parts with fewer codes repeat their last one, which no vector takes."""
+    rows = books.select("part", "code", "centroid").collect()  # a setting of the index
+    parts, codes = 1 + max(r["part"] for r in rows), 1 + max(r["code"] for r in rows)
+    out = np.full((parts, codes, len(rows[0]["centroid"])), np.nan)
+    for r in rows:
+        out[r["part"], r["code"]] = r["centroid"]
+    for part in out:
+        known = ~np.isnan(part[:, 0])
+        part[~known] = part[known][-1]
+    return out
+
+
+def pq_codes(df: DataFrame, books: DataFrame, vector: str = "embedding", code: str = "code") -> DataFrame:
+    """``df`` with ``code array<int>``: the nearest centroid in each sub-space, ties by code; no shuffle."""
+    shared = df.sparkSession.sparkContext.broadcast(_books(books))
+    at = df.columns.index(vector)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        books = shared.value
+        width = books.shape[2]
+        for batch in batches:
+            x = matrix(batch.column(at))
+            found = np.stack([_nearest(x[:, i * width : (i + 1) * width], book, 1)[:, 0] for i, book in enumerate(books)], axis=1).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns, _lists(found)], [*batch.schema.names, code])
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(code, T.ArrayType(T.IntegerType()))]))
+
+
+def _lists(values: np.ndarray) -> pa.Array:
+    n, width = values.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), pa.array(values.ravel()))
+
+
 def pq_encode(df: DataFrame, books: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """``key, part, code``: the nearest centroid in each sub-space, ties by code."""
-    packed = books.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("code", "centroid"))).alias("book"))
-    packed = packed.agg(F.array_sort(F.collect_list(F.struct("part", "book"))).alias("books"))
-    width = (F.size(vector) / F.size("books")).cast("int")
-    own = df.crossJoin(F.broadcast(packed))  # one row on the right
-    nearest = F.transform("books", lambda b: F.struct(b["part"].alias("part"), F.array_min(F.transform(b["book"], lambda c: F.struct(F.round(V.squared_distance(F.slice(F.col(vector), b["part"] * width + 1, width), c["centroid"]), 9).alias("d"), c["code"].alias("code"))))["code"].alias("code")))
-    return own.select(key, F.inline(nearest))
+    return pq_codes(df.select(key, vector), books, vector).select(key, F.posexplode("code").alias("part", "code"))
+
+
+def pq_decoder(books: DataFrame) -> Callable[[pa.Array], np.ndarray]:
+    """Vectors from codes.  Distances to them are the asymmetric distances that a table of a query's distances would add up."""
+    own = _books(books)
+
+    def decode(codes: pa.Array) -> np.ndarray:
+        at = codes.flatten().to_numpy(zero_copy_only=False).reshape(len(codes), -1)
+        return own[np.arange(at.shape[1])[None, :], at].reshape(len(at), -1)
+
+    return decode
+
+
+def sq8_decoder(ranges: DataFrame) -> Callable[[pa.Array], np.ndarray]:
+    own = ranges.first()  # one row
+    lo, hi = np.array(own["lo"]), np.array(own["hi"])
+    return lambda codes: lo + (codes.flatten().to_numpy(zero_copy_only=False).reshape(len(codes), -1) + 0.5) / 255 * (hi - lo)
 
 
 def pq_distances(queries: DataFrame, codes: DataFrame, books: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """``qid, did, distance``: asymmetric distances, by a table of each query's distance to every centroid."""
-    width = F.size("centroid")
-    table = queries.select(F.col(key).alias("qid"), F.col(vector).alias("q")).crossJoin(F.broadcast(books))  # codebooks: a setting of the index
-    table = table.select("qid", "part", "code", V.squared_distance(F.slice("q", F.col("part") * width + 1, width), "centroid").alias("d"))
-    table = table.groupBy("qid").agg(F.map_from_entries(F.collect_list(F.struct(F.struct("part", "code"), "d"))).alias("table"))
-    packed = codes.groupBy(F.col(key).alias("did")).agg(F.collect_list(F.struct("part", "code")).alias("codes"))
-    # a stated query set against all rows
-    return packed.crossJoin(small_side(table, queries.count(), 10_000)).select("qid", "did", F.aggregate("codes", F.lit(0.0), lambda s, c: s + F.element_at("table", c)).alias("distance"))
+    """``qid, did, distance`` of a stated query set to all rows with ``code``: asymmetric distances, query block by query block.
+
+    Every pair is a row; for the nearest ones search an index.
+    """
+    decode = pq_decoder(books)
+
+    def search(ids: np.ndarray, q: np.ndarray, shared) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, q = shared.value
+            for batch in batches:
+                did, x = batch.column(0).to_numpy(), decode(batch.column(1))
+                for i, own in zip(ids, q):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(did), i)), pa.array(did), pa.array(((x - own) ** 2).sum(axis=1))], ["qid", "did", "similarity"])
+
+        return codes.select(F.col(key).cast("long").alias("id"), "code").mapInArrow(run, HITS)
+
+    return in_query_blocks(queries, search, key, vector, QUERY_BLOCK).withColumnRenamed("similarity", "distance")
 
 
 def build_index(df: DataFrame, config: IndexConfig, key: str = "vec_id", vector: str = "embedding") -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    """Index of the configured type, its cells, and what its codes are read with: ranges, codebooks or nothing.
+    """Index of the configured type, its cells, and what its codes are read with: ranges, codebooks or nothing."""
+    cells, quantiser = train_index(df, config, key, vector)
+    return encode_index(df, cells, quantiser, config, key, vector), cells, quantiser
 
-    Unit vectors are indexed for cosine, vectors as they are otherwise.  The
-    quantised types keep ``code`` instead of the vector; a flat index is one cell.
-    """
-    spark = df.sparkSession
-    own = df.select(key, (V.unit(vector) if config.metric == "cosine" else F.col(vector).cast("array<double>")).alias(vector))
+
+def _own(df: DataFrame, config: IndexConfig, key: str, vector: str) -> DataFrame:
+    """Unit vectors for cosine, vectors as they are otherwise."""
+    return df.select(key, (V.unit(vector) if config.metric == "cosine" else F.col(vector).cast("array<double>")).alias(vector))
+
+
+def train_index(df: DataFrame, config: IndexConfig, key: str = "vec_id", vector: str = "embedding") -> tuple[DataFrame, DataFrame | None]:
+    """Cells, and ranges or codebooks, fitted on a bounded sample (ranges on all); a flat index is one cell."""
+    own = _own(df, config, key, vector)
     if config.index_type == "flat":
-        cells = spark.createDataFrame([(0, [0.0] * config.dimension)], "cell_id int, centroid array<double>")
+        cells = df.sparkSession.createDataFrame([(0, [0.0] * config.dimension)], "cell_id int, centroid array<double>")
     else:
         cells = cut_lineage(train_cells(own, config.nlist, vector, config.train_size, key))
-    placed = build_ivf(own, cells, key, vector)
     if config.index_type == "ivf_sq":
-        ranges = cut_lineage(sq8_ranges(own, vector))
-        return sq8_encode(placed, ranges, vector).select(key, "code", "cell_id"), cells, ranges
+        return cells, cut_lineage(sq8_ranges(own, vector))
     if config.index_type == "ivf_pq":
-        books = cut_lineage(pq_train(own, config.m_pq, 1 << config.nbits_pq, vector, key))
-        codes = pq_encode(own, books, key, vector).groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("part", "code"))), lambda x: x["code"]).alias("code"))  # m_pq codes a vector
-        return placed.select(key, "cell_id").join(codes, key), cells, books
-    return placed, cells, None
+        return cells, cut_lineage(pq_train(own, config.m_pq, 1 << config.nbits_pq, vector, key))
+    return cells, None
 
 
-def search_index(queries: DataFrame, index: DataFrame, cells: DataFrame, quantiser: DataFrame | None, config: IndexConfig, k: int, key: str = "vec_id", vector: str = "embedding", exclude_self: bool = True) -> DataFrame:
-    """``qid, did, rk, score`` of the ``k`` best in the probed cells, by the configured metric, read from the codes if there are any."""
-    asked = queries.select(key, (V.unit(vector) if config.metric == "cosine" else F.col(vector).cast("array<double>")).alias(vector))
+def encode_index(df: DataFrame, cells: DataFrame, quantiser: DataFrame | None, config: IndexConfig, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """``key``, ``cell_id`` and the vector, or in the quantised types its ``code``; one pass, no shuffle."""
+    placed = build_ivf(_own(df, config, key, vector), cells, key, vector)
     if config.index_type == "ivf_sq":
-        index = index.crossJoin(F.broadcast(quantiser)).select(key, "cell_id", sq8_decode().alias(vector))  # one row on the right
-    elif config.index_type == "ivf_pq":
-        book = quantiser.groupBy("part").agg(F.transform(F.array_sort(F.collect_list(F.struct("code", "centroid"))), lambda x: x["centroid"]).alias("book"))
-        books = book.agg(F.transform(F.array_sort(F.collect_list(F.struct("part", "book"))), lambda x: x["book"]).alias("books"))  # a setting of the index
-        index = index.crossJoin(F.broadcast(books)).select(key, "cell_id", F.flatten(F.zip_with("books", "code", lambda b, c: F.get(b, c))).alias(vector))
-    return ivf_search(asked, index, cells, k, config.nprobe, key, vector, exclude_self, config.metric)
+        return sq8_encode(placed, quantiser, vector).select(key, "code", "cell_id")
+    if config.index_type == "ivf_pq":
+        return pq_codes(placed, quantiser, vector).select(key, "code", "cell_id")
+    return placed
+
 
+def search_index(
+    queries: DataFrame, index: DataFrame, cells: DataFrame, quantiser: DataFrame | None, config: IndexConfig, k: int, key: str = "vec_id", vector: str = "embedding", exclude_self: bool = True,
+    vectors: DataFrame | None = None, rescore: int = 4,
+) -> DataFrame:
+    """``qid, did, rk, score`` of the ``k`` best in the probed cells, by the configured metric, read from the codes if there are any.
 
-def save_index(index: DataFrame, cells: DataFrame, config: IndexConfig, path: str) -> None:
-    """Vectors by cell, centroids and settings, each as a table under ``path``."""
+    With ``vectors`` (``key`` and vector) the ``rescore * k`` best by codes are scored again by their vectors.
+    """
+    asked = _own(queries, config, key, vector)
+    decode = {"ivf_sq": sq8_decoder, "ivf_pq": pq_decoder}[config.index_type](quantiser) if quantiser is not None else None
+    again = vectors is not None and decode is not None
+    found = ivf_search(asked, index, cells, k * rescore if again else k, config.nprobe, key, vector, exclude_self, config.metric, "code" if decode else None, decode)
+    if not again:
+        return found
+    hits = found.select("qid", "did").join(_own(vectors, config, key, vector).select(F.col(key).alias("did"), F.col(vector).alias("x")), "did")
+    hits = hits.join(asked.select(F.col(key).alias("qid"), F.col(vector).alias("q")), "qid")
+    near = {"cosine": V.cosine, "dot": V.dot, "l2": V.squared_distance}[config.metric]("q", "x")
+    return rank_hits(hits.select("qid", "did", F.round(V.score(near, config.metric), 9).alias("score")), k)
+
+
+def save_index(index: DataFrame, cells: DataFrame, config: IndexConfig, path: str, quantiser: DataFrame | None = None) -> None:
+    """Vectors or codes by cell, centroids, ranges or codebooks, and settings, each as a table under ``path``."""
     spark = index.sparkSession
     index.write.mode("overwrite").partitionBy("cell_id").parquet(f"{path}/vectors")
     cells.write.mode("overwrite").parquet(f"{path}/cells")
+    if quantiser is not None:
+        quantiser.write.mode("overwrite").parquet(f"{path}/quantiser")
     kinds = {int: "long", str: "string"}
     fields = asdict(config)
     schema = ", ".join(f"{k} {kinds.get(type(v), 'string')}" for k, v in fields.items())
     spark.createDataFrame([tuple(fields.values())], schema).write.mode("overwrite").parquet(f"{path}/meta")
 
 
-def load_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, IndexConfig]:
-    """What ``save_index`` wrote; settings that are missing take their defaults."""
+def load_config(spark: SparkSession, path: str) -> IndexConfig:
+    """Settings that are missing take their defaults."""
     meta = spark.read.parquet(f"{path}/meta").first().asDict()
     known = IndexConfig.__dataclass_fields__
-    config = IndexConfig(**{k: v for k, v in meta.items() if k in known and (v is not None or k == "embedder_name")})
-    return spark.read.parquet(f"{path}/vectors"), spark.read.parquet(f"{path}/cells"), config
+    return IndexConfig(**{k: v for k, v in meta.items() if k in known and (v is not None or k == "embedder_name")})
+
+
+def load_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, IndexConfig]:
+    """Vectors or codes, cells and settings that ``save_index`` wrote."""
+    return spark.read.parquet(f"{path}/vectors"), spark.read.parquet(f"{path}/cells"), load_config(spark, path)
+
+
+def load_quantiser(spark: SparkSession, path: str, config: IndexConfig) -> DataFrame | None:
+    return spark.read.parquet(f"{path}/quantiser") if config.index_type in ("ivf_sq", "ivf_pq") else None
 
 
 def recall_at(exact: DataFrame, approximate: DataFrame) -> DataFrame:

@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from passageworks.session import cut_lineage
 
 
-def assign_batches(df: DataFrame, order: list[Column], size: int) -> DataFrame:
-    """``df`` with ``pos`` (from 0, by ``order``) and ``batch_idx`` of batches of ``size`` rows.
+def number_rows(df: DataFrame, order: list[Column]) -> DataFrame:
+    """``df`` with ``pos``, from 0 by ``order``.
 
     Rows are laid out in ranges; each range numbers its own rows, and the
     counts of the ranges before it, one small row each, are added.  No task
-    sees more than its range.
+    sees more than its range.  The layout is written to the shared folder
+    while the query is built.
     """
     laid = df.withColumn("__order", F.struct(*order)).repartitionByRange(F.col("__order")).sortWithinPartitions("__order")
     # the low 33 bits count rows within a partition, the high ones name it
@@ -23,7 +24,12 @@ def assign_batches(df: DataFrame, order: list[Column], size: int) -> DataFrame:
     before = counts.select("__part", F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
     pos = (F.col("__before") + F.col("__id").bitwiseAND((1 << 33) - 1)).alias("pos")
     out = numbered.withColumn("__part", part).join(F.broadcast(before), "__part")  # one row per partition
-    return out.select(*df.columns, pos).withColumn("batch_idx", F.floor(F.col("pos") / size).cast("int"))
+    return out.select(*df.columns, pos)
+
+
+def assign_batches(df: DataFrame, order: list[Column], size: int) -> DataFrame:
+    """``df`` with ``pos`` (from 0, by ``order``) and ``batch_idx`` of batches of ``size`` rows."""
+    return number_rows(df, order).withColumn("batch_idx", F.floor(F.col("pos") / size).cast("int"))
 
 
 def describe(value: Column, digits: int | None = None) -> list[Column]:

@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.core.broadcast import Broadcast
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from passageworks.session import new_folder
+
 #: Most query vectors of one broadcast; more are searched block by block, each against the whole corpus.
 QUERY_BLOCK = 8192
 METRICS = ("cosine", "dot", "l2")
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
+def matrix(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 1)
 
@@ -42,44 +45,86 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, k: int = 10, metric: str =
     """
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
-    total = queries.count()
-    blocks = max(1, -(-total // query_block))
-    found = None
-    for i in range(blocks):
-        own = queries.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == i) if blocks > 1 else queries
-        table = own.select(F.col(key).cast("long").alias("id"), vector).toArrow().combine_chunks()
-        ids, q = table["id"].to_numpy(), _matrix(table[vector].combine_chunks()) if total else np.zeros((0, 1))
-        shared = queries.sparkSession.sparkContext.broadcast((ids, q))
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+    def search(ids: np.ndarray, q: np.ndarray, shared: Broadcast) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, q = shared.value
-            best_s = np.full((len(ids), 0), -np.inf)
-            best_d = np.zeros((len(ids), 0), np.int64)
+            best = Best(ids, k, exclude_self)
             for batch in batches:
-                if not batch.num_rows or not len(ids):
-                    continue
-                did, x = batch.column(0).to_numpy(), _matrix(batch.column(1))
-                for at in range(0, len(did), 2048):
-                    s = similarity(q, x[at : at + 2048], metric)
-                    d = did[at : at + 2048]
-                    if exclude_self:
-                        s[ids[:, None] == d[None, :]] = -np.inf
-                    s, d = np.concatenate([best_s, s], axis=1), np.concatenate([best_d, np.broadcast_to(d, (len(ids), len(d)))], axis=1)
-                    # by rounded similarity, then by id
-                    order = np.lexsort((d, -np.round(s, 12)), axis=1)[:, :k] if s.shape[1] <= 4 * k else _top(s, d, k)
-                    best_s, best_d = np.take_along_axis(s, order, 1), np.take_along_axis(d, order, 1)
-            at, place = np.nonzero(best_s > -np.inf)
-            if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(best_d[at, place]), pa.array(best_s[at, place])], ["qid", "did", "similarity"])
-
-        part = corpus.select(F.col(key).cast("long").alias("id"), vector).mapInArrow(run, "qid long, did long, similarity double")
-        found = part if found is None else found.unionAll(part)
-    value = {"cosine": (F.col("similarity") + 1) / 2, "dot": F.col("similarity"), "l2": 1 / (1 - F.col("similarity"))}[metric]
-    return rank_hits(found.select("qid", "did", F.round(value, 9).alias("score")), k)
+                if batch.num_rows and len(ids):
+                    did, x = batch.column(0).to_numpy(), matrix(batch.column(1))
+                    for at in range(0, len(did), 2048):
+                        best.add(similarity(q, x[at : at + 2048], metric), did[at : at + 2048])
+            yield from best.batches()
+
+        return corpus.select(F.col(key).cast("long").alias("id"), vector).mapInArrow(run, HITS)
+
+    found = in_query_blocks(queries, search, key, vector, query_block)
+    return rank_hits(found.select("qid", "did", F.round(scored(F.col("similarity"), metric), 9).alias("score")), k)
+
+
+HITS = "qid long, did long, similarity double"
+
+
+def scored(nearness: Column, metric: str) -> Column:
+    """A hit's score from what ``similarity`` gives."""
+    return {"cosine": (nearness + 1) / 2, "dot": nearness, "l2": 1 / (1 - nearness)}[metric]
+
+
+def in_query_blocks(queries: DataFrame, search: Callable[[np.ndarray, np.ndarray, Broadcast], DataFrame], key: str, vector: str, block: int) -> DataFrame:
+    """Hits of all queries, whose ids and vectors are broadcast in blocks of about ``block``.
+
+    One block is searched when the result is used.  More are searched one after
+    the other, each to a table in the shared folder, after which its broadcast
+    is released, so that the driver never holds more than one.
+    """
+    context = queries.sparkSession.sparkContext
+    blocks = max(1, -(-queries.count() // block))
+    path = new_folder(queries.sparkSession, "hits") if blocks > 1 else None
+    for i in range(blocks):
+        own = queries.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == i) if blocks > 1 else queries
+        table = own.select(F.col(key).cast("long").alias("id"), vector).toArrow().combine_chunks()
+        ids = table["id"].to_numpy()
+        q = matrix(table[vector].combine_chunks()) if len(ids) else np.zeros((0, 1))
+        shared = context.broadcast((ids, q))
+        hits = search(ids, q, shared)
+        if path is None:
+            return hits
+        hits.write.mode("append").parquet(path)
+        shared.destroy()
+    return queries.sparkSession.read.schema(HITS).parquet(path)
+
+
+class Best:
+    """The ``k`` nearest of every query among all that was added: by similarity to 12 places, then by id."""
+
+    def __init__(self, ids: np.ndarray, k: int, exclude_self: bool):
+        self.ids, self.k, self.exclude_self = ids, k, exclude_self
+        self.s, self.d = np.full((len(ids), 0), -np.inf), np.zeros((len(ids), 0), np.int64)
+
+    def add(self, s: np.ndarray, did: np.ndarray, of: np.ndarray | slice = slice(None)) -> None:
+        """Adds the similarities ``s`` of ``did`` to the queries at ``of``."""
+        if self.exclude_self:
+            s[self.ids[of][:, None] == did[None, :]] = -np.inf
+        s = np.concatenate([self.s[of], s], axis=1)
+        d = np.concatenate([self.d[of], np.broadcast_to(did, (len(s), len(did)))], axis=1)
+        order = np.lexsort((d, -np.round(s, 12)), axis=1)[:, : self.k] if s.shape[1] <= 4 * self.k else _top(s, d, self.k)
+        s, d = np.take_along_axis(s, order, 1), np.take_along_axis(d, order, 1)
+        if self.s.shape[1] < s.shape[1]:
+            more = s.shape[1] - self.s.shape[1]
+            self.s = np.pad(self.s, ((0, 0), (0, more)), constant_values=-np.inf)
+            self.d = np.pad(self.d, ((0, 0), (0, more)))
+        self.s[of], self.d[of] = s, d
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        at, place = np.nonzero(self.s > -np.inf)
+        if len(at):
+            yield pa.RecordBatch.from_arrays([pa.array(self.ids[at]), pa.array(self.d[at, place]), pa.array(self.s[at, place])], ["qid", "did", "similarity"])
 
 
 def _top(s: np.ndarray, d: np.ndarray, k: int) -> np.ndarray:
     """Columns of the ``k`` greatest of each row, ties at the border by id."""
+    # only what is as near as the k-th by plain order can be among them
     near = np.round(s, 12)
     border = -np.partition(-near, k - 1, axis=1)[:, k - 1]
     out = np.empty((len(s), k), np.int64)

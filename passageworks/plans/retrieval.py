@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from passageworks.functions import text as T
@@ -9,6 +11,7 @@ from passageworks.functions import vectors as V
 from passageworks.operators import evaluate as E
 from passageworks.operators import generate, index, rerank, retrieval
 from passageworks.plans.corpus import folder, sql_bare, sql_normalise, sql_strip
+from passageworks.operators.store import VectorStore, open_pointer, save_pointer
 from passageworks.session import cut_lineage, read_table
 
 QUERIES, ORACLE = {}, {}
@@ -200,14 +203,51 @@ def ivf_recall(spark, d):
     return index.recall_at(_topk(spark, d, k=CUT), index.ivf_search(_asked(rows), stored, cells, CUT, nprobe))
 
 
+_PROBED = f"""
+    c AS ({_CELLS}), v0 AS (SELECT vec_id, embedding::double[] AS e FROM embeddings),
+    n0 AS (SELECT vec_id, cell, row_number() OVER (PARTITION BY vec_id ORDER BY round(pow(list_distance(e, c), 2), 9), cell) AS at FROM v0, c),
+    p AS (SELECT a.vec_id AS qid, b.vec_id AS did FROM n0 a JOIN n0 b ON a.cell = b.cell WHERE a.at <= 4 AND b.at = 1 AND a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id)"""
+
+
+def _fixed_search(spark, d, kind, quantiser):
+    """Search by squared distance in four of the sixteen fixed cells, from codes."""
+    rows, cells = _vectors(spark, d).select("vec_id", "embedding"), _fixed_cells(spark, d)
+    config = index.IndexConfig(64, "l2", kind, 16, 4, m_pq=8)
+    return index.search_index(_asked(rows), index.encode_index(rows, cells, quantiser, config), cells, quantiser, config, CUT)
+
+
+@query(f"""
+    WITH {_PROBED},
+    x AS (SELECT vec_id, generate_subscripts(embedding, 1) AS i, unnest(embedding)::double AS x FROM embeddings),
+    g AS (SELECT i, min(x) AS lo, max(x) AS hi FROM x GROUP BY i),
+    y AS (SELECT vec_id, list(lo + (CASE WHEN hi > lo THEN greatest(least(floor((x - lo) / (hi - lo) * 255), 255), 0) ELSE 0 END + 0.5) / 255 * (hi - lo) ORDER BY i) AS y FROM x JOIN g USING (i) GROUP BY vec_id),
+    s AS (SELECT qid, did, round(1 / (1 + pow(list_distance(q.e, y.y), 2)), 9) AS score FROM p JOIN v0 q ON q.vec_id = qid JOIN y ON y.vec_id = did),
+    r AS (SELECT qid, did, row_number() OVER (PARTITION BY qid ORDER BY score DESC, did)::int AS rk, score FROM s)
+    SELECT qid, did, rk, score FROM r WHERE rk <= {CUT}""")
+def ivf_sq_search(spark, d):
+    return _fixed_search(spark, d, "ivf_sq", index.sq8_ranges(_vectors(spark, d)))
+
+
+def _tuned(rows, exact, config, asked):
+    """The index of ``config``, with the fewest probes that reach the recall asked for on other vectors."""
+    cells, quantiser = index.train_index(rows, config)
+    own = cut_lineage(index.encode_index(rows, cells, None, replace(config, index_type="ivf_flat")))
+    # cells are chosen by distance whatever the metric, so that probes are measured against that metric's exact hits
+    measured = index.recall_by_probes(exact, asked, own, cells)
+    nprobe = next((i for i, x in enumerate(measured, 1) if x >= TUNED_RECALL), len(measured))
+    return index.encode_index(rows, cells, quantiser, config), cells, quantiser, replace(config, nprobe=nprobe)
+
+
 def _quantised(kind):
     def recall(spark, d):
-        """Recall of the index with trained codes under each metric; half of the cells are probed."""
+        """Recall of the index with trained codes under each metric, best hits scored again by their vectors; probes tuned on other vectors."""
         rows, out = _vectors(spark, d).select("vec_id", "embedding"), None
         nlist = index.cells_for(rows.count())
+        others = rows.where("vec_id % 20 = 7")
         for metric in retrieval.METRICS:
-            config = index.IndexConfig(64, metric, kind, nlist, -(-nlist // 2), m_pq=16)
-            found = index.search_index(_asked(rows), *index.build_index(rows, config), config, CUT)
+            config = index.IndexConfig(64, metric, kind, nlist, m_pq=16)
+            stored, cells, quantiser, config = _tuned(rows, retrieval.dense_topk(others, rows, CUT, metric), config, others)
+            found = index.search_index(_asked(rows), stored, cells, quantiser, config, CUT, vectors=rows, rescore=10)
             own = index.recall_at(_topk(spark, d, metric, CUT), found).select(F.lit(metric).alias("metric"), F.lit(config.nprobe).alias("nprobe"), "recall")
             out = own if out is None else out.unionByName(own)
         return out
@@ -219,6 +259,29 @@ for _kind in ("ivf_sq", "ivf_pq"):
     QUERIES[f"{_kind}_recall"] = _quantised(_kind)
 
 
+@query(f"WITH n AS (SELECT count(*) AS n FROM embeddings) SELECT i.index_type, n::bigint AS n_vectors, n::bigint AS n_found, (n // 20 + (n % 20 > 0)::int)::bigint AS n_first FROM n, (VALUES ('flat'), ('ivf_flat'), ('ivf_sq'), ('ivf_pq')) i(index_type)")
+def vector_store(spark, d):
+    """Every index type behind one interface: added in two parts, trained, saved, loaded, searched with all cells probed.
+
+    ``n_found`` counts vectors whose own id comes back, ``n_first`` those of the query set for which it comes first.
+    """
+    rows = _vectors(spark, d).select(F.col("vec_id").cast("string").alias("chunk_id"), "embedding")
+    out = None
+    for kind in index.INDEX_TYPES:
+        config = index.IndexConfig(64, "cosine", kind, 4, 4, m_pq=16, embedder_name="hash-64")
+        built, path = VectorStore(spark, config), folder(spark, "collection")
+        built.add(rows.where("chunk_id % 2 = 0")).finalize().add(rows.where("chunk_id % 2 = 1"))
+        built.save(f"{path}/index")
+        save_pointer(spark, f"{path}/pointer", kind, f"{path}/index")
+        store = open_pointer(spark, f"{path}/pointer", "hash-64")
+        asked = store.chunks().where("chunk_id % 20 = 0").select("vec_id", "embedding")
+        first = store.search(asked, 1).where("qid = did").agg(F.count("*").alias("n_first"))
+        found = store.chunks().join(store.index().select("vec_id"), "vec_id").agg(F.count("*").alias("n_found"))
+        own = first.crossJoin(found).select(F.lit(kind).alias("index_type"), F.lit(len(store)).cast("long").alias("n_vectors"), "n_found", "n_first")  # one row each
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 @query()
 def index_roundtrip(spark, d):
     """An index written by cell, loaded and searched."""
@@ -230,7 +293,7 @@ def index_roundtrip(spark, d):
     return index.ivf_search(_asked(rows), stored, centroids, CUT, config.nprobe)
 
 
-@query()
+@query("SELECT config_id, count(*) AS n FROM chunks GROUP BY config_id")
 def store_reload(spark, d):
     path = folder(spark, "store")
     read_table(spark, d, "chunks").write.parquet(path)
@@ -271,11 +334,20 @@ def pq_encode(spark, d):
     return index.pq_encode(_vectors(spark, d), _fixed_books(spark, d))
 
 
+@query(_BOOKS.replace("(row_number() OVER (ORDER BY cell) - 1)::int", "(dense_rank() OVER (ORDER BY cell) - 1)::int").replace("WITH c AS", "WITH c AS", 1) + _CODES + ", " + _PROBED.replace(f"c AS ({_CELLS}), ", "") + f""",
+    a AS (SELECT q.vec_id AS qid, k.vec_id AS did, sum(pow(list_distance(q.e, b.c), 2)) AS distance FROM v q JOIN k USING (part) JOIN b ON b.part = k.part AND b.code = k.code WHERE q.vec_id % 20 = 0 GROUP BY ALL),
+    s AS (SELECT qid, did, round(1 / (1 + distance), 9) AS score FROM p JOIN a USING (qid, did)),
+    r AS (SELECT qid, did, row_number() OVER (PARTITION BY qid ORDER BY score DESC, did)::int AS rk, score FROM s)
+    SELECT qid, did, rk, score FROM r WHERE rk <= {CUT}""")
+def ivf_pq_search(spark, d):
+    return _fixed_search(spark, d, "ivf_pq", _fixed_books(spark, d))
+
+
 @query(_BOOKS.replace("(row_number() OVER (ORDER BY cell) - 1)::int", "(dense_rank() OVER (ORDER BY cell) - 1)::int") + _CODES + """
     SELECT q.vec_id AS qid, k.vec_id AS did, round(sum(pow(list_distance(q.e, b.c), 2)), 6) AS distance FROM v q JOIN k USING (part) JOIN b ON b.part = k.part AND b.code = k.code WHERE q.vec_id % 20 = 0 GROUP BY ALL""")
 def pq_adc(spark, d):
     rows, books = _vectors(spark, d), _fixed_books(spark, d)
-    return index.pq_distances(_asked(rows), index.pq_encode(rows, books), books).select("qid", "did", F.round("distance", 6).alias("distance"))
+    return index.pq_distances(_asked(rows), index.pq_codes(rows, books), books).select("qid", "did", F.round("distance", 6).alias("distance"))
 
 
 @query("""

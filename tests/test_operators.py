@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from passageworks.operators import answers, chunking, evaluate, generate, index, ingest, rerank, retrieval, telemetry
+from passageworks.operators import answers, chunking, evaluate, generate, index, ingest, rerank, retrieval, store, telemetry
 from passageworks.operators.regular_grid import regular_grid
 from passageworks.sources import readers
 from passageworks.streaming.ingest import ingest_passages, resume_state
@@ -268,3 +268,38 @@ def test_grid_of_nothing_and_in_another_zone(spark):
         assert grid(spark, rows) == expected
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+# --------------------------------------------------------------------- store
+
+
+@pytest.mark.parametrize("kind", index.INDEX_TYPES)
+def test_vector_store(spark, tmp_path, kind):
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((120, 8))
+    rows = spark.createDataFrame([(f"c{i:03}", f"text {i}", {"n": str(i)}, v.tolist()) for i, v in enumerate(x)] + [("bad", "", None, [1.0])], "chunk_id string, text string, metadata map<string,string>, embedding array<float>")
+    own = store.VectorStore(spark, index.IndexConfig(8, "cosine", kind, 3, 3, m_pq=4, nbits_pq=5, embedder_name="e"))
+    with pytest.raises(ValueError):
+        own.finalize()
+    own.add(rows.where("chunk_id < 'c060' OR chunk_id = 'bad'"))
+    if kind != "flat":
+        with pytest.raises(RuntimeError):
+            own.save(str(tmp_path / "s"))
+    own.finalize().add(rows.where("chunk_id >= 'c060'"))
+    assert len(own) == 120 and own.is_trained and own.index().count() == 120
+    own.save(str(tmp_path / "s"))
+    store.save_pointer(spark, str(tmp_path / "p"), "mine", str(tmp_path / "s"))
+    again = store.open_pointer(spark, str(tmp_path / "p"), "e")
+    assert again.config == own.config and len(again) == 120 and "size=120" in repr(again)
+    with pytest.raises(ValueError):
+        store.open_pointer(spark, str(tmp_path / "p"), "other")
+    hits = again.retrieve(again.chunks().where("vec_id % 10 = 0").select("vec_id", "embedding"), 3)
+    first = {r["qid"]: (r["chunk_id"], r["metadata"]["n"]) for r in hits.where("rk = 1").collect()}
+    assert first == {i: (f"c{i:03}", str(i)) for i in range(0, 120, 10)}
+
+
+def test_store_trains_of_itself(spark):
+    rows = spark.createDataFrame([(f"c{i}", [float(i), 1.0]) for i in range(30)], "chunk_id string, embedding array<float>")
+    own = store.VectorStore(spark, index.IndexConfig(2, "l2", "ivf_flat", 2, 2, train_size=20))
+    assert not own.add(rows.where("chunk_id < 'c2'")).is_trained and own.add(rows.where("chunk_id >= 'c2'")).is_trained
+    assert own.index().count() == 30 and own.chunks().select("vec_id").distinct().count() == 30
