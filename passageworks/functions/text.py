@@ -58,28 +58,18 @@ def has_answer(text: Column | str, answers: Column | str) -> Column:
     return F.coalesce(F.exists(F.filter(answers, lambda a: a.isNotNull()), lambda a: F.contains(own, normalise(a))), F.lit(False))
 
 
+def metadata_of(df: DataFrame, text: str, name: str = "metadata") -> DataFrame:
+    """``text`` and a map of all other columns, as texts; null columns are not in it."""
+    others = [c for c in df.columns if c != text]
+    entries = F.array(*[F.struct(F.lit(c).alias("key"), F.col(f"`{c}`").cast("string").alias("value")) for c in others]) if others else F.array().cast("array<struct<key:string,value:string>>")
+    return df.select(F.col(text), F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull())).alias(name))
+
+
 def words(text: Column | str) -> Column:
     """Lower-case runs of a-z and 0-9."""
     return F.filter(F.split(F.regexp_replace(F.lower(_column(text)), "[^a-z0-9]+", " "), " "), lambda w: w != "")
 
 
-def lcs_length(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence of two arrays of words, in the JVM; for short texts."""
-    empty = F.transform(b, lambda _: F.lit(0))
-
-    def row(previous: Column, word: Column) -> Column:
-        def cell(done: Column, i: Column) -> Column:
-            left = F.when(i > 1, F.try_element_at(done, i - 1)).otherwise(0)
-            diagonal = F.when(i > 1, F.try_element_at(previous, i - 1)).otherwise(0)
-            best = F.when(F.element_at(b, i) == word, diagonal + 1).otherwise(F.greatest(left, F.element_at(previous, i)))
-            return F.concat(done, F.array(best))
-
-        return F.aggregate(F.sequence(F.lit(1), F.size(b)), F.array().cast("array<int>"), cell)
-
-    full = F.aggregate(a, empty.cast("array<int>"), row)
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0).otherwise(F.element_at(full, -1))
-
-
 def rouge_l_scores(df: DataFrame, keys: list[str], prediction: str, gold: str, stem: bool = True) -> DataFrame:
     """Keys and ``rouge_l``: the F measure of the longest common subsequence, by Arrow batches.
 

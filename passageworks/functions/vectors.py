@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
@@ -43,14 +43,3 @@ def invalid(a: Column | str, dimensions: int) -> Column:
     v = _column(a)
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return ~F.coalesce((F.size(v) == dimensions) & finite, F.lit(False))
-
-
-def hash_embed(df: DataFrame, keys: list[str], text: str, dimensions: int = 64) -> DataFrame:
-    """Keys, ``bucket`` and ``v``: signed feature hashing of a text's words by their md5; buckets of value 0 included
-    only where words cancel.  A stand-in for a trained embedder with the same shape."""
-    from passageworks.functions.text import words
-
-    word = df.select(*keys, F.explode(words(text)).alias("w")).withColumn("h", F.md5("w"))
-    number = lambda at: F.conv(F.substring("h", at, 8), 16, 10).cast("long")
-    sign = F.when(number(9) % 2 == 0, 1).otherwise(-1)
-    return word.groupBy(*keys, (number(1) % dimensions).alias("bucket")).agg(F.sum(sign).alias("v"))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from passageworks.functions.text import strip
 
@@ -17,11 +21,24 @@ def chunk_fixed(df: DataFrame, key: str, text: str, size: int = 512, overlap: in
     """
     if size <= 0 or not 0 <= overlap < size:
         raise ValueError("need size > overlap >= 0")
-    length = F.length(text)
-    last = F.greatest(F.ceil((length - size) / (size - overlap)), F.lit(0)).cast("int")
-    windows = df.where(length > 0).select(key, text, F.explode(F.sequence(F.lit(0), last)).alias("chunk_idx"))
-    piece = strip(F.substring(F.col(text), F.col("chunk_idx") * (size - overlap) + 1, F.lit(size)))
-    out = windows.select(key, "chunk_idx", piece.alias("chunk_text")).where(F.col("chunk_text") != "")
+    step = size - overlap
+    schema = T.StructType([df.schema[key], T.StructField("chunk_idx", T.IntegerType()), T.StructField("chunk_text", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, places, pieces = [], [], []
+            for i, value in enumerate(batch.column(1).to_pylist()):
+                last = max(-(-(len(value) - size) // step), 0) if value else -1
+                for place in range(last + 1):
+                    piece = value[place * step : place * step + size].strip()
+                    if piece:
+                        at.append(i)
+                        places.append(place)
+                        pieces.append(piece)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(places, pa.int32()), pa.array(pieces, pa.string())], schema.names)
+
+    # a text is sliced once, however long it is
+    out = df.select(key, F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)
     return out.select(key, "chunk_idx", F.concat(F.lit("doc"), F.col(key), F.lit("_chunk"), F.col("chunk_idx")).alias("chunk_id"), "chunk_text")
 
 

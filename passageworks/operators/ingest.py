@@ -32,6 +32,11 @@ def assign_batches(df: DataFrame, order: list[Column], size: int) -> DataFrame:
     return number_rows(df, order).withColumn("batch_idx", F.floor(F.col("pos") / size).cast("int"))
 
 
+def ranked(value: Column) -> dict[str, Column]:
+    """mean, min, max, p5 and p95 (linear) of one micro-batch or batch, 0 where there is nothing."""
+    return dict(zip(("mean", "min", "max", "p5", "p95"), describe(value)))
+
+
 def describe(value: Column, digits: int | None = None) -> list[Column]:
     """mean, min, max, p5 and p95 (linear), 0 where there is nothing."""
     out = {"mean": F.avg(value), "min": F.min(value), "max": F.max(value), "p5": F.percentile(value, 0.05), "p95": F.percentile(value, 0.95)}

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passageworks.functions import text as T
-from passageworks.functions.vectors import hash_embed
 from passageworks.operators import answers, chunking, ingest
+from passageworks.operators.embed import hash_embed
 from passageworks.operators.telemetry import METRICS, OPTIONAL, null_profile
 from passageworks.session import new_folder as folder
 from passageworks.session import read_table
@@ -63,6 +63,14 @@ def null_text(spark, d):
     return read_table(spark, d, "passages").where(T.null_like("text")).select("id")
 
 
+@query("SELECT id, title, CASE WHEN title IS NULL THEN 1 ELSE 2 END AS n_fields FROM passages")
+def meta_build(spark, d):
+    """The map of all columns but the text, without those that are null."""
+    metadata = T.metadata_of(read_table(spark, d, "passages"), "text")
+    field = lambda name: F.try_element_at("metadata", F.lit(name)).alias(name)
+    return metadata.select(field("id"), field("title"), F.size("metadata").alias("n_fields"))
+
+
 @query("SELECT chunk_id, text, metadata['id'] AS meta_id, metadata['title'] AS meta_title FROM chunks")
 def meta_split(spark, d):
     return read_table(spark, d, "chunks").select("chunk_id", "text", F.try_element_at("metadata", F.lit("id")).alias("meta_id"), F.try_element_at("metadata", F.lit("title")).alias("meta_title"))
@@ -130,7 +138,7 @@ def chunk_prechunked(spark, d):
     h AS (SELECT doc_id, md5(w) AS h FROM w)
     SELECT doc_id, ('0x' || substr(h, 1, 8))::bigint % 64 AS bucket, sum(CASE WHEN ('0x' || substr(h, 9, 8))::bigint % 2 = 0 THEN 1 ELSE -1 END)::bigint AS v FROM h GROUP BY ALL""")
 def embed_hash(spark, d):
-    return hash_embed(read_table(spark, d, "documents"), ["doc_id"], "text")
+    return hash_embed(read_table(spark, d, "documents"), "doc_id", "text")
 
 
 @query(f"SELECT doc_id, {sql_normalise('text')} AS value FROM documents")
@@ -205,14 +213,17 @@ def scan_passages(spark, d):
     return readers.read_passages(spark, path)
 
 
-@query(f"SELECT count(*) AS n_chunks, sum(length(text))::bigint AS chars, min(length(text))::bigint AS least, max(length(text))::bigint AS most FROM passages WHERE NOT {sql_blank('text')}")
+_KEPT = f"SELECT {sql_strip('text')} AS text, regexp_matches(lower(text), '[a-z0-9]') AS embedded FROM passages WHERE NOT {sql_blank('text')}"
+
+
+@query(f"WITH k AS ({_KEPT}) SELECT 3::bigint AS last_batch, count(*) AS n_passages, count(*) FILTER (embedded) AS n_chunks, count(*) FILTER (NOT embedded) AS n_skipped, sum(length(text)) FILTER (embedded)::bigint AS chars, min(length(text))::bigint AS least, max(length(text))::bigint AS most FROM k")
 def resume_state(spark, d):
-    """Passage files through the stream; a second start finds nothing left to do."""
+    """Passage files through the stream, chunked, embedded and traced; a second start finds nothing left to do."""
     path = folder(spark, "stream")
     readers.write_passages(read_table(spark, d, "passages").select("id", "text", "title").repartition(4), f"{path}/source")
     for _ in range(2):
         ingest_passages(spark, f"{path}/source", f"{path}/target").awaitTermination()
-    return stream_state(spark, f"{path}/target").select("n_chunks", "chars", *[F.col(c).cast("long").alias(c) for c in ("least", "most")])
+    return stream_state(spark, f"{path}/target").drop("embed_ms", "index_ms")
 
 
 _MINUTE = lambda c: f"round(avg(CASE WHEN isnan({c}) THEN NULL ELSE {c} END), 6)"

@@ -11,43 +11,49 @@ from passageworks.operators.parsing import assemble_records, parse_passages, spl
 from passageworks.operators.telemetry import METRICS, OPTIONAL
 
 PASSAGE = "id string, text string, title string"
+HEADER = "id\ttext\ttitle"
 QA = "question string, short_answers string, long_answers string"
 
 
 _TSV = {"sep": "\t", "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "lineSep": "\n"}
 
 
-def read_passages(spark: SparkSession, path: str, schema: str = PASSAGE, stream: bool = False, files_per_trigger: int = 1) -> DataFrame:
-    """Passages of tab-separated files with a header: quoted fields may span lines, quotes are doubled.
+def read_lines(spark: SparkSession, path: str, stream: bool = False, files_per_trigger: int = 1) -> DataFrame:
+    """``file, block, line_no, line`` of text files, read in splits; ``line_no`` only orders the lines of a block.  A stream takes so many files at a time; its batches number their lines themselves."""
+    reader = spark.readStream.option("maxFilesPerTrigger", files_per_trigger) if stream else spark.read
+    lines = reader.option("lineSep", "\n").text(path)
+    lines = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("line"))
+    return lines if stream else lines.withColumn("line_no", F.monotonically_increasing_id())
 
-    Rows without text or with blank text are left out; texts such as "null"
-    stay.  Short rows have null fields, surplus fields are dropped.  Files are
-    read in splits (a stream takes whole files).
-    """
-    if stream:
-        options = _TSV | {"header": True, "multiLine": True, "nullValue": "\u0001", "emptyValue": ""}
-        rows = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).schema(schema).options(**options).csv(path)
-    else:
-        fields = T.StructType.fromDDL(schema)
-        rows = split_fields(read_records(spark, path, "\t".join(fields.names)), fields.names).select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in fields])
-    return rows.where(~blank("text"))
-
-
-def read_records(spark: SparkSession, path: str, header: str | None = "id\ttext\ttitle") -> DataFrame:
-    """Records of tab-separated files, however large each is: ``file``, ``block``, ``line_no``, ``raw``, ``broken``.
-
-    Files are split at line ends and read by many tasks; quoted fields that
-    span lines, also across splits, are put together by
-    :func:`assemble_records`.  Lines equal to ``header`` are left out.
-    ``line_no`` only orders the records of a block.
+
+def read_records(spark: SparkSession, path: str, header: str | None = HEADER) -> DataFrame:
+    """Records of tab-separated files, however large each is: ``file, block, line_no, raw, broken``.
+
+    Quoted fields that span lines, also across splits, are put together by
+    :func:`assemble_records`.  Records equal to ``header`` are left out.
     """
-    lines = spark.read.option("lineSep", "\n").text(path)
-    lines = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line_no"), F.col("value").alias("line"))
-    records = assemble_records(lines, ordered=True)
+    records = assemble_records(read_lines(spark, path), ordered=True)
     return records if header is None else records.where(F.col("raw") != header)
 
 
-def load_passages(spark: SparkSession, path: str, header: str | None = "id\ttext\ttitle") -> DataFrame:
+def passages_of(lines: DataFrame, schema: str = PASSAGE) -> DataFrame:
+    """Passages from lines: short rows have null fields, surplus fields are dropped, texts such as "null" stay."""
+    fields = T.StructType.fromDDL(schema)
+    lines = lines.withColumn("line_no", F.monotonically_increasing_id())
+    records = assemble_records(lines, ordered=True).where(F.col("raw") != "\t".join(fields.names))
+    return split_fields(records, fields.names).select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in fields])
+
+
+def read_passages(spark: SparkSession, path: str, schema: str = PASSAGE) -> DataFrame:
+    """Passages of tab-separated files with a header: quoted fields may span lines, quotes are doubled.
+
+    Rows without text or with blank text are left out.  For the rows that
+    fail, with their reasons, see :func:`load_passages`.
+    """
+    return passages_of(read_lines(spark, path), schema).where(~blank("text"))
+
+
+def load_passages(spark: SparkSession, path: str, header: str | None = HEADER) -> DataFrame:
     """Every record of the files with its ``reason`` (null for a proper row), ``id``, ``text``, ``title``, or ``raw`` where it fails."""
     return parse_passages(read_records(spark, path, header), ["file", "block", "line_no"])
 

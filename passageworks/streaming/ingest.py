@@ -2,36 +2,78 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from passageworks.operators.chunking import chunk_prechunked
-from passageworks.sources.readers import read_passages, read_telemetry
+from passageworks.functions.text import blank, metadata_of, strip
+from passageworks.functions.vectors import invalid, norm
+from passageworks.operators.embed import Embedder, HashEmbedder, embed_table
+from passageworks.operators.index import build_ivf
+from passageworks.operators.ingest import ranked
+from passageworks.sources.readers import passages_of, read_lines, read_telemetry
+
 
+TRACE = (
+    "embedder_name string, n_passages long, n_chunks long, n_skipped long, skip_rate double, chars long, chunk_length struct<mean:double,min:double,max:double,p5:double,p95:double>, "
+    "embed_norm struct<mean:double,min:double,max:double,std:double,p5:double,p95:double>, embed_ms double, index_ms double, embed_throughput struct<chunks_per_sec:double>"
+)
 
-def ingest_passages(spark: SparkSession, source: str, target: str, files_per_trigger: int = 1) -> StreamingQuery:
-    """Chunks of new passage files go to ``target/chunks``, one trace row per micro-batch to ``target/batches``.
+
+def ingest_passages(spark: SparkSession, source: str, target: str, files_per_trigger: int = 1, embedder: Embedder | None = None, cells: DataFrame | None = None) -> StreamingQuery:
+    """Passages of new files go chunked, embedded and, where ``cells`` are given, with their ``cell_id`` to
+    ``target/chunks``; one trace row per micro-batch to ``target/batches``.
 
     Each micro-batch writes its own partition and overwrites it if it is run
-    again, so a restart neither loses nor repeats anything.
+    again, so a restart neither loses nor repeats anything.  Chunks that the
+    embedder skips are counted and left out.  All columns but the text go into
+    a chunk's metadata.
     """
-    passages = read_passages(spark, source, stream=True, files_per_trigger=files_per_trigger)
+    embedder = embedder or HashEmbedder()
+    lines = read_lines(spark, source, stream=True, files_per_trigger=files_per_trigger)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        chunks = chunk_prechunked(batch, "id", "text").withColumn("length", F.length("chunk_text"))
         at = f"batch_id={batch_id}"
-        chunks.write.mode("overwrite").parquet(f"{target}/chunks/{at}")
-        written = spark.read.schema(chunks.schema).parquet(f"{target}/chunks/{at}")
-        trace = written.agg(F.count("*").alias("n_chunks"), F.sum("length").alias("chars"), F.min("length").alias("least"), F.max("length").alias("most"))
-        trace.write.mode("overwrite").parquet(f"{target}/batches/{at}")
-
-    return passages.writeStream.foreachBatch(write).option("checkpointLocation", f"{target}/checkpoint").trigger(availableNow=True).start()
+        began = time.time()
+        passages = metadata_of(passages_of(batch), "text").where(~blank("text"))
+        own = passages.select(F.concat(F.lit("passage"), F.coalesce(F.col("metadata")["id"], F.lit(""))).alias("chunk_id"), strip("text").alias("text"), "metadata")
+        embedded = embed_table(own.withColumn("row", F.struct("chunk_id", "text", "metadata")), "row", "text", embedder)
+        embedded.select("row.*", "embedding").write.mode("overwrite").parquet(f"{target}/embedded/{at}")
+        embed_ms = (time.time() - began) * 1000
+        began = time.time()
+        rows = spark.read.parquet(f"{target}/embedded/{at}")
+        skipped = invalid("embedding", embedder.dimension)
+        kept = rows.where(~skipped)
+        (build_ivf(kept, cells, "chunk_id") if cells is not None else kept).write.mode("overwrite").parquet(f"{target}/chunks/{at}")
+        index_ms = (time.time() - began) * 1000
+        length, size = F.when(~skipped, norm("embedding")), F.length("text")
+        stats = lambda x, *more: F.struct(*[c.cast("double").alias(n) for n, c in {**ranked(x), **dict(more)}.items()])
+        n = F.count("*")
+        trace = rows.agg(
+            F.lit(embedder.name).alias("embedder_name"), n.alias("n_passages"), F.count_if(~skipped).alias("n_chunks"), F.count_if(skipped).alias("n_skipped"),
+            F.round(F.coalesce(F.count_if(skipped) / F.nullif(n, F.lit(0)), F.lit(0.0)), 6).alias("skip_rate"), F.coalesce(F.sum(F.when(~skipped, size)), F.lit(0)).alias("chars"),
+            stats(size).alias("chunk_length"), stats(length, ("std", F.coalesce(F.stddev_pop(length), F.lit(0.0)))).alias("embed_norm"),
+            F.lit(embed_ms).alias("embed_ms"), F.lit(index_ms).alias("index_ms"),
+            F.struct(F.coalesce(F.count_if(~skipped) / F.nullif(F.lit(embed_ms / 1000), F.lit(0.0)), F.lit(0.0)).alias("chunks_per_sec")).alias("embed_throughput"),
+        )
+        trace.coalesce(1).write.mode("overwrite").parquet(f"{target}/batches/{at}")
+
+    return lines.writeStream.foreachBatch(write).option("checkpointLocation", f"{target}/checkpoint").trigger(availableNow=True).start()
+
+
+def batch_traces(spark: SparkSession, target: str) -> DataFrame:
+    """The trace rows of all micro-batches that are committed, by ``batch_id``."""
+    return spark.read.schema(TRACE + ", batch_id long").parquet(f"{target}/batches")
 
 
 def resume_state(spark: SparkSession, target: str) -> DataFrame:
-    """Totals of what is committed: last batch, chunks, characters, shortest and longest chunk."""
-    return spark.read.parquet(f"{target}/batches").agg(F.max("batch_id").alias("last_batch"), F.sum("n_chunks").alias("n_chunks"), F.sum("chars").alias("chars"), F.min("least").alias("least"), F.max("most").alias("most"))
+    """Totals of what is committed: last batch, passages, chunks, skipped, characters, shortest and longest chunk, times."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    return batch_traces(spark, target).agg(
+        F.max("batch_id").alias("last_batch"), *map(total, ("n_passages", "n_chunks", "n_skipped", "chars")), F.min("chunk_length.min").cast("long").alias("least"), F.max("chunk_length.max").cast("long").alias("most"), *map(total, ("embed_ms", "index_ms"))
+    )
 
 
 def telemetry_windows(spark: SparkSession, source: str, target: str, minutes: int = 1) -> StreamingQuery:
