@@ -32,29 +32,13 @@ def assign_batches(df: DataFrame, order: list[Column], size: int) -> DataFrame:
     return number_rows(df, order).withColumn("batch_idx", F.floor(F.col("pos") / size).cast("int"))
 
 
-def ranked(value: Column) -> dict[str, Column]:
-    """mean, min, max, p5 and p95 (linear) of one micro-batch or batch, 0 where there is nothing."""
-    return dict(zip(("mean", "min", "max", "p5", "p95"), describe(value)))
-
-
-def describe(value: Column, digits: int | None = None) -> list[Column]:
-    """mean, min, max, p5 and p95 (linear), 0 where there is nothing."""
-    out = {"mean": F.avg(value), "min": F.min(value), "max": F.max(value), "p5": F.percentile(value, 0.05), "p95": F.percentile(value, 0.95)}
-    return [F.coalesce(F.round(c, digits) if digits is not None else c, F.lit(0.0)).alias(k) for k, c in out.items()]
-
-
-def batch_trace(chunks: DataFrame, batch: str, length: Column, norm: Column, skipped: Column, digits: int = 6) -> DataFrame:
-    """Per batch: chunks before the skip, skipped, kept, skip rate, lengths of all and norms of the kept ones."""
-    kept = F.when(~skipped, norm)
-    names = lambda prefix, columns: [c.alias(f"{prefix}_{n}") for c, n in zip(columns, ("mean", "min", "max", "p5", "p95"))]
+def skips(chunks: DataFrame, batch: str, skipped: Column, digits: int = 6) -> DataFrame:
+    """Per batch: chunks before the skip, skipped, kept, and the skip rate, 0 where there is nothing."""
     return chunks.groupBy(batch).agg(
         F.count("*").alias("n_before"),
         F.count_if(skipped).alias("n_skipped"),
         F.count_if(~skipped).alias("n_chunks"),
         F.round(F.coalesce(F.count_if(skipped) / F.nullif(F.count("*"), F.lit(0)), F.lit(0.0)), digits).alias("skip_rate"),
-        *names("length", describe(length, digits)),
-        *names("norm", describe(kept, digits)),
-        F.coalesce(F.round(F.stddev_pop(kept), digits), F.lit(0.0)).alias("norm_std"),
     )
 
 
@@ -62,3 +46,9 @@ def running_totals(batches: DataFrame, key: str, order: str, columns: list[str])
     """Cumulative sums over the batches of each build; one row per batch, so a window is small."""
     w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return batches.select(key, order, *[F.sum(c).over(w).alias(f"running_{c}") for c in columns])
+
+
+def running_lengths(batches: DataFrame, key: str, order: str, count: Column, mean: Column, least: Column, most: Column) -> DataFrame:
+    """Cumulative count, sum, least and greatest chunk length over the batches of each build."""
+    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return batches.select(key, order, F.sum(count).over(w).alias("running_count"), F.sum(mean * count).over(w).alias("running_sum"), F.min(least).over(w).alias("running_min"), F.max(most).over(w).alias("running_max"))

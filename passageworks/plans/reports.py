@@ -112,8 +112,15 @@ _NAMES = ("mean", "min", "max", "p5", "p95")
 
 @query(f"SELECT config_id, count(*) AS n, {_STATS('length(text)', 'length')} FROM chunks GROUP BY config_id")
 def batch_length_stats(spark, d):
-    stats = [c.cast("double").alias(f"length_{n}") for n, c in zip(_NAMES, ingest.describe(F.length("text"), 6))]
-    return read_table(spark, d, "chunks").groupBy("config_id").agg(F.count("*").alias("n"), *stats)
+    return _described(read_table(spark, d, "chunks").select("config_id", F.length("text").alias("length")), "config_id", "length", F.count("*"))
+
+
+def _described(rows, key, value, n, *more):
+    """Count and statistics of ``value`` by ``key``."""
+    stats = E.describe_by(rows, [key], value, 6)
+    counts = rows.groupBy(F.col(key).alias("__key")).agg(n.alias("n"), *more)
+    joined = counts.join(stats, F.col("__key").eqNullSafe(F.col(key)))
+    return joined.select(key, "n", *[F.col(c).alias(f"{value}_{c}") for c in _NAMES], *[c for c in counts.columns if c not in ("__key", "n")])
 
 
 _V = "v AS (SELECT (vec_id // 1000)::bigint AS batch_idx, NOT coalesce(len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0, false) AS skipped, CASE WHEN len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 THEN sqrt(list_dot_product(embedding::double[], embedding::double[])) END AS norm FROM chunk_vectors)"
@@ -126,13 +133,12 @@ def _embedded(spark, d):
 
 @query(f"WITH {_V} SELECT batch_idx, count(norm) AS n, {_STATS('norm', 'norm')}, round(coalesce(stddev_pop(norm), 0), 6) AS norm_std FROM v GROUP BY batch_idx")
 def batch_norm_stats(spark, d):
-    stats = [c.cast("double").alias(f"norm_{n}") for n, c in zip(_NAMES, ingest.describe(F.col("norm"), 6))]
-    return _embedded(spark, d).groupBy("batch_idx").agg(F.count("norm").alias("n"), *stats, F.round(F.coalesce(F.stddev_pop("norm"), F.lit(0.0)), 6).alias("norm_std"))
+    return _described(_embedded(spark, d), "batch_idx", "norm", F.count("norm"), F.round(F.coalesce(F.stddev_pop("norm"), F.lit(0.0)), 6).alias("norm_std"))
 
 
 @query(f"WITH {_V} SELECT batch_idx, count(*) AS n_before, count(*) FILTER (skipped) AS n_skipped, round(count(*) FILTER (skipped) / count(*)::double, 6) AS skip_rate FROM v GROUP BY batch_idx")
 def skip_rate(spark, d):
-    return ingest.batch_trace(_embedded(spark, d), "batch_idx", F.lit(0), F.col("norm"), F.col("skipped")).select("batch_idx", "n_before", "n_skipped", "skip_rate")
+    return ingest.skips(_embedded(spark, d), "batch_idx", F.col("skipped")).drop("n_chunks")
 
 
 _B = "b AS (SELECT * FROM batch_traces QUALIFY row_number() OVER (PARTITION BY build_id, batch_idx) = 1)"
@@ -148,6 +154,37 @@ def running_totals(spark, d):
     return ingest.running_totals(_batches(spark, d), "build_id", "batch_idx", list(_SUMS))
 
 
+@query(f"WITH {_B} SELECT build_id, batch_idx, (sum(n_chunks) OVER w)::bigint AS running_count, round(sum(chunk_length.mean * n_chunks) OVER w, 3) AS running_sum, min(chunk_length.min) OVER w AS running_min, max(chunk_length.max) OVER w AS running_max FROM b WINDOW w AS (PARTITION BY build_id ORDER BY batch_idx ROWS UNBOUNDED PRECEDING)")
+def running_lengths(spark, d):
+    rows = ingest.running_lengths(_batches(spark, d), "build_id", "batch_idx", F.col("n_chunks"), F.col("chunk_length.mean"), F.col("chunk_length.min"), F.col("chunk_length.max"))
+    return rows.withColumn("running_sum", F.round("running_sum", 3))
+
+
+_EMBED_S = "CASE WHEN embed_throughput.chunks_per_sec > 0 THEN n_chunks / embed_throughput.chunks_per_sec END"
+
+
+@query(f"WITH {_B} SELECT build_id, batch_idx, round(({_EMBED_S}) * 1000, 3) AS embed_ms, round(embed_throughput.chunks_per_sec, 6) AS batch_rate, round(sum(n_chunks) OVER w / sum({_EMBED_S}) OVER w, 6) AS build_rate, round(sum({_EMBED_S}) OVER w * 1000, 1) AS build_embed_ms FROM b WINDOW w AS (PARTITION BY build_id)")
+def build_throughput(spark, d):
+    """Chunks a second and milliseconds of embedding, of each batch and of its whole build."""
+    rate = F.col("embed_throughput.chunks_per_sec")
+    rows = _batches(spark, d).withColumn("s", F.when(rate > 0, F.col("n_chunks") / rate))
+    totals = rows.groupBy("build_id").agg(F.round(F.sum("n_chunks") / F.sum("s"), 6).alias("build_rate"), F.round(F.sum("s") * 1000, 1).alias("build_embed_ms"))
+    return rows.select("build_id", "batch_idx", F.round(F.col("s") * 1000, 3).alias("embed_ms"), F.round(rate, 6).alias("batch_rate")).join(totals, "build_id")
+
+
+@query(f"""WITH {_B} SELECT build_id, n_passages, n_chunks, n_skipped, batch_idx, batch_chunks, batch_length FROM (
+    SELECT build_id, sum(n_passages) OVER w::bigint AS n_passages, sum(n_chunks) OVER w::bigint AS n_chunks, sum(n_skipped) OVER w::bigint AS n_skipped, batch_idx, n_chunks AS batch_chunks, chunk_length.mean AS batch_length FROM b WINDOW w AS (PARTITION BY build_id))""")
+def build_trace_json(spark, d):
+    """Build traces with their batches inside, written as JSON and read again."""
+    path = folder(spark, "builds")
+    batch = F.struct("batch_idx", "n_passages", "n_chunks", "n_skipped", "skip_rate", "embed_throughput", "chunk_length", "embed_norm")
+    # the batches of one build are one document, as many as it has micro-batches
+    builds = _batches(spark, d).groupBy("build_id").agg(*[F.sum(c).alias(c) for c in _SUMS], F.array_sort(F.collect_list(batch)).alias("batches"))
+    readers.write_report(builds, path)
+    again = spark.read.schema(builds.schema).json(path)
+    return again.select("build_id", *_SUMS, F.explode("batches").alias("b")).select("build_id", *_SUMS, "b.batch_idx", F.col("b.n_chunks").alias("batch_chunks"), F.col("b.chunk_length.mean").alias("batch_length"))
+
+
 @query(f"""WITH {_B} SELECT build_id, count(*) AS n_batches, sum(n_passages)::bigint AS n_passages, sum(n_chunks)::bigint AS n_chunks, sum(n_skipped)::bigint AS n_skipped,
     round(coalesce(sum(chunk_length.mean * (n_chunks + n_skipped)) / nullif(sum(n_chunks + n_skipped), 0), 0), 1) AS length_mean, min(chunk_length.min) AS length_min, max(chunk_length.max) AS length_max, count(*) FILTER (is_training_batch) AS n_training FROM b GROUP BY build_id""")
 def build_trace(spark, d):

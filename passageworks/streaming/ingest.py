@@ -11,8 +11,9 @@ from pyspark.sql.streaming import StreamingQuery
 from passageworks.functions.text import blank, metadata_of, strip
 from passageworks.functions.vectors import invalid, norm
 from passageworks.operators.embed import Embedder, HashEmbedder, embed_table
+from passageworks.operators.evaluate import describe_by
 from passageworks.operators.index import build_ivf
-from passageworks.operators.ingest import ranked
+from passageworks.operators.ingest import skips
 from passageworks.sources.readers import passages_of, read_lines, read_telemetry
 
 
@@ -48,15 +49,16 @@ def ingest_passages(spark: SparkSession, source: str, target: str, files_per_tri
         kept = rows.where(~skipped)
         (build_ivf(kept, cells, "chunk_id") if cells is not None else kept).write.mode("overwrite").parquet(f"{target}/chunks/{at}")
         index_ms = (time.time() - began) * 1000
-        length, size = F.when(~skipped, norm("embedding")), F.length("text")
-        stats = lambda x, *more: F.struct(*[c.cast("double").alias(n) for n, c in {**ranked(x), **dict(more)}.items()])
-        n = F.count("*")
-        trace = rows.agg(
-            F.lit(embedder.name).alias("embedder_name"), n.alias("n_passages"), F.count_if(~skipped).alias("n_chunks"), F.count_if(skipped).alias("n_skipped"),
-            F.round(F.coalesce(F.count_if(skipped) / F.nullif(n, F.lit(0)), F.lit(0.0)), 6).alias("skip_rate"), F.coalesce(F.sum(F.when(~skipped, size)), F.lit(0)).alias("chars"),
-            stats(size).alias("chunk_length"), stats(length, ("std", F.coalesce(F.stddev_pop(length), F.lit(0.0)))).alias("embed_norm"),
-            F.lit(embed_ms).alias("embed_ms"), F.lit(index_ms).alias("index_ms"),
-            F.struct(F.coalesce(F.count_if(~skipped) / F.nullif(F.lit(embed_ms / 1000), F.lit(0.0)), F.lit(0.0)).alias("chunks_per_sec")).alias("embed_throughput"),
+        measured = rows.select(F.lit(1).alias("all"), F.length("text").alias("length"), F.when(~skipped, norm("embedding")).alias("norm"), skipped.alias("skipped"))
+        described = lambda c: describe_by(measured, ["all"], c)
+        stats = lambda name, *more: F.struct(*[F.col(f"{name}.{c}").alias(c) for c in ("mean", "min", "max")], *more, *[F.col(f"{name}.{c}").alias(c) for c in ("p5", "p95")])
+        counts = measured.groupBy("all").agg(F.count("*").alias("n_passages"), F.sum(F.when(~F.col("skipped"), F.col("length"))).alias("chars"), F.stddev_pop("norm").alias("std"))
+        joined = skips(measured, "all", F.col("skipped")).join(counts, "all").join(described("length").alias("l"), "all").join(described("norm").alias("n"), "all")  # one row each
+        seconds = F.nullif(F.lit(embed_ms / 1000), F.lit(0.0))
+        trace = joined.select(
+            F.lit(embedder.name).alias("embedder_name"), "n_passages", "n_chunks", "n_skipped", "skip_rate", F.coalesce("chars", F.lit(0)).alias("chars"),
+            stats("l").alias("chunk_length"), stats("n", F.coalesce("std", F.lit(0.0)).alias("std")).alias("embed_norm"), F.lit(embed_ms).alias("embed_ms"), F.lit(index_ms).alias("index_ms"),
+            F.struct(F.coalesce(F.col("n_chunks") / seconds, F.lit(0.0)).alias("chunks_per_sec")).alias("embed_throughput"),
         )
         trace.coalesce(1).write.mode("overwrite").parquet(f"{target}/batches/{at}")
 
