@@ -146,7 +146,7 @@ def bertscore_texts(df: DataFrame, keys: list[str], prediction: str, gold: str,
 
     def unit(text: str | None) -> np.ndarray:
         vectors = [v for v in embedder.embed((text or "").split()) if v is not None]
-        x = np.array(vectors, float).reshape(len(vectors), -1)
+        x = np.array(vectors, float)
         return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12) if len(x) else x
 
     def f(a: str | None, b: str | None) -> float:

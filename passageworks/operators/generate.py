@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import time
+import urllib.error
+import urllib.parse
 import urllib.request
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -12,25 +14,39 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Seconds between tries.
+#: Seconds between tries, how long to wait for the server to answer at all, and the settings of a request.
 WAITS = (5, 15, 30, 60, 120)
+SERVER_WAIT = 30
+URL, MODEL, TEMPERATURE, NUM_PREDICT, KEEP_ALIVE = "http://localhost:11434/api/chat", "llama3.2", 0.0, 512, "60m"
 
 
 def extract_answer(texts: Column | str) -> Column:
     """The first sentence of the first text; empty if there is none."""
     first = F.coalesce(F.try_element_at(F.col(texts) if isinstance(texts, str) else texts, F.lit(1)), F.lit(""))
-    return F.regexp_extract(first, r"^(.*?[.!?])(\s|\z)|^(.*)\z", 0)
+    return F.regexp_extract(first, r"(?s)^(.*?[.!?])(\s|\z)|^(.*)\z", 0)
+
+
+def _answers(url: str) -> bool:
+    """Whether anything answers at the host of ``url``."""
+    parts = urllib.parse.urlsplit(url)
+    try:
+        with urllib.request.urlopen(f"{parts.scheme}://{parts.netloc}/", timeout=1):
+            return True
+    except urllib.error.HTTPError:
+        return True
+    except OSError:
+        return False
 
 
 @dataclass
 class ModelServer:
     """A streaming chat server; ``send`` may be replaced in tests."""
 
-    url: str = "http://localhost:11434/api/chat"
-    model: str = "llama3.2"
-    temperature: float = 0.0
-    num_predict: int = 512
-    keep_alive: str = "60m"
+    url: str = URL
+    model: str = MODEL
+    temperature: float = TEMPERATURE
+    num_predict: int = NUM_PREDICT
+    keep_alive: str = KEEP_ALIVE
     tries: int = 5
     send: Callable[[str, dict], Iterator[dict]] | None = None
     sleep: Callable[[float], None] = time.sleep
@@ -41,6 +57,15 @@ class ModelServer:
         request = urllib.request.Request(self.url, json.dumps(body).encode(), {"Content-Type": "application/json"})
         return map(json.loads, urllib.request.urlopen(request, timeout=600))
 
+    def wait(self, ping: Callable[[str], bool] | None = None) -> bool:
+        """Asks once a second whether the server answers, for ``SERVER_WAIT`` seconds."""
+        ask = ping or _answers
+        for _ in range(SERVER_WAIT):
+            if ask(self.url):
+                return True
+            self.sleep(1)
+        return False
+
     def generate(self, prompt: str) -> dict:
         """answer, prompt_tokens, completion_tokens, tokens_per_sec and ttft_ms; fails after the last try."""
         body = {"model": self.model, "messages": [{"role": "user", "content": prompt}], "stream": True, "keep_alive": self.keep_alive, "options": {"temperature": self.temperature, "num_predict": self.num_predict}}

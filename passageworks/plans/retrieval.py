@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 from passageworks.functions import text as T
 from passageworks.functions import vectors as V
 from passageworks.operators import evaluate as E
-from passageworks.operators import generate, index, rerank, retrieval
+from passageworks.operators import generate, index, report, rerank, retrieval
 from passageworks.plans.corpus import folder, sql_bare, sql_normalise, sql_strip
 from passageworks.operators.store import VectorStore, open_pointer, save_pointer
 from passageworks.session import cut_lineage, read_table
+from passageworks.sources.readers import write_report
 
 QUERIES, ORACLE = {}, {}
 TOP, CUT = 30, 10
@@ -465,16 +466,23 @@ def rouge_l(spark, d):
     return T.rouge_l_scores(_labelled(spark, d).where("gold IS NOT NULL"), ["trace_id"], "answer", "gold")
 
 
-@query()
+@query(f"""
+    WITH RECURSIVE {_T.strip().removeprefix('WITH')},
+    p AS (SELECT trace_id, regexp_extract_all(lower(coalesce(answer, '')), '[a-z0-9]+') AS a, regexp_extract_all(lower(gold), '[a-z0-9]+') AS b FROM l WHERE gold IS NOT NULL),
+    r AS (SELECT trace_id, 0 AS i, a, b, list_transform(b, lambda x: 0) AS best FROM p
+        UNION ALL SELECT trace_id, i + 1, a, b, list_transform(generate_series(1, len(b)), lambda j: list_max(list_transform(generate_series(1, j), lambda k: greatest(best[k], CASE WHEN b[k] = a[i + 1] THEN 1 + CASE WHEN k > 1 THEN best[k - 1] ELSE 0 END ELSE 0 END))))::int[] FROM r WHERE i < len(a))
+    SELECT trace_id, CASE WHEN len(a) > 0 AND len(b) > 0 THEN 2 * coalesce(list_max(best), 0)::double / (len(a) + len(b)) ELSE 0 END AS rouge_l FROM r WHERE i = len(a)""")
 def rouge_l_nostem(spark, d):
     return T.rouge_l_scores(_labelled(spark, d).where("gold IS NOT NULL"), ["trace_id"], "answer", "gold", stem=False)
 
 
-@query(f"{_T} SELECT trace_id, round(CASE WHEN len(retrieved) > 0 AND len(reranked) >= 0 THEN len(list_filter(list_transform(retrieved, lambda x: x.chunk_id)[1:10], lambda c: list_contains(list_transform(coalesce(reranked, []), lambda x: x.chunk_id), c))) / 10.0::double ELSE 0 END, 9) AS precision FROM t")
+@query(f"""{_T}, i AS (SELECT trace_id, list_transform(coalesce(retrieved, []), lambda x: x.chunk_id) AS r, list_transform(coalesce(reranked, []), lambda x: x.chunk_id) AS w FROM t),
+    h AS (SELECT *, len(list_filter(r[1:{CUT}], lambda c: list_contains(w, c))) AS hits, list_filter(list_transform(r, lambda c, i: CASE WHEN list_contains(w, c) THEN i END), lambda i: i IS NOT NULL) AS places FROM i)
+    SELECT trace_id, round(CASE WHEN len(r) > 0 THEN hits / {CUT}.0::double ELSE 0 END, 9) AS precision, round(coalesce(hits / nullif(len(w), 0)::double, 0), 9) AS recall, (hits > 0)::int::double AS hit, round(CASE WHEN len(places) > 0 THEN 1.0::double / places[1] ELSE 0 END, 9) AS rr FROM h""")
 def id_metrics(spark, d):
     none = F.array().cast("array<string>")
     m = E.id_metrics(F.coalesce(F.col("retrieved")["chunk_id"], none), F.coalesce(F.col("reranked")["chunk_id"], none), CUT)
-    return _traces(spark, d).select("trace_id", F.round(m["precision"], 9).alias("precision"))
+    return _traces(spark, d).select("trace_id", *[F.round(m[n], 9).alias(n) for n in ("precision", "recall", "hit", "rr")])
 
 
 @query(f"{_T} SELECT count(*) AS n_traces, count(gold) AS n_gold, count(*) FILTER (len(answers) > 0) AS n_answers, round(avg(CASE WHEN len(answers) > 0 THEN (len(retrieved) > 0)::int::double END), 9) AS answered FROM l")
@@ -490,12 +498,22 @@ def stage_meta(spark, d):
     return _traces(spark, d).select("trace_id", size("retrieved").alias("retrieved_k"), size("reranked").alias("context_chunks"), F.length("answer").alias("answer_chars"))
 
 
-@query()
+@query(f"{_T} SELECT trace_id, query, answer, coalesce(len(retrieved), 0)::int AS n_retrieved, retrieved[1].chunk_id AS first_chunk, reranked[1].score AS first_score, latency_ms['retrieve'] AS retrieve_ms, wall_time['pipeline_start']::varchar AS started FROM t")
 def trace_struct(spark, d):
-    return _traces(spark, d).select("trace_id", F.to_json(F.struct("query", "retrieved", "reranked", "answer", "latency_ms", "wall_time")).alias("json"))
-
-
-@query()
+    """Traces as nested JSON, of which fields are read again."""
+    rows = _traces(spark, d)
+    nested = F.struct("query", "retrieved", "reranked", "answer", "latency_ms", "wall_time")
+    # NaN has no number in JSON, so that it is written and read as text
+    json = rows.select("trace_id", F.to_json(nested, {"ignoreNullFields": "false"}).alias("json"))
+    again = F.from_json("json", rows.select(nested.alias("x")).schema["x"].dataType.simpleString(), {"allowNonNumericNumbers": "true"}).alias("x")
+    hit = lambda c: F.try_element_at(F.col(c), F.lit(1))
+    return json.select("trace_id", again).select("trace_id", "x.*").select(
+        "trace_id", "query", "answer", F.coalesce(F.when(F.col("retrieved").isNotNull(), F.size("retrieved")), F.lit(0)).alias("n_retrieved"), hit("retrieved")["chunk_id"].alias("first_chunk"), hit("reranked")["score"].alias("first_score"),
+        F.try_element_at("latency_ms", F.lit("retrieve")).alias("retrieve_ms"), F.try_element_at("wall_time", F.lit("pipeline_start")).cast("string").alias("started"),
+    )
+
+
+@query(f"{_T} SELECT trace_id, regexp_extract(coalesce(retrieved[1].text, ''), '^(.*?[.!?])(\\s|\\z)|^(.*)\\z', 0, 's') AS answer FROM t")
 def extracted_answers(spark, d):
     """The extractive stand-in for a generator."""
     return _traces(spark, d).select("trace_id", generate.extract_answer(F.col("retrieved")["text"]).alias("answer"))
@@ -510,3 +528,57 @@ def pipeline_run(spark, d):
     chunks = chunk_prechunked(read_table(spark, d, "passages").dropDuplicates(["id"]), "id", "text").select(F.col("id").cast("long").alias("vec_id"), "chunk_id", F.col("chunk_text").alias("text"))
     store = chunks.join(hash_vectors(chunks, "vec_id", "text"), "vec_id")
     return QuestionPipeline(store).run(read_table(spark, d, "qa_samples")).select("sample_id", F.size("retrieved").alias("n_retrieved"), F.size("reranked").alias("n_reranked"), "prompt", "answer")
+
+
+@query("SELECT sample_id, 64 AS embedding_dim, 30 AS requested_k, 4::bigint AS n_stages, 3::bigint AS n_clocks, true AS in_order FROM qa_samples")
+def pipeline_traced(spark, d):
+    """The same with latencies, wall times and stage metadata."""
+    from passageworks.operators.chunking import chunk_prechunked
+    from passageworks.operators.pipeline import QuestionPipeline, hash_vectors
+
+    chunks = chunk_prechunked(read_table(spark, d, "passages").dropDuplicates(["id"]), "id", "text").select(F.col("id").cast("long").alias("vec_id"), "chunk_id", F.col("chunk_text").alias("text"))
+    store = chunks.join(hash_vectors(chunks, "vec_id", "text"), "vec_id")
+    runs = QuestionPipeline(store).run_traced(read_table(spark, d, "qa_samples"))
+    clock = lambda name: F.col("wall_time")[name]
+    in_order = (clock("pipeline_start") <= clock("generate_start")) & (clock("generate_start") <= clock("pipeline_end"))
+    return runs.select("sample_id", "meta.embedding_dim", "meta.requested_k", F.size("latency_ms").cast("long").alias("n_stages"), F.size("wall_time").cast("long").alias("n_clocks"), in_order.alias("in_order"))
+
+
+# -------------------------------------------------------------------- report
+
+_STAGE_MS = lambda stage: f"CASE WHEN latency_ms['{stage}'] IS NULL OR isnan(latency_ms['{stage}']) THEN 0 ELSE latency_ms['{stage}'] END"
+_SPACED = lambda x: f"len(list_filter(string_split({x}, ' '), lambda w: w <> ''))"
+_REPORTED = {f"{s}_{n}": (stage, f) for s, stage in zip(report.STAGES, ("embedding", "retrieval", "reranking", "generation")) for n, f in (("mean", "avg_latency_ms"), ("p95", "p95_latency_ms"), ("qps", "qps"))}
+_REPORTED |= {n: ("retrieval", "mrr" if n == "rr" else n) for n in report.RETRIEVAL} | {n: ("reranking", n) for n in (*report.RERANK, "mrr_delta", "ndcg_delta", "precision_delta")}
+_REPORTED |= {"exact_match": ("generation", "exact_match"), "prompt_tokens": ("generation", "avg_prompt_tokens"), "completion_tokens": ("generation", "avg_completion_tokens"), "ttft": ("generation", "avg_ttft_ms")}
+_GAIN = lambda x, k: f"list_sum(list_transform({x}[1:{k}], lambda x, i: x::int::double / log2(i + 1)))"
+
+
+@query(f"""{_BEFORE_AFTER},
+    ms AS (SELECT pipeline, trace_id, {', '.join(f'{_STAGE_MS(s)} AS {s}' for s in report.STAGES)} FROM t),
+    speed AS (SELECT pipeline, {', '.join(f'round(avg({s}), 6) AS {s}_mean, list_sort(list({s}))[least(floor(count(*) * 0.95::double), count(*) - 1)::int + 1] AS {s}_p95, round(coalesce(count(*) / nullif(sum({s}) / 1000, 0), 0), 6) AS {s}_qps' for s in report.STAGES)} FROM ms GROUP BY pipeline),
+    q AS (SELECT pipeline, {', '.join(f'round(avg({n}), 6) AS {n}' for n in report.RERANK)} FROM s GROUP BY pipeline),
+    f AS (SELECT pipeline, len(list_filter(b[1:{CUT}], lambda x: x)) AS n10, len(list_filter(b, lambda x: x)) AS n, b, list_reverse_sort(b) AS ib FROM b),
+    found AS (SELECT pipeline, round(avg(n10 / {CUT}.0::double), 6) AS precision, round(avg(least(n10 / greatest(n, 1)::double, 1)), 6) AS recall, round(avg(CASE WHEN n > 0 THEN 1.0::double / list_position(b, true) ELSE 0 END), 6) AS rr, round(avg((n10 > 0)::int::double), 6) AS hit,
+        round(avg(coalesce({_GAIN('b', CUT)} / nullif({_GAIN('ib', CUT)}, 0), 0)), 6) AS ndcg FROM f GROUP BY pipeline),
+    c AS (SELECT pipeline, count(*) AS n_samples, count(gold) AS n_labelled, max(len(retrieved))::int AS top_k, replace(min(wall_time['pipeline_start'])::varchar, ' ', 'T') AS started, round(avg(({sql_bare('answer')} = {sql_bare('gold')})::int::double), 6) AS exact_match,
+        round(avg({_SPACED('query')}), 6) AS prompt_tokens, round(avg({_SPACED('answer')}), 6) AS completion_tokens, NULL::double AS ttft FROM l GROUP BY pipeline)
+    SELECT pipeline, n_samples, n_labelled, top_k, started, {', '.join(n if not n.endswith('_delta') else f"round({n.replace('delta', 'after')} - {n.replace('delta', 'before')}, 6) AS {n}" for n in _REPORTED)}
+    FROM c JOIN speed USING (pipeline) JOIN q USING (pipeline) JOIN found USING (pipeline) WHERE pipeline IS NOT NULL""")
+def evaluation_report(spark, d):
+    """The whole report of every pipeline, written as nested JSON and read again."""
+    tokens = lambda c: F.size(F.filter(F.split(c, " "), lambda w: w != ""))
+    counted = lambda c: F.when(F.col(c).isNotNull(), tokens(c))
+    rows = _labelled(spark, d).withColumns({"prompt_tokens": counted("query"), "completion_tokens": counted("answer")})
+    found = report.evaluate(rows.where("pipeline IS NOT NULL"), CUT, "qa_samples")
+    path = folder(spark, "report")
+    write_report(found, path)
+    again = spark.read.schema(found.schema).json(path)
+    figures = [F.col("stages")[stage][f].alias(n) for n, (stage, f) in _REPORTED.items()]
+    return again.select("pipeline", "n_samples", "n_labelled", F.col("config.retriever_top_k").alias("top_k"), F.col("pipeline_start").alias("started"), *figures)
+
+
+@query()
+def report_summary(spark, d):
+    """The report as lines of text, ROUGE-L and BERTScore among them."""
+    return report.summary(report.evaluate(_labelled(spark, d), CUT, "qa_samples"))
