@@ -21,8 +21,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from passageworks.session import rewritten, small_side
+from passageworks.session import BROADCAST_ROWS, rewritten
 
+#: Parts of a group whose intervals are joined, not broadcast.
+HOT_PARTS = 32
 #: Parts into which one pass divides an open interval.
 FANOUT = 256
 #: Cells of a summary per doubling of a value, as a power of two: values in a cell differ by less than one part in 64.
@@ -68,8 +70,14 @@ def _resolve(rows: DataFrame, keys: list[str], targets: DataFrame, fanout: int)
         closed, targets = targets.where("lo >= hi"), targets.where("lo < hi")
         # ranks that still share an interval share its counts
         spans = targets.select(*keys, F.col("lo").alias("__lo"), F.col("hi").alias("__hi"), F.col("below").alias("__below")).distinct()
-        r, s = rows.alias("r"), small_side(spans, count).alias("s")
-        inside = r.join(s, _same("r", "s", keys) & (F.col("r.lo") >= F.col("s.__lo")) & (F.col("r.hi") <= F.col("s.__hi")))
+        if count <= BROADCAST_ROWS:
+            r, s, parts = rows.alias("r"), F.broadcast(spans).alias("s"), F.lit(True)
+        else:
+            # too many to broadcast: rows meet them by group and a part of the group, so that no hot group is one task's
+            r = rows.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(HOT_PARTS))).alias("r")
+            s = spans.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(HOT_PARTS - 1).cast("long")))).alias("s")
+            parts = F.col("r.__salt") == F.col("s.__salt")
+        inside = r.join(s, _same("r", "s", keys) & parts & (F.col("r.lo") >= F.col("s.__lo")) & (F.col("r.hi") <= F.col("s.__hi")))
         counts = (
             inside.select(*[F.col(f"r.{k}").alias(k) for k in keys], "__lo", "__hi", "__below", F.col("r.lo").alias("lo"), F.col("r.hi").alias("hi"), "n")
             .withColumn("__part", _part(F.col("lo"), F.col("__lo"), F.col("__hi"), fanout))
@@ -97,7 +105,9 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str | Column, perce
 
     Each pass is one scan with partial counts before its shuffle: at most
     ``fanout`` rows per open interval and task move, however large a group is.
-    The intervals are broadcast only while there are few; else they are joined.
+    The intervals are broadcast while they are at most ``BROADCAST_ROWS``;
+    beyond that every pass shuffles the values, each group in ``HOT_PARTS``
+    parts.  Passes run while the query is built.
     """
     number = _value(value if isinstance(value, Column) else F.col(value))
     own = [F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]

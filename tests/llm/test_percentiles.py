@@ -43,6 +43,14 @@ def test_exact(spark, fanout):
             assert x is None if not own else x == pytest.approx(float(np.percentile(own, q * 100)), rel=1e-12), (g, q)
 
 
+def test_intervals_that_are_joined_give_the_same(spark, monkeypatch):
+    groups = {k: GROUPS[k] for k in ("ties", "signs", "wide", "dirty", None)}
+    key = lambda r: repr(r["g"])
+    broadcast = sorted(P.exact_percentiles(table(spark, groups), ["g"], "v", Q).collect(), key=key)
+    monkeypatch.setattr(P, "BROADCAST_ROWS", 0)
+    assert sorted(P.exact_percentiles(table(spark, groups), ["g"], "v", Q).collect(), key=key) == broadcast
+
+
 def test_infinities_and_no_keys(spark):
     rows = table(spark, {"a": [-math.inf, -math.inf, 1.0, math.inf], "b": [math.inf] * 3})
     got = {r["g"]: r for r in P.exact_percentiles(rows, ["g"], "v", [0.0, 0.5, 1.0]).collect()}
