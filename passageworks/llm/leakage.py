@@ -12,10 +12,14 @@ and only where a whole run of ``n`` known words stands are windows built.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
+import pandas as pd
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -85,6 +89,45 @@ def _blocks(items: DataFrame, item_key: str, item_text: str, limit: int) -> list
     return [rows.where(F.pmod(F.xxhash64("__item"), F.lit(count)) == i) for i in range(count)] if count > 1 else [rows]
 
 
+@lru_cache(maxsize=2)
+def _index(name: str, shared: Broadcast, n: int) -> LeakIndex:
+    """The index of a broadcast block, built once per worker process."""
+    return LeakIndex(shared.value, n)
+
+
+class _Shared:
+    """A broadcast that is equal to itself alone, so that a cache may be keyed by it."""
+
+    def __init__(self, broadcast: Broadcast, n: int):
+        self.name, self.broadcast, self.n = uuid.uuid4().hex, broadcast, n
+
+    def index(self) -> LeakIndex:
+        return _index(self.name, _Keyless(self.broadcast), self.n)
+
+
+class _Keyless:
+    """Takes no part in the key of a cache."""
+
+    def __init__(self, broadcast: Broadcast):
+        self.broadcast = broadcast
+
+    @property
+    def value(self):
+        return self.broadcast.value
+
+    def __hash__(self) -> int:
+        return 0
+
+    def __eq__(self, other: object) -> bool:
+        return isinstance(other, _Keyless)
+
+
+def _shared_blocks(docs: DataFrame, items: DataFrame, item_key: str, item_text: str, n: int, block_words: int) -> Iterator[_Shared]:
+    for block in _blocks(items, item_key, item_text, block_words):
+        pairs = [(r[0], r[1]) for r in block.collect()]  # bounded by block_words
+        yield _Shared(docs.sparkSession.sparkContext.broadcast(pairs), n)
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", n: int = WINDOW_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
     """One row for each row of ``docs`` and test item that share at least ``n`` consecutive words:
     the two keys, ``words`` (the length of the longest stretch shared) and ``spans`` (start and
@@ -103,12 +146,10 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     rows = docs.select(F.col(key), F.col(text).cast("string").alias("__text")).where(F.length("__text") >= 2 * n - 1)
     item_kind = to_arrow_type(items.schema[item_key].dataType)
     found = None
-    for block in _blocks(items, item_key, item_text, block_words):
-        pairs = [(r[0], r[1]) for r in block.collect()]  # bounded by block_words
-        shared = docs.sparkSession.sparkContext.broadcast(pairs)
+    for shared in _shared_blocks(docs, items, item_key, item_text, n, block_words):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = LeakIndex(shared.value, n)
+            index = shared.index()
             for batch in batches:
                 at, leaked, longest, spans = [], [], [], []
                 for i, value in enumerate(batch.column(1).to_pylist()):
@@ -126,31 +167,50 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     return found
 
 
-def remove_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", whole_documents: bool = False, **options) -> DataFrame:
+def remove_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", whole_documents: bool = False, item_key: str = "item_id", item_text: str = "text", n: int = WINDOW_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
     """``docs`` without what leaked: leaked spans become one space each, or leaked documents go.
 
-    Only the few hits are shuffled or broadcast, after their number is known
-    to Spark; documents without a hit pass unchanged, null keys included.
+    Every row is cut by its own spans in the pass that finds them, so that
+    nothing is joined or shuffled and rows with a repeated or null key are kept
+    apart; rows without a leak pass unchanged.  More blocks of items add a pass
+    each, in which their spans are noted; the last one cuts.
     """
-    hits = find_leaks(docs, items, key, text, **options)
+    at = docs.columns.index(text)
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    noted = T.StructField("__spans", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])))
+    out = docs.withColumn("__spans", F.array().cast(noted.dataType))
+    for shared in _shared_blocks(docs, items, item_key, item_text, n, block_words):
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            index = shared.index()
+            for batch in batches:
+                own = [index.find(x) if x else {} for x in batch.column(at).to_pylist()]
+                if not any(own):
+                    yield batch
+                    continue
+                spans = [old + [{"start": a, "end": b} for places in found.values() for a, b, _ in places] for old, found in zip(batch.column(batch.num_columns - 1).to_pylist(), own)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(spans, kind)], batch.schema.names)
+
+        out = out.mapInArrow(run, T.StructType([*docs.schema.fields, noted]))
     if whole_documents:
-        gone = hits.select(F.col(key).alias("__key")).distinct()
-        return docs.join(gone, docs[key] == F.col("__key"), "left_anti")
-    spans = hits.groupBy(F.col(key).alias("__key")).agg(F.sort_array(F.flatten(F.collect_list("spans"))).alias("__spans"))
+        return out.where(F.size("__spans") == 0).select(*docs.columns)
 
     @F.pandas_udf(T.StringType())
-    def without(texts, starts, ends):
-        def cut(value, a, b):
-            out, at = [], 0
-            for start, end in zip(a, b):
-                if start >= at:
-                    out.append(value[at:start])
-                at = max(at, end)
-            return " ".join([*out, value[at:]])
-
-        return texts.__class__([cut(*x) for x in zip(texts, starts, ends)])
-
-    joined = docs.join(spans, docs[key] == F.col("__key"), "left")
-    hit = F.col("__key").isNotNull()
-    clean = joined.where(hit).withColumn(text, without(F.col(text), F.col("__spans.start"), F.col("__spans.end"))).unionByName(joined.where(~hit))
-    return clean.select(*docs.columns)
+    def without(texts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
+        return pd.Series([_cut(*x) for x in zip(texts, starts, ends)])
+
+    # the expression of a row without spans is its text; the cut of the others is found once
+    spans = F.sort_array("__spans")
+    cut = without(F.when(F.size("__spans") > 0, F.col(text)), F.when(F.size("__spans") > 0, spans["start"]), F.when(F.size("__spans") > 0, spans["end"]))
+    return out.withColumn("__cut", cut).withColumn(text, F.when(F.size("__spans") > 0, F.col("__cut")).otherwise(F.col(text))).select(*docs.columns)
+
+
+def _cut(value: str | None, starts: Iterable[int] | None, ends: Iterable[int] | None) -> str | None:
+    if value is None or starts is None:
+        return None
+    out, at = [], 0
+    for start, end in zip(starts, ends):
+        if start >= at:
+            out.append(value[at:start])
+        at = max(at, end)
+    return " ".join([*out, value[at:]])
