@@ -81,7 +81,10 @@ def split_spans(text: str, size: int, overlap: int) -> list[tuple[int, int, str]
     """(start, end, level of the cut) of the pieces of ``text``; spans overlap by exactly ``overlap``.
 
     A text of at most ``size`` code points is one span; joining the spans
-    without their overlaps gives the text again.
+    without their overlaps gives the text again.  The exact overlap wins over
+    whole characters: a piece ends between a letter and its mark only where no
+    whole character fits, but begins ``overlap`` code points before that end,
+    wherever this falls.
     """
     if size <= 0 or not 0 <= overlap < size:
         raise ValueError(f"chunk_size {size} and chunk_overlap {overlap}: need size > overlap >= 0")

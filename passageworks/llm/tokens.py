@@ -19,12 +19,15 @@ Two kinds of certain cuts are used:
 from __future__ import annotations
 
 import base64
+import hashlib
 import re
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import accumulate, pairwise
 
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -122,6 +125,25 @@ class ForcedBoundaryEncoder:
         return array("i", self.packed(text)).tolist()
 
 
+@lru_cache(maxsize=2)
+def _encoder(path: str, size: int, pattern: str, vocabulary: _Vocabulary) -> ForcedBoundaryEncoder:
+    """An encoder, made once per worker process for each vocabulary and pattern."""
+    return ForcedBoundaryEncoder(vocabulary.shared.value, pattern)
+
+
+class _Vocabulary:
+    """The broadcast bytes, which take no part in the key of the cache."""
+
+    def __init__(self, shared: Broadcast):
+        self.shared = shared
+
+    def __hash__(self) -> int:
+        return 0
+
+    def __eq__(self, other: object) -> bool:
+        return isinstance(other, _Vocabulary)
+
+
 def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str | None = None, pattern: str | None = None) -> DataFrame:
     """``key`` and ``ids array<int>`` of every row of ``df``, without special tokens.
 
@@ -139,13 +161,13 @@ def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", vocabu
         raw = file.read(MAX_VOCABULARY_BYTES + 1)
     if len(raw) > MAX_VOCABULARY_BYTES:
         raise ValueError(f"the vocabulary {path} is larger than {MAX_VOCABULARY_BYTES} bytes")
-    shared = df.sparkSession.sparkContext.broadcast(raw)
+    shared, name, size = _Vocabulary(df.sparkSession.sparkContext.broadcast(raw)), hashlib.sha256(raw).hexdigest(), len(raw)
     splitting = pattern or split_pattern()
     kind = df.schema[key].dataType
     schema = T.StructType([T.StructField(key, kind), T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ForcedBoundaryEncoder(shared.value, splitting)
+        encoder = _encoder(name, size, splitting, shared)
         for batch in batches:
             packed = [encoder.packed(value) for value in batch.column(1).to_pylist()]
             offsets = array("i", [0, *accumulate(len(x) // 4 for x in packed)])
