@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 #: Folders of this session that are still to be deleted.
 _FOLDERS: list[str] = []
-#: Largest side, in rows, that an operator may broadcast after counting it.
+#: Largest side, in rows, that an operator may broadcast after counting it; each has another way beyond that.
 BROADCAST_ROWS = 200_000
 
 
@@ -86,10 +86,5 @@ def rewritten(df: DataFrame, old: str | None = None) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def small_side(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only when the counted ``rows`` stay under ``limit``; else the join shuffles."""
-    return F.broadcast(df) if rows <= limit else df
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
