@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from passageworks.functions.text import normalise
+from passageworks.session import by_blocks
 
 #: Characters of answers in one automaton; more answers are searched block by block.
 BLOCK_CHARS = 4_000_000
@@ -32,15 +34,15 @@ def find_answers(docs: DataFrame, answers: DataFrame, key: str, text: str, answe
     if schema is None:
         raise ValueError("the two keys need different names")
     kind = to_arrow_type(answers.schema[answer_key].dataType)
-    found = None
-    for i in range(blocks):
+
+    def one(i: int) -> tuple[DataFrame, Broadcast]:
         own = wanted.where(F.pmod(F.xxhash64("a"), F.lit(blocks)) == i) if blocks > 1 else wanted
         by: dict[str, list] = {}
         for r in own.collect():  # bounded by block_chars
             by.setdefault(r["a"], []).append(r["id"])
         shared = docs.sparkSession.sparkContext.broadcast(by)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             automaton = ahocorasick.Automaton()
             for a, ids in shared.value.items():
                 automaton.add_word(a, ids)
@@ -54,6 +56,6 @@ def find_answers(docs: DataFrame, answers: DataFrame, key: str, text: str, answe
                 if at:
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(ids, kind)], [key, answer_key])
 
-        part = rows.mapInArrow(run, schema)
-        found = part if found is None else found.unionAll(part)
-    return found.distinct()
+        return rows.mapInArrow(run, schema), shared
+
+    return by_blocks(docs.sparkSession, "answers", blocks, one).distinct()

@@ -10,7 +10,7 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from passageworks.session import new_folder
+from passageworks.session import by_blocks
 
 #: Most query vectors of one broadcast; more are searched block by block, each against the whole corpus.
 QUERY_BLOCK = 8192
@@ -72,27 +72,19 @@ def scored(nearness: Column, metric: str) -> Column:
 
 
 def in_query_blocks(queries: DataFrame, search: Callable[[np.ndarray, np.ndarray, Broadcast], DataFrame], key: str, vector: str, block: int) -> DataFrame:
-    """Hits of all queries, whose ids and vectors are broadcast in blocks of about ``block``.
-
-    One block is searched when the result is used.  More are searched one after
-    the other, each to a table in the shared folder, after which its broadcast
-    is released, so that the driver never holds more than one.
-    """
-    context = queries.sparkSession.sparkContext
+    """Hits of all queries, whose ids and vectors are broadcast in blocks of about ``block``."""
+    spark = queries.sparkSession
     blocks = max(1, -(-queries.count() // block))
-    path = new_folder(queries.sparkSession, "hits") if blocks > 1 else None
-    for i in range(blocks):
+
+    def one(i: int) -> tuple[DataFrame, Broadcast]:
         own = queries.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == i) if blocks > 1 else queries
         table = own.select(F.col(key).cast("long").alias("id"), vector).toArrow().combine_chunks()
         ids = table["id"].to_numpy()
         q = matrix(table[vector].combine_chunks()) if len(ids) else np.zeros((0, 1))
-        shared = context.broadcast((ids, q))
-        hits = search(ids, q, shared)
-        if path is None:
-            return hits
-        hits.write.mode("append").parquet(path)
-        shared.destroy()
-    return queries.sparkSession.read.schema(HITS).parquet(path)
+        shared = spark.sparkContext.broadcast((ids, q))
+        return search(ids, q, shared), shared
+
+    return by_blocks(spark, "hits", blocks, one)
 
 
 class Best:

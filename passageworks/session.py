@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: Folders of this session that are still to be deleted.
 _FOLDERS: list[str] = []
@@ -86,5 +87,23 @@ def rewritten(df: DataFrame, old: str | None = None) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def by_blocks(spark: SparkSession, name: str, count: int, one: Callable[[int], tuple[DataFrame, Broadcast]]) -> DataFrame:
+    """The results of ``count`` blocks; ``one(i)`` gives that of a block and the broadcast that it needs.
+
+    One block is worked on when the result is used.  More are worked on one
+    after the other, each written to a table in the shared folder, after which
+    its broadcast is released, so that the driver never holds more than one.
+    """
+    if count == 1:
+        return one(0)[0]
+    path, schema = new_folder(spark, name), None
+    for i in range(count):
+        part, shared = one(i)
+        part.write.mode("append").parquet(path)
+        schema = part.schema
+        shared.destroy()
+    return spark.read.schema(schema).parquet(path)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
