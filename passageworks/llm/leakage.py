@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from passageworks.session import by_blocks
+
 #: Consecutive words that make a leak.
 WINDOW_WORDS = 12
 #: Words of test items per broadcast; larger test sets are searched block by block, each against the whole corpus.
@@ -122,10 +124,9 @@ class _Keyless:
         return isinstance(other, _Keyless)
 
 
-def _shared_blocks(docs: DataFrame, items: DataFrame, item_key: str, item_text: str, n: int, block_words: int) -> Iterator[_Shared]:
-    for block in _blocks(items, item_key, item_text, block_words):
-        pairs = [(r[0], r[1]) for r in block.collect()]  # bounded by block_words
-        yield _Shared(docs.sparkSession.sparkContext.broadcast(pairs), n)
+def _shared(docs: DataFrame, block: DataFrame, n: int) -> _Shared:
+    pairs = [(r[0], r[1]) for r in block.collect()]  # bounded by the words of a block
+    return _Shared(docs.sparkSession.sparkContext.broadcast(pairs), n)
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", n: int = WINDOW_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -145,10 +146,12 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     schema = T.StructType([docs.schema[key], T.StructField(out_item, items.schema[item_key].dataType), T.StructField("words", T.IntegerType()), T.StructField("spans", T.ArrayType(span))])
     rows = docs.select(F.col(key), F.col(text).cast("string").alias("__text")).where(F.length("__text") >= 2 * n - 1)
     item_kind = to_arrow_type(items.schema[item_key].dataType)
-    found = None
-    for shared in _shared_blocks(docs, items, item_key, item_text, n, block_words):
+    blocks = _blocks(items, item_key, item_text, block_words)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+    def one(i: int) -> tuple[DataFrame, Broadcast]:
+        shared = _shared(docs, blocks[i], n)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = shared.index()
             for batch in batches:
                 at, leaked, longest, spans = [], [], [], []
@@ -162,9 +165,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
                     kind = pa.struct([("start", pa.int32()), ("end", pa.int32())])
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(leaked, item_kind), pa.array(longest, pa.int32()), pa.array(spans, pa.list_(kind))], [key, out_item, "words", "spans"])
 
-        part = rows.mapInArrow(run, schema)
-        found = part if found is None else found.unionAll(part)
-    return found
+        return rows.mapInArrow(run, schema), shared.broadcast
+
+    return by_blocks(docs.sparkSession, "leaks", len(blocks), one)
 
 
 def remove_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", whole_documents: bool = False, item_key: str = "item_id", item_text: str = "text", n: int = WINDOW_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -179,7 +182,8 @@ def remove_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     noted = T.StructField("__spans", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])))
     out = docs.withColumn("__spans", F.array().cast(noted.dataType))
-    for shared in _shared_blocks(docs, items, item_key, item_text, n, block_words):
+    for block in _blocks(items, item_key, item_text, block_words):
+        shared = _shared(docs, block, n)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.index()
