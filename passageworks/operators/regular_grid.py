@@ -6,8 +6,9 @@ length of its gap, and every source is extended to its first and last period.
 
 A source may hold a third of all rows.  Readings are therefore reduced to one
 per source and period before they are shuffled by source, and the series of a
-source is paired in blocks of periods: the last reading of a block finds the
-next one in a table with one row per source and block.
+source is paired in blocks of periods: what follows a block's last reading is
+taken from a table with one row per source and block and stands beside the
+block's own readings.
 """
 
 from __future__ import annotations
@@ -70,22 +71,32 @@ def regular_grid(
     last = lambda v: F.max_by(F.when(v.isNotNull(), v), F.when(v.isNotNull(), F.struct("__time", "__order", v)))
     slots = rows.groupBy("__source", "__slot").agg(*[last(F.col(f"__v{i}")).alias(f"__v{i}") for i in range(len(metrics))])
 
-    # readings, and a mark without value just outside either end of each source
     reading = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"__v{i}").alias("value")) for i, m in enumerate(metrics)])
-    readings = slots.select("__source", "__slot", F.inline(F.filter(reading, lambda r: r["value"].isNotNull())))
-    ends = slots.groupBy("__source").agg((F.min("__slot") - 1).alias("first"), (F.max("__slot") + 1).alias("last"))
-    marks = ends.select("__source", F.explode(F.array("first", "last")).alias("__slot")).select("__source", "__slot", F.explode(F.array(*map(F.lit, metrics))).alias("metric"), F.lit(None).cast("double").alias("value"))
-    series = readings.unionByName(marks).withColumn("__block", F.floor(F.col("__slot") / block))
-
-    within = Window.partitionBy("__source", "metric", "__block").orderBy("__slot")
-    paired = series.withColumn("__next", F.lead(F.struct("__slot", "value")).over(within))
-    heads = series.groupBy("__source", "metric", "__block").agg(F.min(F.struct("__slot", "value")).alias("__head"))
-    heads = heads.select("__source", "metric", "__block", F.lead("__head").over(Window.partitionBy("__source", "metric").orderBy("__block")).alias("__after"))
-    # both sides are already laid out by these keys; only a block's last reading takes from the other side
-    s, h = paired.alias("s"), heads.alias("h")
-    same = F.col("s.__source").eqNullSafe(F.col("h.__source")) & (F.col("s.metric") == F.col("h.metric")) & (F.col("s.__block") == F.col("h.__block"))
-    following = F.coalesce(F.col("s.__next"), F.col("h.__after"))
-    pairs = s.join(h, same).select("s.__source", "s.metric", "s.__slot", "s.value", following["__slot"].alias("__to"), following["value"].alias("__to_value"))
+    series = slots.select("__source", "__slot", F.inline(reading)).withColumn("__block", F.floor(F.col("__slot") / block))
+
+    # one small row per source, metric and block: its first reading, the first one after it, and the ends of the source
+    at_reading = F.when(F.col("value").isNotNull(), F.struct("__slot", "value"))
+    blocks = series.groupBy("__source", "metric", "__block").agg(F.min(at_reading).alias("__head"), F.min("__slot").alias("__lo"), F.max("__slot").alias("__hi"))
+    source_of = Window.partitionBy("__source", "metric")
+    ordered = source_of.orderBy("__block")
+    mark = lambda slot: F.struct(slot.cast("long").alias("__slot"), F.lit(None).cast("double").alias("value"))
+    blocks = blocks.select(
+        "__source", "metric", "__block", "__head", mark(F.min("__lo").over(source_of) - 1).alias("__begin"), mark(F.max("__hi").over(source_of) + 1).alias("__end"),
+        F.expr("lead(__head) IGNORE NULLS OVER (PARTITION BY __source, metric ORDER BY __block)").alias("__after"),
+        F.count("__head").over(ordered).alias("__upto"), F.count("__head").over(source_of).alias("__all"), F.row_number().over(ordered).alias("__place"),
+    )
+    # The mark before a source's first reading stands in that reading's block, or alone in the first block of a source
+    # without any.  A block with either ends at a border: the next block's first reading, or the mark after the source.
+    opens = F.col("__head").isNotNull() & (F.col("__upto") == 1) | (F.col("__all") == 0) & (F.col("__place") == 1)
+    item = lambda at, border: F.struct(at.alias("at"), F.lit(border).alias("__border"))
+    added = F.array_compact(F.array(F.when(opens, item(F.col("__begin"), False)), F.when(opens | F.col("__head").isNotNull(), item(F.coalesce("__after", "__end"), True))))
+    bounds = blocks.select("__source", "metric", "__block", F.inline(added)).select("__source", "metric", "__block", "at.__slot", "at.value", "__border")
+    readings = series.where(F.col("value").isNotNull()).select("__source", "metric", "__block", "__slot", "value", F.lit(False).alias("__border"))
+
+    # marks and borders are given, so that no block needs to look into another one
+    within = Window.partitionBy("__source", "metric", "__block").orderBy("__slot", "__border")
+    paired = readings.unionByName(bounds).withColumn("__next", F.lead(F.struct("__slot", "value")).over(within)).where(~F.col("__border"))
+    pairs = paired.select("__source", "metric", "__slot", "value", F.col("__next.__slot").alias("__to"), F.col("__next.value").alias("__to_value"))
 
     # a pair gives its own period, if it is no mark, and the empty ones up to the next reading;
     # a long gap is exploded block by block, so that no single array grows with it
