@@ -100,7 +100,19 @@ _NEAREST = """
         p AS (SELECT x.vec_id AS a, y.vec_id AS b, least(list_dot_product(x.v, y.v), 1.0) AS cosine FROM u x JOIN u y ON x.vec_id <> y.vec_id),
         r AS (SELECT a, b, cosine, row_number() OVER (PARTITION BY a ORDER BY round(cosine, 7) DESC, b) AS rk FROM p)"""
 
+_CELL = f"""
+        e AS (SELECT pipeline, CAST(wall_time['pipeline_start'] AS date) AS day, unnest(map_entries(latency_ms)) AS e FROM run_traces),
+        x AS (SELECT pipeline, day, e.key AS stage, e.value AS v FROM e WHERE e.value IS NOT NULL AND NOT isnan(e.value)),
+        c AS (SELECT *, CASE WHEN v = 0 THEN 0 ELSE sign(v) * ((floor(log2(abs(v))) + 1100) * {1 << percentiles.SUMMARY_BITS} + floor((abs(v) / pow(2, floor(log2(abs(v)))) - 1) * {1 << percentiles.SUMMARY_BITS})) END::bigint AS cell FROM x)"""
+_AT = lambda rank: f"max(m) FILTER (upto > {rank} AND upto - n <= {rank})"
+_OF_CELLS = ", ".join(f"{_AT(f'floor((total - 1) * {q}::double)')} + ({_AT(f'ceil((total - 1) * {q}::double)')} - {_AT(f'floor((total - 1) * {q}::double)')}) * ((max(total) - 1) * {q}::double - floor((max(total) - 1) * {q}::double)) AS {percentiles._name(q)}" for q in PERCENTILES)
+
 ORACLE = {
+    "p1_latency_summaries": f"WITH {_CELL} SELECT pipeline, stage, day, cell, count(*) AS n, min(v) AS lo, max(v) AS hi FROM c GROUP BY pipeline, stage, day, cell",
+    "p1_latency_combined": f"""
+        WITH {_CELL}, s AS (SELECT pipeline, stage, cell, count(*) AS n, min(v) + (max(v) - min(v)) / 2 AS m FROM c GROUP BY pipeline, stage, cell),
+        t AS (SELECT *, sum(n) OVER (PARTITION BY pipeline, stage ORDER BY cell)::bigint AS upto, sum(n) OVER (PARTITION BY pipeline, stage)::bigint AS total FROM s)
+        SELECT pipeline, stage, max(total)::bigint AS n, {_OF_CELLS} FROM t GROUP BY pipeline, stage""",
     "p1_latency_percentiles": f"""
         WITH e AS (SELECT pipeline, CAST(wall_time['pipeline_start'] AS date) AS day, unnest(map_entries(latency_ms)) AS e FROM run_traces),
         x AS (SELECT pipeline, day, e.key AS stage, CASE WHEN isnan(e.value) THEN NULL ELSE e.value END AS v FROM e)
