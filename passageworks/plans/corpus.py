@@ -88,6 +88,18 @@ def map_merge(spark, d):
 _ORDERED = f"SELECT id, ((row_number() OVER (ORDER BY id NULLS FIRST, text NULLS FIRST, title NULLS FIRST) - 1) // {BATCH_ROWS})::int AS batch_idx FROM passages WHERE NOT {sql_blank('text')}"
 
 
+@query(f"SELECT id, (row_number() OVER (ORDER BY id NULLS FIRST, text NULLS FIRST, title NULLS FIRST) - 1)::bigint AS pos FROM passages WHERE NOT {sql_blank('text')}")
+def insertion_ids(spark, d):
+    """The numbers that passages get in a store, from 0 without a gap."""
+    rows = read_table(spark, d, "passages").where(~T.blank("text"))
+    return ingest.number_rows(rows, [F.col("id"), F.col("text"), F.col("title")]).select("id", "pos")
+
+
+@query("SELECT doc_id, replace(substring(text, 1, 80), chr(10), ' ') AS preview FROM documents")
+def preview(spark, d):
+    return read_table(spark, d, "documents").select("doc_id", T.preview("text").alias("preview"))
+
+
 @query(_ORDERED)
 def batch_assign(spark, d):
     rows = read_table(spark, d, "passages").where(~T.blank("text"))

@@ -185,7 +185,7 @@ def ivf_probe(spark, d):
     return index.ivf_search(_asked(rows), index.build_ivf(rows, cells), cells, CUT, 4)
 
 
-@query()
+@query("SELECT unnest(range(16))::int AS cell_id, 64 AS dimensions")
 def ivf_train(spark, d):
     return index.train_cells(_vectors(spark, d), 16).select("cell_id", F.size("centroid").alias("dimensions"))
 

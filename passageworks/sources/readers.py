@@ -68,6 +68,12 @@ def read_questions(spark: SparkSession, path: str) -> DataFrame:
     return load_questions(rows, "question", "short_answers", "long_answers")
 
 
+def questions_of(spark: SparkSession, items: list[dict], name: str = "dataset") -> DataFrame:
+    """``dataset, sample_id, query, gold_answer, all_answers`` of questions in memory: dicts with ``query`` and, if there are, ``gold_answer`` and ``all_answers``."""
+    rows = [(name, i, x["query"], x.get("gold_answer"), list(x.get("all_answers") or ([x["gold_answer"]] if x.get("gold_answer") else []))) for i, x in enumerate(items)]
+    return spark.createDataFrame(rows, "dataset string, sample_id long, query string, gold_answer string, all_answers array<string>")
+
+
 def load_questions(df: DataFrame, question: str, short: str, long: str, *keep: str) -> DataFrame:
     """Questions with an answer: the short one if there is one, else the long one, and both as a list."""
     rows = df.select(*keep, F.col(question).alias("query"), not_available(short).alias("short"), not_available(long).alias("long")).dropna("all", subset=["short", "long"])

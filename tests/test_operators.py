@@ -215,6 +215,12 @@ def test_question_files(spark, tmp_path):
     assert got == [("q1", "long", ["long"]), ("q2", "1.50", ["1.50"]), ("q4", "none", ["none", "a, b"])]
 
 
+def test_questions_in_memory(spark):
+    rows = readers.questions_of(spark, [{"query": "a", "gold_answer": "x"}, {"query": "b"}, {"query": "c", "all_answers": ["y", "z"]}], "mine").collect()
+    assert [(r["dataset"], r["sample_id"], r["gold_answer"], r["all_answers"]) for r in rows] == [("mine", 0, "x", ["x"]), ("mine", 1, None, []), ("mine", 2, None, ["y", "z"])]
+    assert readers.questions_of(spark, []).count() == 0
+
+
 def test_stream_restarts_without_repeating(spark, tmp_path):
     source, target = tmp_path / "in", tmp_path / "out"
     source.mkdir()
