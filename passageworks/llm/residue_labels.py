@@ -12,6 +12,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
+
+import ahocorasick
 
 # ---------------------------------------------------------------- segments
 
@@ -117,9 +120,25 @@ _STEMS = tuple(
 )
 
 
+def _automaton(words: tuple[str, ...]) -> ahocorasick.Automaton:
+    out = ahocorasick.Automaton()
+    for w in words:
+        out.add_word(w, 1)
+    out.make_automaton()
+    return out
+
+
+_FIND_STEM = _automaton(_STEMS).iter
+
+
 def triggered(part: str) -> bool:
-    low = part.lower()
-    return any(x in low for x in _STEMS)
+    return next(_FIND_STEM(part.lower()), None) is not None
+
+
+@lru_cache(maxsize=100_000)
+def _fills(word: str) -> tuple[bool, bool]:
+    """Whether a word is a piece of a keyboard's row, and whether it is filler Latin."""
+    return word in _KEYS, word.startswith(_LATIN)
 
 
 def filler(part: str) -> bool | None:
@@ -131,7 +150,7 @@ def filler(part: str) -> bool | None:
     n = len(own)
     if n < 4 or len(spaced) < 4 or not own[0].isascii():
         return False
-    share = max(sum(w in _KEYS for w in own), sum(w.startswith(_LATIN) for w in own)) / n
+    share = max(map(sum, zip(*map(_fills, own)))) / n
     return True if share >= 0.5 else None if share >= 0.25 else False
 
 
@@ -140,8 +159,8 @@ def weak_label(part: str) -> int | None:
     fill = filler(part)
     if fill:
         return 1
-    marked = _MARKS(part) is not None
-    if fill is False and not marked and not triggered(part):
+    marked, stemmed = _MARKS(part) is not None, triggered(part)
+    if fill is False and not marked and not stemmed:
         return 0
     if _LOGGED(part):
         return 0 if not (_CERTAIN.search(part) or _ANY_EMPTY(part)) else None
@@ -149,7 +168,7 @@ def weak_label(part: str) -> int | None:
         return 1
     low = part.strip()
     words = len(low.split())
-    if any(x.isalnum() for x in low) and (_STATUS_LINE(low) or words <= 12 and _STATUS_OPENING(low)) or _APOLOGY(low):
+    if words <= 12 and any(x.isalnum() for x in low) and (_STATUS_LINE(low) or _STATUS_OPENING(low)) or _APOLOGY(low):
         return None if low.isdigit() or words == 1 and not low[0].isupper() else 1
     quoted = _QUOTE(low.strip("\"'«»“”„-–*#( ")) is not None
     bare = _SORRY.sub("", low).lstrip(" \t\"'«»*#-–—|:.([<")
@@ -169,7 +188,7 @@ def weak_label(part: str) -> int | None:
         return 1
     if not talking and re.match(r"^(?:[\w ]{2,20}:\s*_{4,}\s*)+", part):
         return 1
-    if slots or empties or _OTHER.search(part) or _BLANK(part) or _ANY_EMPTY(part) or fill is None or _INSIDE(part):
+    if slots or empties or _OTHER.search(part) or _BLANK(part) or _ANY_EMPTY(part) or fill is None or stemmed and _INSIDE(part):
         return None
     return 0
 
