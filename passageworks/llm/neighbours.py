@@ -34,15 +34,15 @@ from pyspark.sql import functions as F
 from passageworks.session import cut_lineage
 
 #: Vectors of a cell, on average, and the most cells (64 MB of centroids at 64 dimensions); beyond that cells grow up to blocks.
-CELL_VECTORS, MAX_CELLS = 400, 262_144
+CELL_VECTORS, MAX_CELLS = 1000, 262_144
 #: Vectors the centroids are fitted on: this many per cell, within these bounds.
 SAMPLE_PER_CELL, SAMPLE_LEAST, SAMPLE_MOST = 16, 20_000, 524_288
 #: From so many cells on, a vector is compared with the centroids of its nearest groups of cells only, this many groups.
 GROUPED_CELLS, NEAR_GROUPS = 2048, 8
 #: Data and query vectors compared in one group.
-BLOCK_DATA, BLOCK_QUERIES = 2048, 8192
-#: Queries that the number of visited cells is measured on, and the most cells visited.
-TUNING_QUERIES, MOST_PROBES = 256, 48
+BLOCK_DATA, BLOCK_QUERIES = 4096, 8192
+#: Queries that the number of visited cells is measured on.
+TUNING_QUERIES = 256
 #: Random lines; half-width of a window in units of the distance it is made for; standard deviations of allowance in the threshold.
 PROJECTIONS, WIDTH, ALLOWANCE = 32, 1.645, 3.2
 #: Cosines for which the windows are made, one after the other; the last stands for windows over everything.
@@ -118,16 +118,20 @@ class Cells:
 
         Rows are worked on in slices, so that memory does not grow with rows times cells.
         """
-        width = len(self.centroids) if self.groups is None else self.near * max(map(len, self.groups))
+        width = len(self.centroids) if self.groups is None else self._near(probes) * max(map(len, self.groups))
         step = max(1, 4_000_000 // width)
         found = [self._slice(v[i : i + step], probes) for i in range(0, len(v), step)]
         return (np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])) if found else (np.zeros((0, 1), int), np.zeros((0, 1), bool))
 
+    def _near(self, probes: int) -> int:
+        """Groups looked into: so many that they hold several times the cells asked for."""
+        return min(len(self.groups), max(self.near, -(-4 * probes * len(self.groups) // len(self.centroids))))
+
     def _slice(self, v: np.ndarray, probes: int) -> tuple[np.ndarray, np.ndarray]:
         if self.groups is None:
             far, names = -(v @ self.centroids.T), None
         else:
-            near = min(self.near, len(self.groups))
+            near = self._near(probes)
             chosen = np.argpartition(-(v @ self.top.T), near - 1, axis=1)[:, :near]
             width = max(map(len, self.groups))
             far, names = np.full((len(v), near, width), np.inf, np.float32), np.zeros((len(v), near, width), np.int32)
@@ -300,7 +304,7 @@ def _probes_for(classes: DataFrame, cells: Cells, total: int, k: int, floor: flo
     shared.unpersist()
     if not len(true):
         return 1
-    most = min(MOST_PROBES, len(cells.centroids))
+    most = len(cells.centroids)
     cell, home = cells.visited(_matrix(true["v"], dimensions), 1)
     at = cell[home]
     place = np.searchsorted(np.sort(names), true["query"].to_numpy())
