@@ -445,8 +445,8 @@ def rerank_scored(spark, d):
     return rerank.rerank(rerank.pairs(_traces(spark, d)), score, 5).select("trace_id", "rank", "chunk_id", "rerank_score", "new_rank")
 
 
-@query(f"""{_T} SELECT trace_id, 'Answer the question using only the context below. Cite sources as [1], [2] etc.' || chr(10) || chr(10) || 'Context:' || chr(10)
-    || coalesce(array_to_string(list_transform(retrieved, lambda c, i: '[' || i || '] ' || coalesce(c.text, '')), chr(10) || chr(10)), '') || chr(10) || chr(10) || 'Question: ' || coalesce(query, '') || chr(10) || chr(10) || 'Answer:' AS prompt FROM t""")
+@query(f"""{_T} SELECT trace_id, '{T.PROMPT_HEAD}' || coalesce(array_to_string(list_transform(retrieved, lambda c, i: '[' || i || '] ' || coalesce(c.text, '')), chr(10) || chr(10)), '')
+    || '{T.PROMPT_QUESTION}' || coalesce(query, '') || '{T.PROMPT_TAIL}' AS prompt FROM t""")
 def build_prompt(spark, d):
     return _traces(spark, d).select("trace_id", T.prompt("query", F.col("retrieved")["text"]).alias("prompt"))
 
