@@ -50,6 +50,18 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return pieces.select("chunk_id").distinct()
 
 
+def p2_rejoined(spark: SparkSession, d: str) -> DataFrame:
+    """The pieces of every text joined again without their overlaps, and whether each is within its limit."""
+    configs = read_table(spark, d, "chunker_configs")
+    rows = read_table(spark, d, "chunks").select("chunk_id", "config_id", "text").where("text IS NOT NULL").distinct().join(configs, "config_id")
+    keyed = rows.withColumn("key", F.struct("chunk_id", "config_id", F.md5("text").alias("of"), "chunk_size", "chunk_overlap"))
+    pieces = splitting.split_oversized(keyed, "key")
+    own = F.when(F.col("piece_idx") == 0, F.col("piece")).otherwise(F.expr("substring(piece, key.chunk_overlap + 1)"))
+    # the pieces of one text are its own length
+    joined = pieces.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("piece_idx", own.alias("own")))).alias("parts"), F.max(F.length("piece")).alias("longest"))
+    return joined.select("key.chunk_id", "key.config_id", F.array_join(F.col("parts")["own"], "").alias("text"), (F.col("longest") <= F.col("key.chunk_size")).alias("fits"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     found = neighbours.similar(read_table(spark, d, "chunk_vectors"), floor=0.88)
     return found.select(F.least("vec_id", "neighbour").alias("vec_id_a"), F.greatest("vec_id", "neighbour").alias("vec_id_b")).distinct()
@@ -89,7 +101,7 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([tuple(getattr(model, c) for c in columns)], columns)
 
 
-QUERIES = {f.__name__: f for f in (p1_latency_percentiles, p1_batch_percentiles, p1_latency_summaries, p1_latency_combined, p2_found, p2_pieces, p4_found, p4_similar, p6_ids, p7_found, p7_leaks, p7_clean, p8_found, p8_report)}
+QUERIES = {f.__name__: f for f in (p1_latency_percentiles, p1_batch_percentiles, p1_latency_summaries, p1_latency_combined, p2_found, p2_pieces, p2_rejoined, p4_found, p4_similar, p6_ids, p7_found, p7_leaks, p7_clean, p8_found, p8_report)}
 
 _CONTINUOUS = ", ".join(f"quantile_cont(v, {q}) AS {percentiles._name(q)}" for q in PERCENTILES)
 
@@ -122,6 +134,7 @@ ORACLE = {
                    UNION ALL SELECT embedder_name, 'embed_norm_p95', embed_norm.p95 FROM batch_traces),
         y AS (SELECT embedder_name, measure, CASE WHEN isnan(v) THEN NULL ELSE v END AS v FROM x)
         SELECT embedder_name, measure, count(v) AS n, {_CONTINUOUS} FROM y GROUP BY embedder_name, measure""",
+    "p2_rejoined": "SELECT DISTINCT chunk_id, config_id, text, true AS fits FROM chunks JOIN chunker_configs USING (config_id) WHERE text IS NOT NULL",
     "p2_found": """
         SELECT DISTINCT chunk_id FROM chunks JOIN chunker_configs USING (config_id) WHERE length(text) > chunk_size""",
     "p4_found": f"""
