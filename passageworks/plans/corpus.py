@@ -176,6 +176,15 @@ def load_qa(spark, d):
     return _questions(spark, d).select("sample_id", "query", "gold_answer", F.size("all_answers").alias("n_answers"))
 
 
+@query(f"SELECT query, gold_answer, len(all_answers)::int AS n_answers FROM ({_QA})")
+def scan_questions(spark, d):
+    """The same from a file of questions with short and long answers."""
+    path = folder(spark, "questions")
+    rows = read_table(spark, d, "qa_samples").select(F.col("query").alias("question"), F.col("gold_answer").alias("short_answers"), F.try_element_at("all_answers", F.lit(2)).alias("long_answers"))
+    rows.write.options(header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    return readers.read_questions(spark, path).select("query", "gold_answer", F.size("all_answers").alias("n_answers"))
+
+
 @query(f"SELECT sample_id, gold_answer AS gold FROM ({_QA})")
 def gold_coalesce(spark, d):
     return _questions(spark, d).select("sample_id", F.col("gold_answer").alias("gold"))

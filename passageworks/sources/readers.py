@@ -64,7 +64,7 @@ def write_passages(df: DataFrame, path: str) -> None:
 
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
     """``query, gold_answer, all_answers`` of a question file; answers stay text, missing ones are null."""
-    rows = spark.read.schema(QA).options(header=True, quote='"', escape='"', multiLine=True).csv(path)
+    rows = spark.read.schema(QA).options(header=True, quote='"', escape='"', multiLine=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
     return load_questions(rows, "question", "short_answers", "long_answers")
 
 
