@@ -503,9 +503,11 @@ def trace_struct(spark, d):
     """Traces as nested JSON, of which fields are read again."""
     rows = _traces(spark, d)
     nested = F.struct("query", "retrieved", "reranked", "answer", "latency_ms", "wall_time")
-    # NaN has no number in JSON, so that it is written and read as text
-    json = rows.select("trace_id", F.to_json(nested, {"ignoreNullFields": "false"}).alias("json"))
-    again = F.from_json("json", rows.select(nested.alias("x")).schema["x"].dataType.simpleString(), {"allowNonNumericNumbers": "true"}).alias("x")
+    # times are written to the microsecond, not to the millisecond as by default
+    json = rows.select("trace_id", F.to_json(nested, {"ignoreNullFields": "false", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}).alias("json"))
+    # NaN has no number in JSON, so that it is written and read as text; a text of any length is read, and what cannot be read is an error, not a null
+    reading = {"allowNonNumericNumbers": "true", "maxStringLen": str(2**31 - 1), "mode": "FAILFAST"}
+    again = F.from_json("json", rows.select(nested.alias("x")).schema["x"].dataType.simpleString(), reading).alias("x")
     hit = lambda c: F.try_element_at(F.col(c), F.lit(1))
     return json.select("trace_id", again).select("trace_id", "x.*").select(
         "trace_id", "query", "answer", F.coalesce(F.when(F.col("retrieved").isNotNull(), F.size("retrieved")), F.lit(0)).alias("n_retrieved"), hit("retrieved")["chunk_id"].alias("first_chunk"), hit("reranked")["score"].alias("first_score"),
